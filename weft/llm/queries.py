@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import encoding, lookalike, quality, sentences
-from weft.session import table
+from weft.llm import encoding, leaks, lookalike, mixing, packing, quality, sentences
+from weft.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,13 +36,42 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.groups(table(spark, d, "tm_entries"))
 
 
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    return packing.batches(table(spark, d, "segments"), table(spark, d, "batch_settings"))
+
+
+def p7_use(spark: SparkSession, d: str) -> DataFrame:
+    settings = table(spark, d, "batch_settings")
+    return packing.use_of_budget(packing.batches(table(spark, d, "segments"), settings), settings)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.records(spark, cut(mixing.token_counts(table(spark, d, "documents"))), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares_reached(_chosen(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_records(spark: SparkSession, d: str) -> DataFrame:
+    return _chosen(spark, d)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.found(table(spark, d, "documents"))
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.percentiles(quality.cut(quality.statistics(table(spark, d, "documents"))))
+    return quality.percentiles(cut(quality.statistics(table(spark, d, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_pages, p4_restored, p5_found, p6_found, p6_forms, p10_found, p10_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_pages, p4_restored, p5_found, p6_found, p6_forms, p7_batches, p7_use, p8_found, p8_report, p9_records, p9_mix, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
