@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weft.operators.dedup import first_delivery
 
 #: Items longer than capacity / CLASSES form classes of their own; shorter ones fill what those leave.
-CLASSES = 8
+CLASSES = 4
 #: Rows that one task packs at most, about: a file with more is cut into shards packed independently.
 SHARD_ROWS = 20_000
 

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import encoding, leaks, lookalike, mixing, packing, quality, sentences
+from weft.llm import encoding, leaks, lookalike, mixing, packing, quality, scanned, sentences
 from weft.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.found(table(spark, d, "ocr_blocks"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.paragraphs(table(spark, d, "ocr_blocks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.found(table(spark, d, "text_spans"))
 
@@ -73,5 +81,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.percentiles(cut(quality.statistics(table(spark, d, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_pages, p4_restored, p5_found, p6_found, p6_forms, p7_batches, p7_use, p8_found, p8_report, p9_records, p9_mix, p10_found, p10_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paragraphs, p4_found, p4_pages, p4_restored, p5_found, p6_found, p6_forms, p7_batches, p7_use, p8_found, p8_report, p9_records, p9_mix, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
