@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import encoding, leaks, lookalike, mixing, packing, quality, scanned, sentences
+from weft.llm import alignment, encoding, leaks, lookalike, mixing, packing, pairs, quality, scanned, sentences
 from weft.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scanned.paragraphs(table(spark, d, "ocr_blocks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "segments"), table(spark, d, "batch_results"), table(spark, d, "tm_entries"))
+
+
+def p2_missing(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.missing(table(spark, d, "batch_results"), p2_found(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(table(spark, d, "alignments"), table(spark, d, "tm_entries"), table(spark, d, "segments"), table(spark, d, "batch_results"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.counts(table(spark, d, "alignments"), p3_found(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.found(table(spark, d, "text_spans"))
 
@@ -81,5 +97,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.percentiles(cut(quality.statistics(table(spark, d, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paragraphs, p4_found, p4_pages, p4_restored, p5_found, p6_found, p6_forms, p7_batches, p7_use, p8_found, p8_report, p9_records, p9_mix, p10_found, p10_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_missing, p3_found, p3_counts, p4_found, p4_pages, p4_restored, p5_found, p6_found, p6_forms, p7_batches, p7_use, p8_found, p8_report, p9_records, p9_mix, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
