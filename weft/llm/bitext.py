@@ -19,8 +19,10 @@ SAMPLE = 1500
 #: Longest source text of a sampled entry, in characters: single sentences align best.
 LONGEST = 140
 WORD = re.compile(r"[^\W_]+")
+DATE = re.compile(r"(?<!\d)\d{1,2}[./](\d{2})[./]\d{4}(?!\d)")
 GROUPED = re.compile(r"(?<!\d)(\d{1,3})((?:[.,   ]\d{3})+)(?!\d)")
-_DIGITS = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")}
+# digits as ASCII, one form of letters that differ only by keyboard, nothing for characters that print nothing
+_PLAIN = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")} | {ord("ک"): "ك", ord("ی"): "ي", ord("ى"): "ي"} | dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF))
 # Consonants of Arabic and Cyrillic letters in Latin writing; vowels and weak letters stand for nothing.
 CONSONANTS = {
     "ب": "b", "ت": "t", "ث": "t", "ج": "j", "ح": "h", "خ": "k", "د": "d", "ذ": "d", "ر": "r", "ز": "z", "س": "s", "ش": "s", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "غ": "g", "ف": "f", "ق": "k", "ك": "k", "ک": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h",
@@ -29,9 +31,9 @@ CONSONANTS = {
 _SKELETON = {ord(k): v for k, v in CONSONANTS.items()} | {ord(c): None for c in "aeiouyıàâéèêëîïôöûüùاأإآىيوةعءئؤًٌٍَُِّْаеёиоуыэюяйьъ"}
 
 
-MIXED = re.compile(r"[a-z\d][\u0370-\u052f]|[\u0370-\u052f][a-z\d]")
-_TO_LATIN = {ord(k): v for k, v in LOOKALIKES.items() if k.islower() and v.isascii()}
-_TO_CYRILLIC = {ord(v): k for k, v in LOOKALIKES.items() if "а" <= k <= "я" and v.isascii()}
+MIXED = re.compile(r"[A-Za-z\d][\u0370-\u052f]|[\u0370-\u052f][A-Za-z\d]")
+_TO_LATIN = {ord(k): v for k, v in LOOKALIKES.items() if "\u0370" <= k <= "\u052f" and v.isascii()}
+_TO_CYRILLIC = {ord(v): k for k, v in LOOKALIKES.items() if "А" <= k <= "я" and v.isascii()}
 
 
 def tokens(text: str) -> list[str]:
@@ -39,14 +41,12 @@ def tokens(text: str) -> list[str]:
     if "<" in text:
         text = TAG.sub("", text)
     if not text.isascii():
-        text = text.translate(_DIGITS)
+        text = text.translate(_PLAIN)
         if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
-        text = text.lower()
+            text = unicodedata.normalize("NFKC", text).translate(_PLAIN)
         if MIXED.search(text):
             text = WORD.sub(_one_script, text)
-    else:
-        text = text.lower()
+    text = text.lower()
     if GROUPED.search(text):
         text = GROUPED.sub(lambda m: m[1] + re.sub(r"\D", "", m[2]), text)
     return [w.lstrip("0") or "0" if w[0] == "0" else w for w in WORD.findall(text)]
@@ -55,7 +55,7 @@ def tokens(text: str) -> list[str]:
 def _one_script(m: re.Match) -> str:
     """A word of Latin letters among which look-alikes of another script stand, or the reverse, in the script of most of its letters."""
     w = m[0]
-    if not any("a" <= c <= "z" or c.isdigit() for c in w) or not any("\u0370" <= c <= "\u052f" for c in w):
+    if not any("a" <= c.lower() <= "z" or c.isdigit() for c in w) or not any("\u0370" <= c <= "\u052f" for c in w):
         return w
     back = w.translate(_TO_LATIN)
     if all(c < "\u0250" for c in back):
@@ -103,7 +103,7 @@ class Lexicon:
                 out.append(False)
             else:
                 s = skeleton(w)
-                out.append(len(s) >= 2 and s in names or len(s) < 2)
+                out.append(len(s) >= 2 and s in names)
         return out
 
     def covered(self, words: list[str], other: list[str]) -> tuple[float, float, list[bool]]:
@@ -211,9 +211,24 @@ def fit(pairs: list[tuple[str, str, str, str]], rounds: int = 4, keep: float = 0
             for v, p in row.items():
                 if p >= keep and p > own.get(v, 0.0):
                     own[v] = p
+    # numbers of months: what a word of one side always meets as the middle of a date on the other
+    dates: dict[str, Counter[str]] = {}
+    for _, _, s, t in pairs:
+        for x, y in ((s, t), (t, s)):
+            middles = {m.lstrip("0") for m in DATE.findall(y)}
+            if len(middles) == 1:
+                for w in set(tokens(x)) & known:
+                    dates.setdefault(w, Counter()).update(middles)
+    for w, c in dates.items():
+        month, hits = c.most_common(1)[0]
+        if hits >= 3 and hits >= 0.9 * sum(c.values()):
+            likely.setdefault(w, {})[month] = 0.3
     n = max(1, len(coded))
     weight = {w: max(0.15, min(2.0, math.log(n / seen[w]) / 3)) for w in known}
     speaks = {w: c.most_common(1)[0][0] for w, c in spoken.items() if w in known and c.most_common(1)[0][1] >= 0.85 * sum(c.values())}
+    for w, row in likely.items():
+        if weight.get(w, 1.0) >= 0.5:  # what any sentence holds proves nothing about a telling word
+            likely[w] = {v: p for v, p in row.items() if weight.get(v, 1.0) >= 0.35 or p >= 0.5}
     lexicon = Lexicon(likely, weight, speaks)
     # a word that sound pairs often leave without its translation tells little when it is not found
     met: Counter[str] = Counter()
