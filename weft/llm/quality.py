@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.llm.words import language_of
 from weft.session import cut
 
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u064b-\u0652\u0e31-\u0e4e])*(?:['’\-][^\W\d_]+)*")
+WORD = re.compile(r"[^\W\d_]+")
 _END = frozenset(".!?؟。！？۔…")
 _CLOSE = "\"'”»’）)]“ \t\xa0\u202f"
 SENTENCE = re.compile(r"[.!?؟。！？۔…]+[\"'”»’）)\]“]*(?=\s|$|[一-鿿“（])|\n\s*\n")
