@@ -141,7 +141,7 @@ def _search(docs: DataFrame, items: dict[int, list[str]], frequency: dict[tuple[
                             rows.append((doc, key, span / len(item), same / max(span, j1 - j0), span))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "part", "agreement", "words"]).astype({"doc_id": "int64", "item_id": "int64", "part": "float64", "agreement": "float64", "words": "int32"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, OUT)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, OUT)
 
 
 def _regions(spots: list[int], reach: int, n: int, least: float) -> list[tuple[int, int]]:

@@ -38,7 +38,7 @@ def _encoding(path: str):
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens) with the public tokenizer at ``vocabulary``; null and empty texts have none."""
+    """(doc_id, source, tokens) with the public tokenizer at ``vocabulary``; null and empty texts have none, null ids are left out."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +47,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": pd.Series(n, dtype="int64")})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
 
 
 def apportion(shares: dict[str, float], blocks: int, caps: dict[str, int] | None = None) -> dict[str, int]:

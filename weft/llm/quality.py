@@ -223,7 +223,7 @@ MOST_COMMON = 100_000
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The figures of STATS of every document.  Null and empty texts have language 'und' and zeros; extra columns are ignored."""
+    """The figures of STATS of every document.  Null and empty texts have language 'und' and zeros; null ids are left out, extra columns ignored."""
     rows = common_words(docs).select("word").distinct().limit(MOST_COMMON + 1).collect()
     if len(rows) > MOST_COMMON:
         raise ValueError("too many common words; raise the share")
@@ -238,7 +238,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield out.astype({"words": "int64", "lines": "int64"})
 
     schema = "doc_id long, language string, words long, mean_word_length double, symbol_ratio double, digit_ratio double, lines long, end_share double, common_share double, repeat_share double, list_share double, table_share double, prose_share double, few_share double"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, schema)
 
 
 def sketches(stats: DataFrame) -> DataFrame:
