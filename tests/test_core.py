@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from weft.functions import checks, segment
 from weft.functions import text as T
-from weft.operators import files, memory, terms
+from weft.operators import files, memory, protected, terms
 from weft.operators.dedup import first_delivery
-from weft.sources import office, plain
+from weft.sources import office, plain, snapshots
 from weft.streaming import feeds
 
 
@@ -192,3 +192,49 @@ def test_streams(spark, tmp_path):
 def test_sentences_in_sql(spark):
     segment.register(spark)
     assert [r["text"] for r in spark.sql("SELECT s.text FROM VALUES ('A dog barks. Two cats.') AS v(t), LATERAL sentences(v.t) AS s ORDER BY no").collect()] == ["A dog barks.", "Two cats."]
+
+
+def test_protected(spark):
+    assert protected.detect("plain text") == [] and protected.detect(None) == [] and protected.detect("") == []
+    got = protected.detect("قال تعالى «اقرأ باسم ربك» ثم سكت")
+    assert [(x["kind"], x["confidence"]) for x in got] == [("verse", "certain")]
+    assert protected.detect("وقال النبي كلاما طيبا للناس")[0]["confidence"] == "likely"
+    assert protected.detect("نص ﴿ بسم الله ﴾ نص")[0]["end"] == 15
+    assert protected.detect("السَّلَامُ عَلَيْكُمْ وَرَحْمَةُ اللَّهِ")[0]["kind"] == "verse"
+    df = spark.createDataFrame([(1, "رواه البخاري (١٢٣) ومسلم 45 والبخاري 123"), (2, None)], "k int, t string")
+    assert sorted((r["collection"], r["number"]) for r in protected.citations(df, "k", "t").collect()) == [("bukhari", "123"), ("muslim", "45")]
+    assert protected.normalized(spark.createDataFrame([("ﻋﻠﻢ  ـ‏x",), (None,)], "t string"), "t").collect()[0][0] == "علم x"
+
+
+def test_verses_equal_brute_force(spark):
+    verses = [("1:1", "السلام ماء للأرض العطشى"), ("1:2", "العلم جسر بين القلوب"), ("1:3", "قصير"), ("1:4", "السَّلَامُ مَاءٌ للأرضِ العطشى")]
+    texts = [(1, "قيل إن السلام ماء للأرض العطشى دائما"), (2, "العِلْمُ جسرٌ بين القلوب"), (3, "لا شيء هنا"), (4, None), (None, "العلم جسر بين القلوب")]
+    v = spark.createDataFrame(verses, "verse_key string, arabic string")
+    t = spark.createDataFrame(texts, "k long, t string")
+    assert {tuple(r) for r in protected.verses_in(t, "k", "t", v, 8).collect()} == {(1, "1:1"), (1, "1:4"), (2, "1:2")}
+    assert protected.verses_in(t, "k", "t", v.limit(0)).count() == 0
+
+
+def test_term_bulk(spark):
+    old = spark.createDataFrame([("a", "g", "x"), ("b", "g", "y")], "source_term string, domain string, target_term string")
+    new = spark.createDataFrame([("a", "g", "z", 1), ("a", "g", "w", 2), ("c", "g", "q", 1), (" ", "g", "q", 1), ("b", "g", "y", 1)], "source_term string, domain string, target_term string, seq int")
+    assert sorted(tuple(r) for r in terms.bulk(old, new).collect()) == [("a", "g", "w", "updated"), ("b", "g", "y", "kept"), ("c", "g", "q", "added")]
+
+
+def test_layout(spark):
+    units = spark.createDataFrame([("f", 0, "same text"), ("f", 1, "other"), ("f", 2, "x")], "file_id string, place int, text string")
+    layout = spark.createDataFrame([("f", 0, "same  text and more"), ("f", 1, "else")], "file_id string, place int, text string")
+    assert [tuple(r) for r in files.drift(layout, units).collect()] == [("f", 3, 2, 0.6667)]
+    boxes = spark.createDataFrame([("f", 1, i, 0.0, float(i), 10.0, i + 1.0) for i in range(5)], "file_id string, page int, box_no int, x0 double, y0 double, x1 double, y1 double")
+    texts = spark.createDataFrame([("f", 1, 0), ("f", 1, 1)], "file_id string, page int, text_no int")
+    assert {r["text_no"]: (r["y0"], r["y1"]) for r in files.boxes_for_texts(boxes, texts).collect()} == {0: (0.0, 2.0), 1: (2.0, 5.0)}
+
+
+def test_snapshots(spark, tmp_path):
+    s = snapshots.Snapshots(spark, str(tmp_path / "t"))
+    assert s.versions() == []
+    s.write(spark.range(3))
+    s.write(spark.range(5))
+    (tmp_path / "t" / "v=3").mkdir()
+    assert s.versions() == [1, 2] and s.read().count() == 5 and s.read(1).count() == 3
+    assert snapshots.with_missing(spark.range(1), {"id": ("long", 0), "n": ("int", 7)}).first()["n"] == 7

@@ -130,3 +130,39 @@ def changes(events: DataFrame, key: str, order: list[str], payload: str) -> Data
     """Events that differ from the one before them of the same key: what a change feed emits."""
     w = Window.partitionBy(key).orderBy(*order)
     return events.withColumn("__before", F.lag(payload).over(w)).where(~F.col(payload).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).drop("__before")
+
+
+def payloads(segments: DataFrame, batches: DataFrame) -> DataFrame:
+    """(file_id, batch_no, payload): what each batch sends, a JSON list of id and text in order; a batch holds MOST segments at most."""
+    row = F.struct("order_index", "id", F.coalesce("source_text", F.lit("")).alias("text"))
+    joined = segments.join(batches.select("id", "batch_no"), "id")
+    return joined.groupBy("file_id", "batch_no").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text")))).alias("payload"))
+
+
+def drift(layout: DataFrame, units: DataFrame, prefix: int = 40) -> DataFrame:
+    """(file_id, units, differing, drift): share of a file's units whose beginning differs from the layout entry of the same place.
+
+    Both sides have file_id, place and text; units without an entry count as different.
+    """
+    a = layout.select("file_id", "place", T.collapse("text").alias("a"))
+    b = units.select("file_id", "place", T.collapse("text").alias("b"))
+    n = F.least(F.length("a"), F.length("b"), F.lit(prefix))
+    differs = F.coalesce(F.left("a", n) != F.left("b", n), F.lit(True))
+    return b.join(a, ["file_id", "place"], "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("units"), F.count_if(differs).alias("differing"), F.round(F.avg(differs.cast("int")), 4).alias("drift"))
+
+
+def boxes_for_texts(boxes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file_id, page, text_no, x0, y0, x1, y1): where each text of a page goes when there are fewer texts than boxes.
+
+    Text i of m takes the union of boxes round(i * n / m) to round((i + 1) * n / m) of the n, rounded half to
+    even, the last box where that is empty.  ``boxes`` has box_no, ``texts`` text_no, both from 0 per page.
+    """
+    key = ["file_id", "page"]
+    n = boxes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    m = texts.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    t = texts.select(*key, "text_no").join(n, key).join(m, key)
+    first = F.bround(F.col("text_no") * F.col("n") / F.col("m")).cast("int")
+    last = F.bround((F.col("text_no") + 1) * F.col("n") / F.col("m")).cast("int") - 1
+    ranged = t.select(*key, "text_no", F.least(first, F.col("n") - 1).alias("a"), F.greatest(last, F.least(first, F.col("n") - 1)).alias("b"))
+    each = ranged.select(*key, "text_no", F.explode(F.sequence("a", "b")).alias("box_no")).withColumn("box_no", F.col("box_no").cast("int"))
+    return each.join(boxes, [*key, "box_no"]).groupBy(*key, "text_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -31,10 +31,6 @@ def conflicts(terms: DataFrame) -> DataFrame:
     )
 
 
-#: Terms sent to every task at most, and the longest a word of the search key may be apart.
-MOST_TERMS = 20_000
-
-
 def enforcement(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """(segment_id, source_term, target_term): pairs whose source holds a term and whose answer lacks its rendering.
 
@@ -77,3 +73,16 @@ def change_of(before: str, after: str) -> tuple[str, str] | None:
         return None
     x, y = (" ".join(w).strip(" .,;:") for w in (old, new))
     return (x, y) if len(x) >= 3 and y and x.lower() != y.lower() else None
+
+
+def bulk(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(source_term, domain, target_term, action): terms after ``incoming(source_term, domain, target_term, seq)``.
+
+    The last of several renderings of a term counts.  ``added`` is new, ``updated`` has another rendering,
+    ``kept`` is as before; terms with a blank side are left out.
+    """
+    key = ["source_term", "domain"]
+    new = incoming.where((F.trim("source_term") != "") & (F.trim("target_term") != "")).groupBy(*key).agg(F.max_by("target_term", F.struct("seq", "target_term")).alias("new"))
+    old = existing.groupBy(*key).agg(F.min("target_term").alias("old"))
+    action = F.when(F.col("old").isNull(), "added").when(F.col("new").isNotNull() & (F.col("new") != F.col("old")), "updated").otherwise("kept")
+    return old.join(new, key, "full_outer").select(*key, F.coalesce("new", "old").alias("target_term"), action.alias("action"))

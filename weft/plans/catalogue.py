@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import checks
 from weft.functions import text as T
-from weft.operators import files, memory, terms
+from weft.operators import files, memory, protected, terms
 from weft.operators.dedup import first_delivery
 from weft.session import table
 
@@ -443,3 +443,50 @@ def call_latency(spark, d):
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR event_type <> b")
 def change_feed(spark, d):
     return files.changes(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+
+
+# ---------------------------------------------------------------- protected passages
+
+
+@query()
+def protected_spans(spark, d):
+    return protected.spans(seg(spark, d, "source_text"), "id", "source_text")
+
+
+@query()
+def verses_in_segments(spark, d):
+    return protected.verses_in(seg(spark, d, "source_text"), "id", "source_text", table(spark, d, "verse_catalogue"))
+
+
+@query()
+def normalized_segments(spark, d):
+    s = seg(spark, d, "source_text")
+    return protected.normalized(s.withColumn("before", F.col("source_text")), "source_text").where("before <> source_text").select("id", "source_text")
+
+
+@query()
+def batch_payloads(spark, d):
+    s = seg(spark, d, "file_id", "order_index", "source_text", "is_translatable", "is_locked").where(F.col("is_translatable") & ~F.col("is_locked"))
+    return files.payloads(s, files.greedy_batches(s)).select("file_id", "batch_no", F.length("payload").alias("chars"), F.sha2("payload", 256).alias("payload_hash"))
+
+
+BULK_SQL = f"""WITH old AS (SELECT source_term, 'general' AS domain, min(target_term) AS o FROM ({TERMS_SQL}) WHERE frequency > 2 GROUP BY ALL),
+neu AS (SELECT source_term, 'general' AS domain, max({{'f': frequency, 't': target_term}}).t AS n FROM ({TERMS_SQL}) GROUP BY ALL)
+SELECT source_term, domain, coalesce(n, o) AS target_term, CASE WHEN o IS NULL THEN 'added' WHEN n IS NOT NULL AND n <> o THEN 'updated' ELSE 'kept' END AS action FROM old FULL JOIN neu USING (source_term, domain)"""
+
+
+@query(BULK_SQL)
+def term_bulk_actions(spark, d):
+    t = term_pairs(spark, d).withColumn("domain", F.lit("general"))
+    return terms.bulk(t.where("frequency > 2"), t.withColumnRenamed("frequency", "seq"))
+
+
+@query(f"SELECT status, fmt, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM {FILES} GROUP BY ALL")
+def files_by_status(spark, d):
+    return source_files(spark, d, "status", "fmt", "size_bytes").groupBy("status", "fmt").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+@query(f"SELECT lang, kind, count(*) AS units, sum({words('text')})::BIGINT AS words FROM {UNIT} GROUP BY ALL")
+def units_by_language(spark, d):
+    u = first_delivery(table(spark, d, "text_units").select("unit_id", "lang", "kind", "text"), "unit_id")
+    return u.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("units"), F.sum(T.count_words("text")).alias("words"))
