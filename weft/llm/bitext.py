@@ -16,13 +16,15 @@ from weft.llm.words import TAG
 
 #: Memory entries, and as many segments, the lexicon is fitted on at most per language pair; chosen by a hash of the id.
 SAMPLE = 1500
+#: Pairs that must hold a word for it to be in the lexicon; rarer ones are mostly names.
+LEAST = 4
 #: Longest source text of a sampled entry, in characters: single sentences align best.
 LONGEST = 140
 WORD = re.compile(r"[^\W_]+")
 DATE = re.compile(r"(?<!\d)\d{1,2}[./](\d{2})[./]\d{4}(?!\d)")
 GROUPED = re.compile(r"(?<!\d)(\d{1,3})((?:[.,   ]\d{3})+)(?!\d)")
 # digits as ASCII, one form of letters that differ only by keyboard, nothing for characters that print nothing
-_PLAIN = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")} | {ord("ک"): "ك", ord("ی"): "ي", ord("ى"): "ي"} | dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF))
+_PLAIN = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")} | {ord("ک"): "ك", ord("ی"): "ي", ord("ى"): "ي", ord("İ"): "i"} | dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF))
 # Consonants of Arabic and Cyrillic letters in Latin writing; vowels and weak letters stand for nothing.
 CONSONANTS = {
     "ب": "b", "ت": "t", "ث": "t", "ج": "j", "ح": "h", "خ": "k", "د": "d", "ذ": "d", "ر": "r", "ز": "z", "س": "s", "ش": "s", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "غ": "g", "ف": "f", "ق": "k", "ك": "k", "ک": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h",
@@ -165,7 +167,7 @@ def sample(memory: DataFrame, segments: DataFrame | None = None, results: DataFr
 def fit(pairs: list[tuple[str, str, str, str]], rounds: int = 4, keep: float = 0.06) -> Lexicon:
     """Translation probabilities by expectation maximisation over sentence pairs, from each language into each other.
 
-    Words met fewer than three times are left to their written form (names, codes).
+    Words met fewer than LEAST times are left to their written form (names, codes).
     """
     coded = [(a, b, list(dict.fromkeys(tokens(s))), list(dict.fromkeys(tokens(t)))) for a, b, s, t in pairs]
     seen: Counter[str] = Counter()
@@ -176,7 +178,7 @@ def fit(pairs: list[tuple[str, str, str, str]], rounds: int = 4, keep: float = 0
                 if not any(c.isdigit() for c in w):
                     seen[w] += 1
                     spoken.setdefault(w, Counter())[lang] += 1
-    known = {w for w, n in seen.items() if n >= 3}
+    known = {w for w, n in seen.items() if n >= LEAST}
     likely: dict[str, dict[str, float]] = {}
     languages = sorted({(a, b) for a, b, _, _ in coded} | {(b, a) for a, b, _, _ in coded})
     for one, two in languages:
