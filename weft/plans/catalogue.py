@@ -364,7 +364,13 @@ def greedy_batches(spark, d):
     return files.greedy_batches(s)
 
 
-@query()
+PLAIN = TAGS.format("coalesce(source_text, '')")
+
+
+@query(
+    f"""SELECT id, right(coalesce(string_agg(p, ' ') OVER (PARTITION BY file_id ORDER BY order_index, id ROWS BETWEEN 221 PRECEDING AND 1 PRECEDING), ''), 220) AS before,
+left(coalesce(string_agg(p, ' ') OVER (PARTITION BY file_id ORDER BY order_index, id ROWS BETWEEN 1 FOLLOWING AND 221 FOLLOWING), ''), 220) AS after FROM (SELECT *, {PLAIN} AS p FROM {SEG})"""
+)
 def context_around(spark, d):
     return files.context(seg(spark, d, "file_id", "order_index", "source_text"))
 
