@@ -105,7 +105,7 @@ def shares(text: str) -> tuple[float, float, float, list[str]]:
                 first = nxt.split(maxsplit=1)[0] if nxt else ""
                 fits = len(line) + 1 + len(first) <= width
                 spaced = not UNSPACED.search(line)
-                go = nxt[:1].islower() or (width >= 25 and not fits and len(line) >= 20) or (not spaced and width >= 12 and len(line) >= width - 2)
+                go = nxt[:1].islower() or (width >= 25 and not fits and len(line) >= 20) or (not spaced and width >= 24 and len(line) >= width - 2)
             if not go:
                 paras.append((" ".join(para), len(para)))
                 para = []
