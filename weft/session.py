@@ -51,3 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(target)
     return df.checkpoint(eager=True)
+
+
+def lanes(spark: SparkSession) -> int:
+    """Partitions for work in Python that costs far more than its bytes tell.
+
+    Adaptive execution sizes partitions by bytes and would put a few megabytes of costly rows into one
+    task; a repartition by a stated number is left alone.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
