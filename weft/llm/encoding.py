@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.dedup import first_delivery
+from weft.session import lanes
 
 # Encodings that text is commonly misread in, the likelier first.
 LEGACY = ("cp1252", "latin-1", "cp1256", "cp1251", "cp1254", "mac_roman", "cp850", "cp437", "cp857", "cp866", "koi8_r", "iso8859_6", "iso8859_5", "iso8859_9", "cp720", "mac_turkish", "mac_cyrillic", "mac_arabic", "cp1250", "cp1253", "cp1255", "cp1257", "cp1258", "iso8859_2", "iso8859_15")
@@ -394,7 +395,7 @@ def restore(spans: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
             pdf["complete"] = [g[2] for g in got]
             yield pdf
 
-    base = spans.select("span_id", "file_id", "page", "text").where(F.col("span_id").isNotNull()).distinct()
+    base = spans.select("span_id", "file_id", "page", "text").where(F.col("span_id").isNotNull()).repartition(lanes(spans.sparkSession), "span_id").distinct()
     return base.mapInPandas(fix, SCHEMA)
 
 
