@@ -344,3 +344,15 @@ def test_alignment(spark, tables):
 def test_bitext_tokens():
     assert bitext.tokens("Pay ٢,٥٠٠ on 06.07.2028 <g1>now</g1>") == ["pay", "2500", "on", "6", "7", "2028", "now"]
     assert bitext.skeleton("باتونو") == bitext.skeleton("batunu")
+
+
+def test_short_part_of_a_merged_unit():
+    rng = random.Random(5)
+    lexicon = bitext.fit([("en", "fr", *bilingual(rng)) for _ in range(300)])
+    short, long = "The tenant checks the plan.", "The carrier keeps the invoice LS-3764 146 5812 Nilana Basanu on Monday without any delay"
+    merged = "Le transporteur conserve la facture LS-3764 146 5812 Nilana Basanu lundi sans aucun retard ; Le locataire vérifie le plan."
+    a, whole, _ = lexicon.covered(bitext.tokens(merged), bitext.tokens(short))
+    assert a / whole < 0.3
+    assert alignment.links([long, short], [merged], lexicon) == [(0, 0), (1, 0)]
+    assert alignment.links([merged], [long, short], lexicon) == [(0, 0), (0, 1)]
+    assert not alignment.agree(bitext.tokens("The school signs the policy on Monday without any delay."), bitext.tokens(merged), lexicon)
