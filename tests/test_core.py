@@ -106,6 +106,21 @@ def test_terms(spark):
     assert one.select(terms.replace_term(F.col("t"), "invoice", "b$ill")).first()[0] == "an b$ill, invoices"
 
 
+def test_term_enforcement_equals_substring_search(spark, monkeypatch):
+    sources = ["L'exemplaire signé est ici", "voir l'échéancier, svp", "L’échéancier", "وبالعقد يبدأ", "合同已签署", "The invoices", "the Invoice", "A well-known  rule", "", None]
+    texts = [(f"s{i}{j}", s, t) for i, s in enumerate(sources) for j, t in enumerate(("Nothing", "the SIGNED copy, schedule; contract", "", None))]
+    listed = [("L'exemplaire signé", "signed copy"), ("échéancier", "Schedule"), ("l'échéancier", "schedule"), ("العقد", "contract"), ("合同", "contract"), ("invoice", "facture"), ("invoice", "note"), ("well-known rule", "x"), (None, "z"), ("rule", None)]
+    want = {(k, a, b) for k, s, t in texts if s and t is not None for a, b in listed if a and b and a in " ".join(s.split()) and b.lower() not in t.lower()}
+    df = spark.createDataFrame(texts, "segment_id string, source_text string, target_text string")
+    t = spark.createDataFrame(listed, "source_term string, target_term string")
+    for block in (20_000, 2):
+        monkeypatch.setattr(terms, "BLOCK", block, raising=False)
+        got = [tuple(r) for r in terms.enforcement(df, t).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert terms.enforcement(df, t.limit(0)).count() == 0
+    assert terms.enforcement(df, spark.createDataFrame([("", "y")], t.schema)).count() == 0
+
+
 def test_greedy_batches(spark):
     rows = [("f", f"s{i:02d}", i, "x" * n) for i, n in enumerate((3000, 3000, 1, 9000, 5, 5))] + [("g", "t", 0, None)]
     df = spark.createDataFrame(rows, "file_id string, id string, order_index int, source_text string")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.session import cut
+
+#: Terms sent to every task at most; a longer list takes more passes over the texts.
+BLOCK = 20_000
 
 
 def candidates(pairs: DataFrame, most_words: int = 4) -> DataFrame:
@@ -34,15 +40,42 @@ def conflicts(terms: DataFrame) -> DataFrame:
 def enforcement(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """(segment_id, source_term, target_term): pairs whose source holds a term and whose answer lacks its rendering.
 
-    ``pairs(segment_id, source_text, target_text)``.  The join is by the first word of the term, so a
-    text meets only terms that can begin in it; containment is checked on the whole text.
+    ``pairs(segment_id, source_text, target_text)``.  A term is met wherever its characters stand, also inside
+    a word or an unspaced run; empty terms meet nothing.  One automaton of all terms runs once over each text;
+    the terms are taken in blocks of BLOCK, each sent to the workers once.
     """
-    first = F.lower(F.element_at(T.words("source_term"), 1))
-    best = terms.withColumn("word", first)
-    words = F.array_distinct(F.transform(T.words(F.lower(F.regexp_replace("source_text", r"[\p{P}]", " "))), lambda w: w))
-    exploded = pairs.select("segment_id", "source_text", "target_text", F.explode(words).alias("word"))
-    met = exploded.join(best, "word").where(F.contains(T.collapse("source_text"), F.col("source_term")) & ~F.contains(F.lower(T.collapse("target_text")), F.lower("target_term")))
-    return met.select("segment_id", "source_term", "target_term").distinct()
+    listed = cut(terms.where(F.col("source_term") != "").select("source_term", "target_term", F.lower("target_term").alias("wanted")).where(F.col("wanted").isNotNull()))
+    blocks = max(1, -(-listed.count() // BLOCK))
+    kind = dict(pairs.dtypes)["segment_id"]
+    texts = pairs.where(F.col("source_text").isNotNull() & F.col("target_text").isNotNull())
+    texts = texts.select("segment_id", T.collapse("source_text").alias("source"), F.lower(T.collapse("target_text")).alias("target"))
+    out = None
+    for b in range(blocks):
+        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("source_term"), F.lit(blocks)) == b)
+        own: dict[str, list[tuple[str, str]]] = {}
+        for r in part.collect():
+            own.setdefault(r["source_term"], []).append((r["target_term"], r["wanted"]))
+        shared = pairs.sparkSession.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for term, renderings in shared.value.items():
+                machine.add_word(term, (term, renderings))
+            if shared.value:
+                machine.make_automaton()
+            for pdf in batches:
+                rows = []
+                if shared.value:
+                    for key, source, target in zip(pdf["segment_id"], pdf["source"], pdf["target"]):
+                        met = dict(hit for _, hit in machine.iter(source))
+                        rows += [(key, term, rendering) for term, renderings in met.items() for rendering, wanted in renderings if wanted not in target]
+                yield pd.DataFrame(rows, columns=["segment_id", "source_term", "target_term"]).astype({"source_term": object, "target_term": object})
+
+        got = texts.mapInPandas(run, f"segment_id {kind}, source_term string, target_term string")
+        out = got if out is None else out.unionByName(got)
+    return out.distinct()
 
 
 def whole_word(term: str) -> str:
