@@ -72,6 +72,15 @@ def test_encoding_operator(spark):
     assert got[("f", 1)] == (1, False) and got[("f", 2)] == (0, True) and got[("f", 9)] == (0, True)
 
 
+def test_misread_words_stay_suspect_as_counts_grow(spark):
+    arabic, russian = "والزيارة القادمة في {} يونيو 2031.", "Музей хранит план в {} томах и в копии"
+    garbled = [(arabic.format(8).replace("يونيو", "нжднж"), arabic.format(8)), (russian.format(3).encode("cp1251").decode("koi8_r"), russian.format(3))]
+    rows = [t.format(i) for i in range(60) for t in (arabic, russian)] + [g for g, _ in garbled for _ in range(4)]
+    df = spark.createDataFrame([(i, "f", 1, t) for i, t in enumerate(rows)], "span_id long, file_id string, page int, text string")
+    got = {r["span_id"]: r["restored"] for r in encoding.restore(df).where("affected").collect()}
+    assert got == {120 + k: garbled[k // 4][1] for k in range(8)}
+
+
 # ---------------------------------------------------------------- 5 sentences
 
 UNITS = [

@@ -28,6 +28,8 @@ SWAPS = (
 MAIN = ("cp1252", "latin-1", "cp1254", "cp437", "cp850", "cp857", "mac_roman")
 #: A passage is repaired again at most so often: text garbled twice or three times.
 ROUNDS = 4
+#: A word whose form in another encoding is so many times as frequent is that word misread, however often it occurs.
+MISREAD = 10
 TOKEN = re.compile(r"[^ \t\n]+")
 
 
@@ -250,6 +252,16 @@ class Lexicon:
         return good / len(steps)
 
 
+def without_misread(words: dict[str, int]) -> dict[str, int]:
+    """The counts without words of two letters or more that are a far more frequent word in a wrong encoding.
+
+    The share of garbled text stays as a corpus grows and its counts do not, so a ratio tells them at any size.
+    Single letters and signs are kept: sound ones stand for frequent letters in other encodings, too.
+    """
+    tables = [_swap_table(*swap) for swap in SWAPS]
+    return {w: n for w, n in words.items() if len(w) < 2 or w.isascii() or not any(words.get(w.translate(t), 0) > MISREAD * n for t in tables)}
+
+
 _QUOTES = "‘’“”„‚«»‹›–—•…'\""
 
 
@@ -273,7 +285,7 @@ def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     suspects = [w for w in set(words_of(text)) if not w.isascii() and (lexicon.score(w) < 0.95 or _shouts(w))]
     if not suspects:
         return text, False
-    best: tuple[float, dict[str, str]] | None = None
+    best: tuple[float, dict[str, str], dict[int, str]] | None = None
     for read_as, written_in in SWAPS:
         table = _swap_table(read_as, written_in)
         gain, change = 0.0, {}
@@ -300,11 +312,15 @@ def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
                 gain += (now - was) * len(w)
                 change[w] = alt
         if change and (best is None or gain > best[0]):
-            best = (gain, change)
+            best = (gain, change, table)
     if best is not None:
         known = any(lexicon.score(x) >= 3 for alt in best[1].values() for x in words_of(alt))
         foreign = any(_script(c) in ("c", "r") for alt in best[1].values() for c in alt)
         if known or foreign and (len(best[1]) > 1 or sum(map(len, best[1])) >= 4):
+            for w in set(words_of(text)).difference(best[1]):  # known words, single letters mostly, that are rare beside what they stand for
+                alt = w.translate(best[2])
+                if words_of(alt) == [alt] and lexicon.words.get(alt, 0) > MISREAD * lexicon.words.get(w, 0) > 0:
+                    best[1][w] = alt
             return _WORD.sub(lambda m: best[1].get(m[0], m[0]), text), True
     was = _weight(text, lexicon)
     top: tuple[float, str] | None = None
@@ -362,9 +378,10 @@ def fit_lexicon(spans: DataFrame, least: int = 3, words: int = 60_000) -> Lexico
     """The words of all spans that occur at least ``least`` times, the ``words`` most frequent of them.
 
     The lexicon is a model of bounded size (``words`` entries, about 2 MB); counts cover all rows.
+    Words that are frequent ones misread are left out.
     """
     rows = word_counts(spans).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect()
-    return Lexicon({r["word"]: r["n"] for r in rows})
+    return Lexicon(without_misread({r["word"]: r["n"] for r in rows}))
 
 
 SCHEMA = "span_id long, file_id string, page int, text string, restored string, affected boolean, complete boolean"
