@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 from difflib import SequenceMatcher
 
@@ -88,6 +89,20 @@ def test_fuzzy_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_fuzzy_compares_the_whole_band(spark, monkeypatch):
+    rng = random.Random(3)
+    query = "The tenant signs the annual report of the museum in two copies before the end of Monday 日本"
+    other = ["".join(rng.choice("abcdefghij ") for _ in query).strip().ljust(len(query), "x") for _ in range(900)]
+    m = [(f"a{i:03d}", t, "en", "fr", "d") for i, t in enumerate(other)] + [("z1", query + " at noon", "en", "fr", "d"), ("z2", query[:-12], "en", "fr", "d"), ("z3", " ", "en", "fr", "d"), ("z4", None, "en", "fr", "d")]
+    queries = spark.createDataFrame([("q", query, "en", "fr")], "id string, text string, source_lang string, target_lang string")
+    entries = spark.createDataFrame(m, "id string, text string, source_lang string, target_lang string, domain string")
+    want = sorted((-int(SequenceMatcher(None, t, query, autojunk=False).ratio() * 100), abs(len(t) - len(query)), k) for k, t, *_ in m[900:902])
+    for chars in (500_000, 4_000):
+        monkeypatch.setattr(memory, "BLOCK_CHARS", chars, raising=False)
+        got = sorted(memory.fuzzy(queries, entries, "d").collect(), key=lambda r: r["place"])
+        assert [(r["memory_id"], r["score"]) for r in got] == [(k, -s) for s, _, k in want]
+
+
 def test_upsert(spark):
     m = spark.createDataFrame([("a", "Old", "X", "en", "fr", "g", 2)], "id string, source_text string, target_text string, source_lang string, target_lang string, domain string, usage_count int").withColumn("source_hash", T.text_hash("source_text"))
     u = spark.createDataFrame([("Old", "Y", "en", "fr", "g", 1), ("Old", "Z", "en", "fr", "g", 2), ("New", "N", "en", "fr", "g", 3), (" ", "N", "en", "fr", "g", 4)], "source_text string, target_text string, source_lang string, target_lang string, domain string, seq int")

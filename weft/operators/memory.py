@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.session import cut, lanes
 
 #: Length bucket of the band join, in characters.
 BUCKET = 16
+#: Characters of entries and number of queries that meet in one block of the fuzzy lookup.
+BLOCK_CHARS, BLOCK_QUERIES = 500_000, 500
 
 
 def exact(segments: DataFrame, memory: DataFrame, domain: str | None = None) -> DataFrame:
@@ -59,31 +62,81 @@ def similarity(query: str, candidate: str) -> int:
     return int(m.ratio() * 100)
 
 
+def common(query: np.ndarray, texts: np.ndarray, letters: int) -> np.ndarray:
+    """Length of the longest common subsequence of a text with each of many, letters given by number.
+
+    ``texts`` has a column for each, filled up with ``letters``.  Bit-parallel: a bit of state for each letter
+    of the query, 64 a word, and all texts go on by one letter at a time; the zeros left are the length.
+    """
+    words = -(-len(query) // 64)
+    masks = np.zeros((words, letters + 1), dtype=np.uint64)
+    at = np.flatnonzero(query >= 0)
+    np.bitwise_or.at(masks, (at // 64, query[at]), np.uint64(1) << (at % 64).astype(np.uint64))
+    state = np.full((words, texts.shape[1]), ~np.uint64(0))
+    for column in texts:
+        carry = None
+        for k in range(words):
+            v, mask = state[k], masks[k][column]
+            more = v + (v & mask)
+            over = more < v
+            if carry is not None:
+                more += carry
+                over |= more < carry
+            carry = over.astype(np.uint64)
+            state[k] = more | (v & ~mask)
+    return 64 * words - np.bitwise_count(state).sum(0, dtype=np.int64)
+
+
 def fuzzy(queries: DataFrame, memory: DataFrame, domain: str, threshold: int = 75, limit: int = 5) -> DataFrame:
     """(segment_id, memory_id, score, place): the ``limit`` most similar entries of every query.
 
-    Two bounds computed in the JVM, from the lengths and from the letters two texts share, thin out the
-    candidates before the exact ratio is taken.
+    All entries in the length band of a query are compared, however many.  The longest common subsequence
+    bounds the ratio from above and is taken of many entries at once; only where it reaches the threshold is the
+    exact ratio taken.  Queries and entries of one length bucket meet in blocks of BLOCK_CHARS by BLOCK_QUERIES,
+    so a hot bucket is many tasks and pairs are never shuffled.
     """
-    cands = band(queries, memory, domain, threshold)
     r = threshold / 100
-    a, b = F.length("query"), F.length("candidate")
-    by_length = 2 * F.least(a, b) / (a + b) >= r
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score, m, last = [], SequenceMatcher(None, autojunk=False), None
-            for q, c in zip(pdf["query"], pdf["candidate"]):
-                if q != last:
-                    m.set_seq2(q)
-                    last = q
-                m.set_seq1(c)
-                score.append(int(m.ratio() * 100) if m.quick_ratio() >= r else 0)
-            out = pdf[["segment_id", "memory_id", "gap"]].copy()
-            out["score"] = pd.Series(score, dtype="int32", index=pdf.index)
-            yield out[out["score"] >= threshold]
-
-    scored = cands.where(by_length).select("segment_id", "memory_id", "query", "candidate", "gap").mapInPandas(run, "segment_id string, memory_id string, gap int, score int")
+    key, size = ["source_lang", "target_lang", "bucket"], F.length("query")
+    q = cut(
+        queries.select(F.col("id").alias("segment_id"), T.visible("text").alias("query"), "source_lang", "target_lang").where(size >= 8)
+        .withColumn("low", F.floor(size * r).cast("int")).withColumn("high", (F.floor(size / r) + 1).cast("int"))
+        .withColumn("bucket", F.explode(F.sequence((F.col("low") / BUCKET).cast("int"), (F.col("high") / BUCKET).cast("int"))))
+    )
+    m = memory.where(F.col("domain") == domain).select(F.col("id").alias("memory_id"), T.visible("text").alias("candidate"), "source_lang", "target_lang")
+    m = cut(m.withColumn("size", F.length("candidate")).where(F.col("size") > 0).withColumn("bucket", (F.col("size") / BUCKET).cast("int")))
+    blocks = m.groupBy(*key).agg(F.ceil(F.sum("size") / BLOCK_CHARS).cast("int").alias("parts")).join(q.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("lots")), key)
+    own, each = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    meet, spread = [*key, "part", "lot"], lanes(queries.sparkSession)
+    q = q.join(blocks, key).withColumn("lot", own("segment_id", "lots")).withColumn("part", each("parts")).drop("parts", "lots").repartition(spread, *meet)
+    m = m.join(blocks, key).withColumn("part", own("memory_id", "parts")).withColumn("lot", each("lots")).drop("parts", "lots").repartition(spread, *meet)
+
+    def run(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(qs) and len(ms):
+            coded = [np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in ms["candidate"]]
+            alphabet, sizes = np.unique(np.concatenate(coded)), ms["size"].to_numpy()
+            texts = np.full((int(sizes.max()), len(ms)), len(alphabet), dtype=np.int32)
+            for i, x in enumerate(coded):
+                texts[: len(x), i] = np.searchsorted(alphabet, x)
+            ids, candidates, matcher = ms["memory_id"].tolist(), ms["candidate"].tolist(), SequenceMatcher(None, autojunk=False)
+            for segment, text, low, high in zip(qs["segment_id"], qs["query"], qs["low"], qs["high"]):
+                fit = np.flatnonzero((sizes >= low) & (sizes <= high))
+                if not len(fit):
+                    continue
+                x = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+                place = np.minimum(np.searchsorted(alphabet, x), len(alphabet) - 1)
+                most = common(np.where(alphabet[place] == x, place, -1), texts[: sizes[fit].max(), fit], len(alphabet))
+                near = fit[200 * most >= threshold * (len(x) + sizes[fit])]
+                if len(near):
+                    matcher.set_seq2(text)
+                for i in near:
+                    matcher.set_seq1(candidates[i])
+                    score = int(matcher.ratio() * 100)
+                    if score >= threshold:
+                        rows.append((segment, ids[i], abs(int(sizes[i]) - len(x)), score))
+        return pd.DataFrame(rows, columns=["segment_id", "memory_id", "gap", "score"]).astype({"segment_id": object, "memory_id": object, "gap": "int32", "score": "int32"})
+
+    scored = q.groupBy(*meet).cogroup(m.groupBy(*meet)).applyInPandas(run, "segment_id string, memory_id string, gap int, score int")
     w = Window.partitionBy("segment_id").orderBy(F.desc("score"), "gap", "memory_id")
     return scored.select("segment_id", "memory_id", "score", F.row_number().over(w).alias("place")).where(F.col("place") <= limit)
 
