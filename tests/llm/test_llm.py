@@ -167,6 +167,16 @@ def test_leaks(spark):
     assert leaks.found(d, items.limit(0)).count() == 0
 
 
+def test_short_items_leak(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    five, eight = words[:5], words[5:13]
+    parts = [five, *[eight[k : k + 4] for k in range(5)], five[:2], eight[:3]]
+    docs = spark.createDataFrame([(i, " ".join(words[20:60] + part + words[60:100])) for i, part in enumerate(parts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(five)), (2, " ".join(eight))], "item_id long, text string")
+    assert sorted(tuple(r) for r in leaks.found(docs, items).collect()) == [(0, 1), *[(k, 2) for k in range(1, 6)]]
+
+
 def test_leak_blocks_agree(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))) for i in range(12)]

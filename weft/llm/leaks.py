@@ -83,12 +83,13 @@ def gram_counts(docs: DataFrame, wanted: frozenset[tuple[str, ...]]) -> DataFram
 
 
 def seeds_of(items: dict[int, list[str]], frequency: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[int]]:
-    """n-gram -> items it is a seed of: the rarest of every WINDOW neighbouring n-grams of each item."""
+    """n-gram -> items it is a seed of: the rarest of every WINDOW neighbouring n-grams of each item, all of a short one."""
     out: dict[tuple[str, ...], list[int]] = {}
     for key, words in items.items():
         gs = grams(words)
-        for k in range(0, len(gs), WINDOW):
-            best = min(gs[k : k + WINDOW], key=lambda g: frequency.get(g, 0))
+        step = 1 if len(gs) <= 2 * WINDOW else WINDOW
+        for k in range(0, len(gs), step):
+            best = min(gs[k : k + step], key=lambda g: frequency.get(g, 0))
             own = out.setdefault(best, [])
             if key not in own:
                 own.append(key)
@@ -101,12 +102,15 @@ OUT = "doc_id long, item_id long, part double, agreement double, words int"
 def _search(docs: DataFrame, items: dict[int, list[str]], frequency: dict[tuple[str, ...], int]) -> DataFrame:
     seeds = seeds_of(items, frequency)
     count = {k: sum(k in v for v in seeds.values()) for k in items}
+    # seeds of an item that a document must hold; of a short item one will do
+    least = {k: 1 if count[k] <= 2 or len(grams(ws)) <= 2 * WINDOW else max(2, 0.15 * count[k]) for k, ws in items.items()}
+    alone = frozenset(g for g, keys in seeds.items() if any(least[k] == 1 for k in keys))
     vocabulary: dict[str, int] = {}
     coded = {k: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], dtype=np.int32) for k, ws in items.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, count, vocabulary, coded))
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, least, alone, vocabulary, coded))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, count, vocabulary, coded = shared.value
+        seeds, least, alone, vocabulary, coded = shared.value
         known = frozenset(seeds)
         for pdf in batches:
             rows = []
@@ -116,7 +120,7 @@ def _search(docs: DataFrame, items: dict[int, list[str]], frequency: dict[tuple[
                 ws = words_of(t)
                 gs = grams(ws)
                 met = known.intersection(gs)
-                if len(met) < 2:
+                if len(met) < 2 and alone.isdisjoint(met):
                     continue
                 hits: dict[int, int] = {}
                 for g in met:
@@ -124,7 +128,7 @@ def _search(docs: DataFrame, items: dict[int, list[str]], frequency: dict[tuple[
                         hits[key] = hits.get(key, 0) + 1
                 ids = None
                 for key, n in hits.items():
-                    if n < max(2, 0.15 * count[key]) and count[key] > 2:
+                    if n < least[key]:
                         continue
                     if ids is None:
                         ids = np.array([vocabulary.get(w, -1) for w in ws], dtype=np.int32)
@@ -134,7 +138,7 @@ def _search(docs: DataFrame, items: dict[int, list[str]], frequency: dict[tuple[
                                 where.setdefault(g, []).append(p)
                     item = coded[key]
                     spots = sorted(p for g in met if key in seeds[g] for p in where[g])
-                    for a, b in _regions(spots, len(item), len(ids), max(2, 0.15 * count[key]) if count[key] > 2 else 1):
+                    for a, b in _regions(spots, len(item), len(ids), least[key]):
                         i0, i1, j0, j1, same = align(item, ids[a:b])
                         span = i1 - i0
                         if span and span >= 0.25 * len(item):
