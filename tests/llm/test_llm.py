@@ -276,6 +276,21 @@ def test_scanned(spark):
     assert scanned.found(df.limit(0)).count() == 0
 
 
+def test_word_counts_do_not_depend_on_batches(spark):
+    running = [(10 * f + p, f"f{f}", p, p, "body", "Nilana Report", None) for f in range(3) for p in range(1, 7)]
+    body = [(100 + k, "f0", k, 9, "body", "Rules of the harbour\nthe harbour keeps the ledger", None) for k in range(3)]
+    df = spark.createDataFrame([*running, *body, *running, *body], "block_id long, file_id string, page int, seq int, kind string, text string, cells array<string>")
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for rows, parts in ((10_000, 1), (2, 1), (2, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        words = scanned.learn_words(df.repartition(parts))
+        got.append((words[0].words, words[1]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    assert got[0] == got[1] == got[2]
+    assert got[0][0]["nilana"] == 3 and got[0][0]["harbour"] == 4 and got[0][0]["ledger"] == 3
+
+
 # ---------------------------------------------------------------- 2 and 3 bilingual
 
 WHO = {"tenant": "locataire", "museum": "musée", "school": "école", "carrier": "transporteur", "auditor": "auditeur"}

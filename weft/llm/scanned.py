@@ -244,26 +244,29 @@ def is_split(front: str, rest: str, lexicon: Lexicon) -> bool:
 def learn_words(blocks: DataFrame) -> tuple[Lexicon, int]:
     """Word, compound and token-shape counts over all blocks, summed in each task; what is frequent comes to the driver.
 
-    A short line that opens a block counts once a batch however often it comes: else the names in running
-    lines would be frequent words.
+    Blocks delivered again count once.  A short line that opens a block, or is all of it, counts once a file
+    however often it comes there: else the names in running lines would be frequent words.
     """
 
+    def opening(lines: list[tuple[int, str]]) -> bool:
+        return len(lines) == 1 or len(lines) > 1 and len(lines[0][1]) < 60  # a running line may open the block
+
+    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for block, file, text, cells in zip(pdf["block_id"], pdf["file_id"], pdf["text"], pdf["cells"]):
+                lines = lines_of(text, cells)
+                if opening(lines):
+                    rows.append((block, file, key_of(lines[0][1])))
+            yield pd.DataFrame(rows, columns=["block_id", "file_id", "key"]).astype({"block_id": "int64", "file_id": object, "key": object})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n: dict[tuple[str, str], int] = {}
-            met: set[str] = set()
-            for text, cells in zip(pdf["text"], pdf["cells"]):
+            for text, cells, first in zip(pdf["text"], pdf["cells"], pdf["first"]):
                 lines = lines_of(text, cells)
-                if len(lines) > 1 and len(lines[0][1]) < 60:  # a running line may open the block
-                    first = key_of(lines[0][1])
-                    if first in met:
-                        lines = lines[1:]
-                    met.add(first)
-                elif len(lines) == 1:
-                    first = key_of(lines[0][1])
-                    if first in met:
-                        continue
-                    met.add(first)
+                if not first and opening(lines):
+                    lines = lines[1:]
                 for t in plain_tokens(lines):
                     digit = any(c.isdigit() for c in t)
                     if digit and any(c.isalpha() for c in t):
@@ -283,8 +286,11 @@ def learn_words(blocks: DataFrame) -> tuple[Lexicon, int]:
                     n[("t", "")] = n.get(("t", ""), 0) + 1
             yield pd.DataFrame({"kind": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values())}).astype({"kind": object, "key": object, "n": "int64"})
 
+    known = F.col("block_id").isNotNull() & F.col("file_id").isNotNull()
+    base = first_delivery(blocks.where(known).select("block_id", "file_id", "text", "cells"), "block_id")
+    firsts = base.mapInPandas(openings, "block_id long, file_id string, key string").groupBy("file_id", "key").agg(F.min("block_id").alias("block_id")).select("block_id", F.lit(True).alias("first"))
     rows = (
-        blocks.select("text", "cells").mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        base.join(firsts, "block_id", "left").select("text", "cells", F.coalesce("first", F.lit(False)).alias("first")).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
         .where((F.col("n") >= LEAST) | (F.col("kind") == "t")).orderBy(F.desc("n"), "kind", "key").limit(LEXICON).collect()
     )
     words = {r["key"]: r["n"] for r in rows if r["kind"] == "w"}
