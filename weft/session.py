@@ -28,28 +28,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows the driver has made, as a local relation of known size, which the optimizer can broadcast by measure."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set to a local one only where it is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset, a folder of this machine serves a local session, as in tests; it is removed
+    at exit.  A cluster without a shared folder is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    jsc = spark.sparkContext._jsc.sc()
-    existing = jsc.getCheckpointDir()
+    existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    import atexit
+    import shutil
     import tempfile
 
     made = tempfile.mkdtemp(prefix="weft-checkpoint-")
-    spark.sparkContext.setCheckpointDir(made)
+    atexit.register(shutil.rmtree, made, True)
     return made
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    target = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(target)
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
