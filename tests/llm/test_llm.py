@@ -198,18 +198,45 @@ def test_apportion():
     assert mixing.apportion({}, 5) == {}
 
 
-def test_mix(spark):
-    rows = [(i, "big", 100) for i in range(400)] + [(1000 + i, "small", 100) for i in range(40)] + [(2000, None, 5), (2001, "empty", 0)]
+def test_subset_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = [rng.randint(1, 40) for _ in range(rng.randint(0, 9))]
+        want = rng.uniform(-5, 1.2 * sum(sizes) + 3)
+        sums = {sum(n for i, n in enumerate(sizes) if mask >> i & 1) for mask in range(1 << len(sizes))}
+        got = sum(n for n, take in zip(sizes, mixing.subset(sizes, want)) if take)
+        assert abs(got - want) == min(abs(x - want) for x in sums)
+
+
+def test_mix(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "big", rng.randint(1, 900)) for i in range(600)] + [(1000 + i, "small", rng.randint(20, 300)) for i in range(40)] + [(2000, None, 5), (2001, "empty", 0), (2002, "one", 7000)]
+    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame(
+        [("m", "big", 0.7, 1), ("m", "small", 0.2, 3), ("m", "none", 0.1, 5), ("m", "small", 0.2, 3), ("t", "small", 0.5, 2), ("t", "one", 0.5, 1), ("n", None, 1.0, 1), (None, "big", 1.0, 1), ("z", "big", 1.0, 0)],
+        "mix_name string, source string, target_share double, max_repeats int",
+    )
+    for docs_a_shard in (1000, 90):  # one shard of each source, then several of the big one
+        monkeypatch.setattr(mixing, "SHARD_DOCS", docs_a_shard)
+        chosen = mixing.records(counts, targets)
+        got = {(r["mix_name"], r["source"]): r for r in mixing.shares_reached(chosen, counts, targets).collect()}
+        assert got["m", "none"]["records"] == 0 and got["m", "none"]["remark"] == "no documents"
+        assert got["m", "small"]["remark"] == "sets the size" and got["m", "small"]["most_repeats"] == 3 and got["m", "big"]["most_repeats"] == 1
+        assert abs(got["m", "big"]["reached_share"] - 0.7 / 0.9) < 0.0005 and abs(got["m", "small"]["reached_share"] - 0.2 / 0.9) < 0.0005
+        assert abs(got["t", "small"]["reached_share"] - 0.5) < 0.005 and got["t", "one"]["records"] == 1
+        again = mixing.records(counts.repartition(7), targets)
+        assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
+    assert mixing.records(counts.limit(0), targets).count() == 0
+    assert mixing.records(counts, targets.limit(0)).count() == 0
+
+
+def test_mix_may_leave_few_documents_aside(spark):
+    rows = [(i, "big", 100) for i in range(400)] + [(1000, "one", 50)]
     counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
-    targets = spark.createDataFrame([("m", "big", 0.7, 1), ("m", "small", 0.2, 3), ("m", "none", 0.1, 5), ("m", "small", 0.2, 3)], "mix_name string, source string, target_share double, max_repeats int")
-    chosen = mixing.records(spark, counts, targets)
-    got = {r["source"]: r for r in mixing.shares_reached(chosen, targets).collect()}
-    assert got["none"]["records"] == 0
-    assert abs(got["big"]["reached_share"] - 0.7778) < 0.03 and abs(got["small"]["reached_share"] - 0.2222) < 0.03
-    assert got["small"]["most_repeats"] <= 3 and got["big"]["most_repeats"] <= 1
-    again = mixing.records(spark, counts, targets)
-    assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
-    assert mixing.records(spark, counts.limit(0), targets).count() == 0
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "one", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    exact = {r["source"]: r["tokens"] for r in mixing.shares_reached(mixing.records(counts, targets), counts, targets).collect()}
+    large = {r["source"]: r["tokens"] for r in mixing.shares_reached(mixing.records(counts, targets, few=20), counts, targets).collect()}
+    assert exact == {"big": 100, "one": 100} and large == {"big": 40000, "one": 100}
 
 
 def test_token_counts(spark):

@@ -77,16 +77,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def _chosen(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.records(spark, cut(mixing.token_counts(table(spark, d, "documents"))), table(spark, d, "mix_targets"))
-
-
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares_reached(_chosen(spark, d), table(spark, d, "mix_targets"))
+    counts, targets = cut(mixing.token_counts(table(spark, d, "documents"))), table(spark, d, "mix_targets")
+    return mixing.shares_reached(mixing.records(counts, targets), counts, targets)
 
 
 def p9_records(spark: SparkSession, d: str) -> DataFrame:
-    return _chosen(spark, d)
+    return mixing.records(cut(mixing.token_counts(table(spark, d, "documents"))), table(spark, d, "mix_targets")).drop("bound")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
