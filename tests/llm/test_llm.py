@@ -133,6 +133,16 @@ def test_packing_keeps_every_character():
             assert len(parts) == 1 or n > capacity
 
 
+def test_packing_fills_classes_by_their_count():
+    bins = packing.pack([40] * 10 + [30] * 9 + [11] * 18 + [0], 100, None)
+    assert sorted(len(b) for b in bins if {i for i, _, _ in b} & set(range(10))) and len(bins) <= 10
+    assert [len(b) for b in packing.pack([34] * 7, 100, None)] == [2, 2, 2, 1]
+    assert [len(b) for b in packing.pack([5] * 25, 100, 10)] == [10, 10, 5]
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 60) for _ in range(3000)]
+    assert len(packing.pack(sizes, 100, None)) <= 1.03 * sum(sizes) / 100
+
+
 def test_packing_operator(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 10)
     rows = [(f"s{i}", "f", True, "x" * (i % 7)) for i in range(50)] + [("n", "f", True, None), ("u", "f", False, "x"), (None, "f", True, "x"), ("o", None, True, "x"), ("s1", "f", True, "x")]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from weft.operators.dedup import first_delivery
 
-#: Items longer than capacity / CLASSES form classes of their own; shorter ones fill what those leave.
-CLASSES = 4
 #: Rows that one task packs at most, about: a file with more is cut into shards packed independently.
 SHARD_ROWS = 20_000
 
@@ -19,49 +18,39 @@ SHARD_ROWS = 20_000
 def pack(sizes: list[int], capacity: int, most: int | None) -> list[list[tuple[int, int, int]]]:
     """Bins of (item, start, end): harmonic packing of one shard.
 
-    An item longer than the capacity is cut into full pieces and a rest, no other item is split.
-    Pieces of length in (C/(j+1), C/j] form class j, whose bins take j each (``most`` at most); the
-    class fixes the count, so classes never wait for each other.  What the bins of the long classes
-    leave over takes the short pieces, longest first, each into the fullest bin it fits; the rest open
-    bins of their own.  Empty items go with any bin.  A capacity under 1 counts as 1.
+    An item longer than the capacity C is cut into full pieces and a rest, no other item is split.
+    Pieces of length in (C/(j+1), C/j] form class j, for every j that the lengths call for; where a bin
+    takes at most ``most`` pieces, all of C/most or shorter are one class.  A bin of class j takes j
+    pieces, whatever their lengths.  Classes are packed from the longest to the shortest.  Before a
+    class opens bins of its own, the bins that longer classes left open, the roomiest first, take from
+    it as many pieces as the longest of them that fits allows by count.  Empty pieces go with any bin
+    of the last class.  A capacity under 1 counts as 1.
     """
     capacity = max(1, capacity)
     limit = max(1, most) if most is not None else 1 << 60
-    pieces: list[tuple[int, int, int, int]] = []
+    classes: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     for i, n in enumerate(sizes):
-        if n <= capacity:
-            pieces.append((n, i, 0, n))
-        else:
-            pieces += [(min(capacity, n - a), i, a, min(n, a + capacity)) for a in range(0, n, capacity)]
-    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+        for a in range(0, max(n, 1), capacity):
+            b = min(n, a + capacity)
+            classes[min(limit, capacity // max(1, b - a))].append((a - b, i, a, b))
     bins: list[list[tuple[int, int, int]]] = []
-    free: list[int] = []
-    k = 0
-    while k < len(pieces) and pieces[k][0] * CLASSES > capacity:
-        j = max(1, capacity // pieces[k][0])
-        take, own, used = min(j, limit), [], 0
-        while k < len(pieces) and len(own) < take and pieces[k][0] * CLASSES > capacity and used + pieces[k][0] <= capacity and capacity // pieces[k][0] == j:
-            n, i, a, b = pieces[k]
-            own.append((i, a, b))
-            used += n
-            k += 1
-        bins.append(own)
-        free.append(capacity - used)
-    room = sorted((f, -i) for i, f in enumerate(free) if len(bins[i]) < limit)
-    for n, i, a, b in pieces[k:]:
-        at = bisect_left(room, (n, -len(bins)))
-        if at == len(room):
-            bins.append([])
-            free.append(capacity)
-            at = len(room)
-            insort(room, (capacity, -(len(bins) - 1)))
-            at = bisect_left(room, (n, -len(bins)))
-        f, minus = room.pop(at)
-        x = -minus
-        bins[x].append((i, a, b))
-        free[x] = f - n
-        if len(bins[x]) < limit:
-            insort(room, (f - n, -x))
+    left: list[tuple[int, int]] = []  # (room, number) of bins that may take more
+    for j in sorted(classes):
+        pieces = sorted(classes[j])
+        still = []
+        for room, x in sorted(left, key=lambda r: (-r[0], r[1])):
+            while len(bins[x]) < limit and (at := bisect_left(pieces, (-room,))) < len(pieces):
+                longest = -pieces[at][0]
+                count = min(limit - len(bins[x]), room // longest if longest else limit)
+                room += sum(p[0] for p in pieces[at : at + count])
+                bins[x] += [p[1:] for p in pieces[at : at + count]]
+                del pieces[at : at + count]
+            still.append((room, x))
+        for at in range(0, len(pieces), j):
+            own = pieces[at : at + j]
+            still.append((capacity + sum(p[0] for p in own), len(bins)))
+            bins.append([p[1:] for p in own])
+        left = [(room, x) for room, x in still if len(bins[x]) < limit]
     return bins
 
 
