@@ -273,6 +273,8 @@ def test_shapes(spark):
     got = {r["doc_id"]: r["shape"] for r in quality.found(df).collect()}
     assert got == {101: "list", 102: "table", 103: "junk", 104: "junk", 105: "junk", 108: "junk", 109: "junk"}
     assert quality.found(df.limit(0)).count() == 0
+    scored = {r["doc_id"]: r for r in quality.percentiles(quality.statistics(df)).collect()}
+    assert scored[101]["prose_share_z"] < -9 and scored[102]["table_share_pct"] > 0.9 and scored[104]["common_share_z"] < -8 and abs(scored[0]["prose_share_z"]) < 1
 
 
 # ---------------------------------------------------------------- 1 scans

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.words import language_of
-from weft.session import cut
+from weft.session import cut, small_table
 
 WORD = re.compile(r"[^\W\d_]+")
 _END = frozenset(".!?؟。！？۔…")
@@ -26,8 +26,8 @@ LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$|…+\s*\d+\s*$")
 BAR = re.compile(r"(?:^|\s)[¦│‖┃~](?=\s|$)")
 RULE = re.compile(r"[+|=─━┼╋*:-]{5,}$")
 UNSPACED = re.compile(r"[一-鿿฀-๿]")
-STATS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "end_share", "common_share", "repeat_share", "list_share", "table_share", "prose_share")
-SKETCHED = ("mean_word_length", "symbol_ratio", "end_share", "common_share", "repeat_share")
+STATS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "words_a_line", "end_share", "common_share", "repeat_share", "few_share", "list_share", "table_share", "prose_share")
+SKETCHED = ("mean_word_length", "symbol_ratio", "digit_ratio", "words_a_line", "end_share", "common_share", "repeat_share", "few_share", "list_share", "table_share", "prose_share")
 
 
 def ended(line: str) -> bool:
@@ -149,7 +149,7 @@ _KINDS: dict[str, str] = {}
 
 
 def measure(text: str, common: frozenset[str] | set[str]) -> tuple:
-    """Language, the figures of STATS and the share of repeated words of one text."""
+    """Language and the figures of STATS of one text."""
     toks = tokens(text)
     chars, counted = Counter(text), Counter(toks)
     letters = digits = ordinary = blank = 0
@@ -177,8 +177,8 @@ def measure(text: str, common: frozenset[str] | set[str]) -> tuple:
     few = 1 - len(counted) / len(toks) if len(toks) >= 12 else 0.0
     words = len(toks)
     return (
-        language_of(text, chars, counted), words, sum(map(len, toks)) / words if words else 0.0, symbols / size, digits / size, len(lines), stops / len(lines) if lines else 0.0,
-        known / words if words else 0.0, max(dup, top), li, ta, pr, few,
+        language_of(text, chars, counted), words, sum(map(len, toks)) / words if words else 0.0, symbols / size, digits / size, len(lines), words / max(1, len(lines)), stops / len(lines) if lines else 0.0,
+        known / words if words else 0.0, max(dup, top), few, li, ta, pr,
     )
 
 
@@ -195,8 +195,8 @@ def _group(words: set[str]) -> str:
 def common_words(docs: DataFrame, share: float = 0.01, least: int = 3) -> DataFrame:
     """(lang, word): words in at least ``share`` of the documents in one script, over all documents.
 
-    Document counts are summed within each task before the shuffle.  Scripts are detected, since the
-    table's language is partly wrong.
+    Document counts are summed within each task before the shuffle and written once; totals and words
+    are read from there.  Scripts are detected, since the table's language is partly wrong.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,36 +208,35 @@ def common_words(docs: DataFrame, share: float = 0.01, least: int = 3) -> DataFr
                     lang = _group(own)
                     n[(lang, "")] = n.get((lang, ""), 0) + 1
                     for w in own:
-                        if len(w) <= 24:
-                            n[(lang, w)] = n.get((lang, w), 0) + 1
+                        n[(lang, w)] = n.get((lang, w), 0) + 1
             keys = list(n)
             yield pd.DataFrame({"lang": [k[0] for k in keys], "word": [k[1] for k in keys], "n": list(n.values())}).astype({"lang": object, "word": object, "n": "int64"})
 
     counts = docs.select("text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(counts.where((F.col("n") >= least) | (F.col("word") == "")))
     totals = counts.where(F.col("word") == "").select("lang", F.col("n").alias("total"))
-    return counts.where(F.col("word") != "").join(totals, "lang").where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("lang", "word")
-
-
-#: A language has at most 1/share words per document's average word count; this bounds the set the workers get.
-MOST_COMMON = 100_000
+    return counts.where(F.col("word") != "").join(totals, "lang").where(F.col("n") >= share * F.col("total")).select("lang", "word")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The figures of STATS of every document.  Null and empty texts have language 'und' and zeros; null ids are left out, extra columns ignored."""
-    rows = common_words(docs).select("word").distinct().limit(MOST_COMMON + 1).collect()
-    if len(rows) > MOST_COMMON:
-        raise ValueError("too many common words; raise the share")
+    """The figures of STATS of every document.
+
+    Null and empty texts have language 'und' and zeros; null ids are left out, extra columns ignored.
+    The workers get the common words: of each of five scripts at most 1/share (100) times the mean
+    number of different words of its documents, since each stands in that share of them.
+    """
+    rows = common_words(docs).select("word").distinct().collect()
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = shared.value
         for pdf in batches:
             got = [measure(t or "", common) for t in pdf["text"]]
-            out = pd.DataFrame(got, columns=["language", *STATS, "few_share"])
+            out = pd.DataFrame(got, columns=["language", *STATS])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out.astype({"words": "int64", "lines": "int64"})
 
-    schema = "doc_id long, language string, words long, mean_word_length double, symbol_ratio double, digit_ratio double, lines long, end_share double, common_share double, repeat_share double, list_share double, table_share double, prose_share double, few_share double"
+    schema = "doc_id long, language string, " + ", ".join(f"{c} {'long' if c in ('words', 'lines') else 'double'}" for c in STATS)
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, schema)
 
 
@@ -247,14 +246,29 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 #: Least spread of a figure, so that a language whose documents are all alike does not flag trifles.
-FLOOR = {"mean_word_length": 0.6, "symbol_ratio": 0.02, "end_share": 0.15, "common_share": 0.04, "repeat_share": 0.06}
+FLOOR = {
+    "mean_word_length": 0.6, "symbol_ratio": 0.02, "digit_ratio": 0.02, "words_a_line": 8.0, "end_share": 0.15, "common_share": 0.04, "repeat_share": 0.06, "few_share": 0.1,
+    "list_share": 0.05, "table_share": 0.05, "prose_share": 0.05,
+}
+#: Documents that the sketch over all languages weighs beside a language's own; texts without a language have only that.
+PRIOR = 20
 
 
 def percentiles(stats: DataFrame) -> DataFrame:
-    """Every figure with its rank within the language (``*_pct``) and its robust z-score (``*_z``)."""
+    """Every figure with its rank within the language (``*_pct``) and its robust z-score (``*_z``).
+
+    Quantiles of a language are read from its sketches and drawn towards those of all languages, whose
+    sketches are the merged ones, with the weight of PRIOR documents.
+    """
     grid = F.array(*[F.lit(i / 100) for i in range(101)])
-    sketched = sketches(stats).select("language", *[F.kll_sketch_get_quantile_double(c, grid).alias(f"{c}_grid") for c in SKETCHED])
-    joined = stats.join(F.broadcast(sketched), "language")  # one row per detected language, nine at most
+    own = cut(sketches(stats))
+    pooled = own.agg(*[F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(c), grid).alias(c) for c in SKETCHED]).first()
+    rows = []
+    for r in own.select("language", "documents", *[F.kll_sketch_get_quantile_double(c, grid).alias(c) for c in SKETCHED]).collect():  # one row per detected language, nine at most
+        w = 0.0 if r["language"] == "und" else r["documents"] / (r["documents"] + PRIOR)
+        rows.append((r["language"], *[[w * a + (1 - w) * b for a, b in zip(r[c], pooled[c])] for c in SKETCHED]))
+    sketched = small_table(stats.sparkSession, rows, "language string, " + ", ".join(f"{c}_grid array<double>" for c in SKETCHED))
+    joined = stats.join(F.broadcast(sketched), "language")
 
     def at(c: str, i: int):
         return F.element_at(f"{c}_grid", i + 1)
@@ -269,20 +283,29 @@ def percentiles(stats: DataFrame) -> DataFrame:
     return joined.select(*stats.columns, *map(rank, SKETCHED), *map(score, SKETCHED))
 
 
-def shapes(scored: DataFrame, tail: float = 5.0) -> DataFrame:
-    """doc_id, shape: list, table, junk, prose; tails of the distributions decide what is junk."""
-    c = F.col
-    unknown = (c("common_share_z") < -tail) & (c("common_share") < 0.62)
-    noise = (c("symbol_ratio_z") > tail) & ((c("symbol_ratio") > 0.12) & (c("table_share") < 0.6) | (c("symbol_ratio") > 0.3))
-    said_again = (c("repeat_share_z") > tail) & (c("repeat_share") > 0.5) & (c("prose_share") > 0.4) | (c("repeat_share") > 0.12) & (c("few_share") > 0.8) & (c("digit_ratio") < 0.05) & (c("words") < 60 * c("lines") + 60) & (c("repeat_share_z") > 1)
-    menu = (c("few_share") > 0.6) & (c("digit_ratio") < 0.02) & (c("words") > 14 * c("lines")) & ((c("common_share") < 0.6) | (c("repeat_share") > 0.1)) & (c("symbol_ratio") > 0.02) & (c("end_share") < 0.3)
-    mess = (c("mean_word_length") > 13) & (c("common_share") < 0.1)
-    not_prose = c("prose_share") < 0.5
-    words_unknown = unknown & (c("prose_share") >= 0.5) & (c("words") >= 5)
-    blank = (c("words") == 0) & (c("digit_ratio") < 0.1)
+#: Least z-scores, by sign, that mark a tail.
+LOW_PROSE, NOISE, LOUD, UNKNOWN, REPEATED = -9.6, 6.0, 15.0, -8.4, 7.0
+
+
+def shapes(scored: DataFrame) -> DataFrame:
+    """doc_id, shape: list, table, junk, prose, by the tails of the distributions the document lies in.
+
+    Far less prose than its language has makes a list or a table, whichever share lies farther out.
+    Junk has a tail of unknown words in running text, of symbols, of symbols and unknown words, of
+    repetition, or of few different words said over and over; a text without a word is junk unless it
+    is figures.
+    """
+    z = lambda c: F.col(f"{c}_z")
+    not_prose = z("prose_share") < LOW_PROSE
+    unknown = (z("common_share") < UNKNOWN) & ~not_prose & (F.col("words") >= 5)
+    noise = (z("symbol_ratio") > LOUD) | (z("symbol_ratio") > NOISE) & (z("table_share") < 2 * NOISE)
+    menu = (z("symbol_ratio") > NOISE) & (z("common_share") < -REPEATED) & (z("digit_ratio") < -2)
+    said_again = (z("repeat_share") > REPEATED) & (z("prose_share") > LOW_PROSE - 2)
+    few = (z("few_share") > 2.8) & (z("repeat_share") > 1) & (z("few_share") + z("repeat_share") > 5) & (z("digit_ratio") < -2) & z("words_a_line").between(-2, 8)
+    wordless = (F.col("words") == 0) & (F.col("digit_ratio") < 0.1)
     shape = (
-        F.when(blank | noise | menu | mess | words_unknown | said_again, "junk")
-        .when(not_prose & (c("table_share") >= c("list_share")), "table")
+        F.when(wordless | noise | menu | unknown | said_again | few, "junk")
+        .when(not_prose & (z("table_share") >= z("list_share")), "table")
         .when(not_prose, "list")
         .otherwise("prose")
     )
