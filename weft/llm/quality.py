@@ -262,9 +262,11 @@ def percentiles(stats: DataFrame) -> DataFrame:
     """
     grid = F.array(*[F.lit(i / 100) for i in range(101)])
     own = cut(sketches(stats))
-    pooled = own.agg(*[F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(c), grid).alias(c) for c in SKETCHED]).first()
+    languages = own.select("language", "documents", *[F.kll_sketch_get_quantile_double(c, grid).alias(c) for c in SKETCHED]).collect()  # nine rows at most
+    merged = [F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(c), grid).alias(c) for c in SKETCHED]
+    pooled = own.agg(*merged).first() if languages else None  # nothing can be read from a sketch of nothing
     rows = []
-    for r in own.select("language", "documents", *[F.kll_sketch_get_quantile_double(c, grid).alias(c) for c in SKETCHED]).collect():  # one row per detected language, nine at most
+    for r in languages:
         w = 0.0 if r["language"] == "und" else r["documents"] / (r["documents"] + PRIOR)
         rows.append((r["language"], *[[w * a + (1 - w) * b for a, b in zip(r[c], pooled[c])] for c in SKETCHED]))
     sketched = small_table(stats.sparkSession, rows, "language string, " + ", ".join(f"{c}_grid array<double>" for c in SKETCHED))
