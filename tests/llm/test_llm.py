@@ -113,6 +113,21 @@ def test_sentences(spark):
     assert sentences.found(df.limit(0)).count() == 0
 
 
+def test_collocations(spark):
+    rng = random.Random(12)
+    names, verbs = ("tenant", "carrier", "museum", "clinic"), ("signs", "checks", "keeps", "sends")
+    rows = []
+    for i in range(160):
+        one = f"The {rng.choice(names)} {rng.choice(verbs)} {rng.randint(2, 90)}. Kapitel before {rng.randint(2, 9)} o'clock."
+        two = f"Then the {rng.choice(names)} {rng.choice(verbs)} unit {rng.randint(2, 90)}. It {rng.choice(verbs)} the {rng.choice(names)}. It {rng.choice(verbs)} the {rng.choice(names)}. It {rng.choice(verbs)} all."
+        rows.append((i, f"{one} {two}", "en"))
+    df = spark.createDataFrame([*rows, *rows[:5], (999, None, "en"), (None, "x 3. Kapitel", "en")], "unit_id long, text string, lang string")
+    model = sentences.learn(df)
+    assert ("#", "kapitel") in model.collocations["en"] and ("#", "it") not in model.collocations["en"]
+    cut = [rows[0][1][a:b] for a, b in sentences.split(rows[0][1], model, "en")]
+    assert len(cut) == 5 and ". Kapitel" in cut[0] and all(x.startswith("It ") for x in cut[2:])
+
+
 # ---------------------------------------------------------------- 7 packing
 
 

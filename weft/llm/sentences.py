@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.words import language_of
-from weft.session import lanes
+from weft.session import cut, lanes
 
 LINE = re.compile(r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 TERMINAL = re.compile(r"[.!?…؟。！？۔।։｡]+")
@@ -31,17 +32,22 @@ _SPEECH = {k: re.compile(v) for k, v in SPEECH.items()}
 
 @dataclass
 class Model:
-    """What was learned: abbreviations and sentence starters per language, openings of Thai sentences."""
+    """What was learned: abbreviations, sentence starters and collocations over a period per language, openings of Thai sentences."""
 
     abbreviations: dict[str, set[str]] = field(default_factory=dict)
     starters: dict[str, set[str]] = field(default_factory=dict)
+    collocations: dict[str, set[tuple[str, str]]] = field(default_factory=dict)
     thai_starts: set[str] = field(default_factory=set)
 
 
+DIGITS = re.compile(r"[\d٠-٩۰-۹]+")
+
+
+@lru_cache(maxsize=100_000)
 def token_type(token: str) -> str:
     """Lower-case form of a token without outer quotes and brackets, digits as one sign."""
     t = token.strip("“”«»„‘’「」『』（）()[]{}‹›\"',;:،؛—–-").lower()
-    return re.sub(r"[\d٠-٩۰-۹]+", "#", t)
+    return DIGITS.sub("#", t)
 
 
 LATIN = ("en", "fr", "tr")
@@ -57,65 +63,94 @@ def language(text: str, hint: str | None) -> str:
 # ---------------------------------------------------------------- statistics
 
 THAI_PREFIX = 4
+#: Share of the periods after a type that a collocation makes up at least; so each type has at most its inverse of them.
+LEAST_SHARE = 1e-4
 
 
 def count_unit(text: str, n: dict[tuple[str, str, str], int], hint: str | None = None) -> None:
     """Add the counts of one text to ``n``: (language, kind, type).
 
     Kinds: p with a period, e of these at the end of a line, w without, s after a sure sentence end,
-    t and u Thai openings at line starts and after numbers; N, P, E, S the totals of w+p, p, e, s.
+    c a type with a period and the type after it, t and u Thai openings at line starts and after
+    numbers; N, P, E, S the totals of w+p, p, e, s.
     """
     lang = language(text, hint)
+    got: dict[tuple[str, str], int] = {}
 
     def add(kind: str, key: str) -> None:
-        n[(lang, kind, key)] = n.get((lang, kind, key), 0) + 1
+        got[kind, key] = got.get((kind, key), 0) + 1
 
     for line in LINE.findall(text):
+        words = line.split()
         if lang == "th":
-            words = line.split()
             if words:
                 add("t", words[0][:THAI_PREFIX])
             for a, b in zip(words, words[1:]):
                 if FREE_NUMBER.match(a):
                     add("u", b[:THAI_PREFIX])
             continue
-        sure = True
-        words = line.split()
+        sure, before, last = True, "", len(words) - 1
         for i, w in enumerate(words):
             core = w.rstrip("”»’」』）)]}›\"'“")
             ends = core.endswith(".") and not core.endswith("..")
             t = token_type(core[:-1] if ends else core.rstrip("!?؟。！？۔…."))
             if not t:
-                sure = sure or bool(core) and core[-1] in STRONG
+                sure, before = sure or bool(core) and core[-1] in STRONG, ""
                 continue
             if sure:
                 add("s", t)
-                add("S", "")
-            if ends:
-                add("p", t)
-                add("P", "")
-                if i == len(words) - 1:
-                    add("e", t)
-                    add("E", "")
-            else:
-                add("w", t)
-            add("N", "")
+            if before:
+                add("c", before + PAIR + t)
+            add("p" if ends else "w", t)
+            if ends and i == last:
+                add("e", t)
+            before = t if ends else ""
             sure = bool(core) and core[-1] in STRONG or ends and len(t) > 4 and "#" not in t and "." not in t
+    total = dict.fromkeys("pwes", 0)
+    for (kind, key), k in got.items():
+        n[lang, kind, key] = n.get((lang, kind, key), 0) + k
+        if kind in total:
+            total[kind] += k
+    for kind, k in (("N", total["p"] + total["w"]), ("P", total["p"]), ("E", total["e"]), ("S", total["s"])):
+        if k:
+            n[lang, kind, ""] = n.get((lang, kind, ""), 0) + k
+
+
+#: Between the two types of a pair; no token holds it.
+PAIR = "\x00"
 
 
 def _hint(units: DataFrame):
     return (F.col("lang") if "lang" in units.columns else F.lit(None).cast("string")).alias("hint")
 
 
-def learn(units: DataFrame, text: str = "text", least: int = 3, abbreviation_score: float = 0.3, starter_score: float = 20.0) -> Model:
-    """Abbreviations and starters by log-likelihood ratios over all texts.
+def distinct_units(units: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, hint): every distinct unit with an id and a text, in a stated number of partitions."""
+    known = units.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return known.select(key, text, _hint(units)).repartition(lanes(units.sparkSession), key).distinct()
+
+
+def _lean(part, whole, share):
+    """Log-likelihood ratio of ``part`` of ``whole`` against the rate ``share``."""
+    tiny = 1e-9
+    rate = part / whole
+    return 2 * (part * F.log((rate + tiny) / (share + tiny)) + (whole - part) * F.log((1 - rate + tiny) / (1 - share + tiny)))
 
-    Counts are summed in each task, then per (language, type); the ratios are computed and filtered in
-    Spark, and only what passes comes to the driver: word types of a closed class, not documents.
-    A type counts as an abbreviation where its ratio, weighed by shortness, inner periods and missing
-    uses without a period, reaches ``abbreviation_score``, and where it stands at line ends clearly
-    more rarely than other types with a period.  A starter is a type that follows sure sentence ends
-    more often than chance by ``starter_score``.  Types seen under ``least`` times are left out.
+
+def learn(
+    units: DataFrame, text: str = "text", key: str = "unit_id", least: int = 3, abbreviation_score: float = 0.3, starter_score: float = 20.0, collocation_score: float = 7.88
+) -> Model:
+    """Abbreviations, collocations and starters by log-likelihood ratios over all texts, units delivered again once.
+
+    Counts are summed in each task, then per (language, kind, type), and written once; the ratios are
+    computed and filtered in Spark, and only what passes comes to the driver: word types, not
+    documents.  A type counts as an abbreviation where its ratio, weighed by shortness, inner periods
+    and missing uses without a period, reaches ``abbreviation_score``, and where it stands at line ends
+    clearly more rarely than other types with a period.  A starter is a type that follows sure sentence
+    ends more often than chance by ``starter_score``.  A collocation is a number or an abbreviation with
+    a period and the type after it, where that follows more often than in all text and more often than
+    it follows sure sentence ends, both by ``collocation_score``, and is no starter: the period between
+    the two ends no sentence.  What is seen under ``least`` times is left out.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,43 +162,51 @@ def learn(units: DataFrame, text: str = "text", least: int = 3, abbreviation_sco
             keys = list(n)
             yield pd.DataFrame({"lang": [k[0] for k in keys], "kind": [k[1] for k in keys], "key": [k[2] for k in keys], "n": [n[k] for k in keys]}).astype({"lang": object, "kind": object, "key": object, "n": "int64"})
 
-    counts = units.select(text, _hint(units)).mapInPandas(count, "lang string, kind string, key string, n long")
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).cast("double")
-    totals = counts.where(F.col("key") == "").groupBy("lang").agg(*[of(k).alias(f"t{k}") for k in "NPES"])
+    c = F.col
+    tallied = distinct_units(units, key, text).mapInPandas(count, "lang string, kind string, key string, n long")
+    counts = cut(tallied.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where((c("kind") != "c") | (c("n") >= least)))
+    of = lambda kind: F.coalesce(F.sum(F.when(c("kind") == kind, c("n"))), F.lit(0)).cast("double")
+    totals = counts.where(c("key") == "").groupBy("lang").agg(*[of(k).alias(f"t{k}") for k in "NPES"])
     x = (
-        counts.where(F.col("key") != "").groupBy("lang", "key").agg(*[of(k).alias(k) for k in "pewstu"])
-        .where(F.greatest(F.col("p") + F.col("w"), F.col("t") + F.col("u")) >= least)
+        counts.where((c("key") != "") & (c("kind") != "c")).groupBy("lang", "key").agg(*[of(k).alias(k) for k in "pewstu"])
+        .where(F.greatest(c("p") + c("w"), c("t") + c("u")) >= least)
         .join(totals, "lang", "left")
         .fillna(0.0)
     )
     one = F.lit(1.0)
-    a = F.greatest(F.col("p") + F.col("w"), one)
-    base = F.greatest(F.least(F.col("tP") / F.greatest(F.col("tN"), one), F.lit(0.98)), F.lit(1e-6))
-    null = F.col("p") * F.log(base) + F.col("w") * F.log(1 - base)
-    alt = F.col("p") * F.log(F.lit(0.99)) + F.col("w") * F.log(F.lit(0.01))
+    a = F.greatest(c("p") + c("w"), one)
+    base = F.greatest(F.least(c("tP") / F.greatest(c("tN"), one), F.lit(0.98)), F.lit(1e-6))
+    null = c("p") * F.log(base) + c("w") * F.log(1 - base)
+    alt = c("p") * F.log(F.lit(0.99)) + c("w") * F.log(F.lit(0.01))
     letters = F.length(F.regexp_replace("key", r"[.]", ""))
     inner = F.length("key") - letters
-    score = -2 * (null - alt) * F.exp(-letters) * (inner + 1) * F.pow(F.greatest(letters, F.lit(1)).cast("double"), -F.col("w"))
-    quiet = F.col("e") / F.greatest(F.col("p"), F.lit(1.0)) < 0.5 * F.col("tE") / F.greatest(F.col("tP"), F.lit(1.0))
-    plain = ~F.col("key").contains("#")
-    p0, p1 = F.col("s") / a, F.col("tS") / F.greatest(F.col("tN"), one)
-    lean = 2 * (F.col("s") * F.log((p0 + 1e-9) / (p1 + 1e-9)) + (a - F.col("s")) * F.log((1 - p0 + 1e-9) / (1 - p1 + 1e-9)))
-    rows = (
-        x.select(
-            "lang", "key",
-            (plain & quiet & (F.col("p") > 0) & (score >= abbreviation_score) & (alt > null)).alias("abbreviation"),
-            (plain & (F.col("s") >= least) & (p0 > p1) & (lean >= starter_score)).alias("starter"),
-            ((F.col("lang") == "th") & (F.col("t") >= least) & (F.col("t") > F.col("u"))).alias("thai"),
-        ).where("abbreviation or starter or thai").collect()
+    score = -2 * (null - alt) * F.exp(-letters) * (inner + 1) * F.pow(F.greatest(letters, F.lit(1)).cast("double"), -c("w"))
+    quiet = c("e") / F.greatest(c("p"), one) < 0.5 * c("tE") / F.greatest(c("tP"), one)
+    plain = ~c("key").contains("#")
+    after_end = c("tS") / F.greatest(c("tN"), one)
+    types = x.select(
+        "lang", "key", "p", "s", "tN", "tS", (c("p") + c("w")).alias("n"),
+        (plain & quiet & (c("p") > 0) & (score >= abbreviation_score) & (alt > null)).alias("abbreviation"),
+        (plain & (c("s") >= least) & (c("s") / a > after_end) & (_lean(c("s"), a, after_end) >= starter_score)).alias("starter"),
+        ((c("lang") == "th") & (c("t") >= least) & (c("t") > c("u"))).alias("thai"),
     )
+    parts = F.split("key", PAIR)
+    pairs = counts.where(c("kind") == "c").select("lang", parts[0].alias("first"), parts[1].alias("second"), c("n").cast("double").alias("both"))
+    first = types.where((c("key") == "#") | c("abbreviation")).select("lang", c("key").alias("first"), c("p").alias("ends"))
+    second = types.select("lang", c("key").alias("second"), "n", "s", "tN", "tS", "starter")
+    share, chance, opening = c("both") / c("ends"), c("n") / c("tN"), c("s") / F.greatest(c("tS"), one)
+    bound = (share >= LEAST_SHARE) & (share > chance) & (share > opening) & (_lean(c("both"), c("ends"), chance) >= collocation_score) & (_lean(c("both"), c("ends"), opening) >= collocation_score)
+    together = pairs.join(first, ["lang", "first"]).join(second, ["lang", "second"]).where(bound & ~c("starter")).select("lang", "first", "second")
     model = Model()
-    for r in rows:
+    for r in types.where("abbreviation or starter or thai").select("lang", "key", "abbreviation", "starter", "thai").collect():
         if r["abbreviation"]:
             model.abbreviations.setdefault(r["lang"], set()).add(r["key"])
         if r["starter"]:
             model.starters.setdefault(r["lang"], set()).add(r["key"])
         if r["thai"]:
             model.thai_starts.add(r["key"])
+    for r in together.collect():
+        model.collocations.setdefault(r["lang"], set()).add((r["first"], r["second"]))
     return model
 
 
@@ -278,6 +321,8 @@ def _ends(line: str, start: int, i: int, j: int, k: int, lang: str, model: Model
         return at_start or after != "c"
     if ITEM.match(head) and len(head) <= 6:
         return False
+    if (t, next_type) in model.collocations.get(lang, ()):
+        return False
     if NUMBER.match(token):
         return after != "l"
     initial = len(token) == 1 and token.isalpha()
@@ -346,8 +391,7 @@ def split_units(units: DataFrame, model: Model, key: str = "unit_id", text: str
                     ids.append(uid), no.append(x), a.append(p), b.append(q), s.append(t[p:q])
             yield pd.DataFrame({key: pd.Series(ids, dtype=pdf[key].dtype), "no": pd.Series(no, dtype="int32"), "start_pos": pd.Series(a, dtype="int32"), "end_pos": pd.Series(b, dtype="int32"), "sentence": pd.Series(s, dtype=object)})
 
-    base = units.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, _hint(units)).repartition(lanes(units.sparkSession), key).distinct()
-    return base.mapInPandas(run, f"{key} {kind}, no int, start_pos int, end_pos int, sentence string")
+    return distinct_units(units, key, text).mapInPandas(run, f"{key} {kind}, no int, start_pos int, end_pos int, sentence string")
 
 
 def found(units: DataFrame) -> DataFrame:
