@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.llm import alignment, bitext, encoding, leaks, lookalike, mixing, packing, pairs, quality, scanned, sentences
+from weft.llm.words import Counts
 
 # ---------------------------------------------------------------- 6 look-alikes
 
@@ -54,6 +55,29 @@ def test_sound_text_stays(text):
     assert encoding.repair(text, lexicon)[:2] == (text, False)
 
 
+def test_encodings_met_leaves_out_none():
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        t = rng.choice([*RUSSIAN, *ARABIC, "L'école vérifie le procès-verbal", "Müze imzalı nüshayı yayımlar"])
+        if rng.random() < 0.6:
+            t = f"{rng.choice(RUSSIAN)} {t.encode('utf-8').decode(rng.choice(['latin-1', 'koi8_r', 'cp437']))}"
+        texts.append(t + rng.choice(["", "\ufffd", "\n", "😀", "،"]))
+    for t, met in zip(texts, encoding.encodings_met(texts)):
+        assert encoding.repair_multibyte(t, met) == encoding.repair_multibyte(t)
+    assert list(encoding.encodings_met([""])) == [0]
+
+
+def test_counts_of_words():
+    counts = {"a": 3, "б": 5, "": 1, "ab": 2**20}
+    held = Counts.of(counts)
+    assert all(held.get(w) == n for w, n in counts.items()) and held.get("c", 7) == 7 and "c" not in held and len(held) == 4
+
+
+def test_counts_are_read_as_hashed_in_python(spark):
+    assert Counts.read(spark.createDataFrame([("слово", 4), ("a", 2)], "word string, n long")).get("слово") == 4
+
+
 def test_single_byte_swap_and_lost_bytes():
     lexicon = encoding.Lexicon({w: 9 for t in [*RUSSIAN, *ARABIC] for w in encoding.words_of(t)})
     for text, real, read in ((RUSSIAN[0], "cp1251", "cp1252"), (RUSSIAN[1], "koi8_r", "cp1251"), (ARABIC[0], "cp1256", "cp1252")):

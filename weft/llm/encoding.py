@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from weft.llm.words import Counts
 from weft.operators.dedup import first_delivery
-from weft.session import lanes
+from weft.session import cut, lanes
 
 # Encodings that text is commonly misread in, the likelier first.
 LEGACY = ("cp1252", "latin-1", "cp1256", "cp1251", "cp1254", "mac_roman", "cp850", "cp437", "cp857", "cp866", "koi8_r", "iso8859_6", "iso8859_5", "iso8859_9", "cp720", "mac_turkish", "mac_cyrillic", "mac_arabic", "cp1250", "cp1253", "cp1255", "cp1257", "cp1258", "iso8859_2", "iso8859_15")
@@ -30,6 +32,10 @@ MAIN = ("cp1252", "latin-1", "cp1254", "cp437", "cp850", "cp857", "mac_roman")
 ROUNDS = 4
 #: A word whose form in another encoding is so many times as frequent is that word misread, however often it occurs.
 MISREAD = 10
+#: Spans that must hold a word for it to be known, and the least share of all spans.
+LEAST, LEAST_SHARE = 3, 1e-6
+#: Share of a token's characters outside ASCII that its multibyte sequences cover, where bytes were lost and else.
+SHARE_LOST, SHARE = 0.5, 0.75
 TOKEN = re.compile(r"[^ \t\n]+")
 
 
@@ -62,101 +68,135 @@ AUTOMATON = {
 }
 
 
-def _step(state: int, byte: int) -> int | None:
+def _pattern(state: int, chars: dict[int, str]) -> str:
+    """The automaton from ``state`` to acceptance as a pattern over the characters of an encoding."""
+    ways = []
     for low, high, then in AUTOMATON[state]:
-        if low <= byte <= high:
-            return then
-    return None
+        own = "".join(chars.get(b, "") for b in range(low, high + 1))
+        rest = "" if then == 0 else _pattern(then, chars)
+        if own and (then == 0 or rest):
+            ways.append(f"[{re.escape(own)}]{rest}")
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+
+@lru_cache(maxsize=None)
+def _sequences(codec: str) -> re.Pattern:
+    """Maximal runs of well-formed multibyte sequences, in the characters of an encoding."""
+    chars: dict[int, str] = {}
+    for ch, b in _to_byte(codec).items():
+        chars[b] = chars.get(b, "") + ch
+    return re.compile(f"{_pattern(0, chars)}+")
 
 
 def multibyte_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """Maximal spans (start, end, decoded) whose characters, mapped back to bytes, are well-formed multibyte sequences."""
     table = _to_byte(codec)
-    out: list[tuple[int, int, str]] = []
-    i, n = 0, len(text)
-    while i < n:
-        b = table.get(text[i])
-        if b is None:
-            i += 1
-            continue
-        state, j, raw = _step(0, b), i + 1, [b]
-        while state and j < n:
-            b = table.get(text[j])
-            state = None if b is None else _step(state, b)
-            if state is None:
-                break
-            raw.append(b)
-            j += 1
-        if state == 0:
-            piece = bytes(raw).decode("utf-8")
-            if out and out[-1][1] == i:
-                out[-1] = (out[-1][0], j, out[-1][2] + piece)
-            else:
-                out.append((i, j, piece))
-            i = j
-        else:
-            i += 1
+    return [(m.start(), m.end(), bytes([table[c] for c in m[0]]).decode("utf-8")) for m in _sequences(codec).finditer(text)]
+
+
+@lru_cache(maxsize=None)
+def _roles() -> np.ndarray:
+    """For the characters of the first plane, as bits the encodings in which each leads two, three, four bytes, or continues."""
+    out = np.zeros((4, 0x10000), dtype=np.uint32)
+    for k, codec in enumerate(LEGACY):
+        for ch, b in _to_byte(codec).items():
+            row = 3 if 0x80 <= b <= 0xBF else 0 if 0xC2 <= b <= 0xDF else 1 if 0xE0 <= b <= 0xEF else 2 if 0xF0 <= b <= 0xF4 else None
+            if row is not None:
+                out[row, ord(ch)] |= 1 << k
     return out
 
 
-def _script(ch: str) -> str:
-    o = ord(ch)
-    if o < 0x80:
-        return "a"
-    if 0xC0 <= o < 0x180 and o not in (0xD7, 0xF7):
-        return "l"
-    if 0x410 <= o < 0x450 or o in (0x401, 0x451):
-        return "c"
-    if 0x621 <= o <= 0x652 or 0x660 <= o <= 0x669 or o in (0x60C, 0x61B, 0x61F):
-        return "r"
-    if o in _PUNCT:
-        return "p"
-    return "x"
+def encodings_met(texts: list[str]) -> np.ndarray:
+    """For each text, as bits, the encodings in which multibyte sequences cover enough of one of its tokens.
+
+    All texts are looked through at once: every character is a number, its roles are read from a table.
+    Sequences that overlap count each, so no encoding that ``repair_multibyte`` could use is left out.
+    """
+    two, three, four, more = _roles()
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.append(np.where(points < 0x10000, points, 0x10000 - 1), np.zeros(3, dtype=np.uint32))
+    after = more[points]
+    hits = [two[points[:-3]] & after[1:-2]]
+    hits.append(three[points[:-3]] & after[1:-2] & after[2:-1])
+    hits.append(four[points[:-3]] & after[1:-2] & after[2:-1] & after[3:])
+    at = np.flatnonzero(hits[0] | hits[1] | hits[2])
+    out = np.zeros(len(texts), dtype=np.uint32)
+    if not len(at):
+        return out
+    token = np.cumsum((points == 32) | (points == 9) | (points == 10))
+    high = np.bincount(token, weights=(points >= 0x80) & (points != 0xFFFD))
+    share = np.where(np.bincount(token, weights=points == 0xFFFD) > 0, SHARE_LOST, SHARE)
+    text = np.searchsorted(np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]]), at, side="right") - 1
+    sizes = [h[at] for h in hits]
+    own = token[at]
+    for k in range(len(LEGACY)):
+        covers = sum((h >> k & 1).astype(np.int64) * n for n, h in enumerate(sizes, 2))
+        if covers.any():
+            covered = np.bincount(own, weights=covers, minlength=len(high))
+            enough = (covers > 0) & (covered >= share * high)[own]
+            np.bitwise_or.at(out, text[enough], np.uint32(1 << k))
+    return out
 
 
 # Signs that running text holds beside letters.
-_PUNCT = frozenset(map(ord, "–—‘’“”„…•«»§€£°±µ×÷·№\xa0†‡™©®¿¡‚‹›½¼¾²³ʼ′"))
+_PUNCT = "–—‘’“”„…•«»§€£°±µ×÷·№\xa0†‡™©®¿¡‚‹›½¼¾²³ʼ′"
 #: Letters outside ASCII that the Latin-script languages of the tables write.
-_LATIN = frozenset("àâæçèéêëîïôœùûüÿÀÂÆÇÈÉÊËÎÏÔŒÙÛÜŸğıöşüçĞİÖŞÜÇâîûÂÎÛ")
+_LATIN = "àâæçèéêëîïôœùûüÿÀÂÆÇÈÉÊËÎÏÔŒÙÛÜŸğıöşüçĞİÖŞÜÇâîûÂÎÛ"
+_CYRILLIC, _ARABIC = "\u0410-\u044fЁё", "\u0621-\u0652\u0660-\u0669،؛؟"
+#: Characters that no text of these languages is made of.
+_ODD = re.compile(f"[^\\x00-\\x7f{_LATIN}{_CYRILLIC}{_ARABIC}{re.escape(_PUNCT)}]")
+_NEVER = re.compile("[\x00-\x1f\u0700-\u1dff\u2c00-\ufb4f\ufe00-\ufe6f\uff00-\U0010ffff]")
+_ONE_SCRIPT = re.compile(f"[\\x00-\\x7f{_LATIN}{re.escape(_PUNCT)}]*|[{_CYRILLIC}'’{re.escape(_PUNCT)}-]*|[{_ARABIC}'’{re.escape(_PUNCT)}-]*")
+#: Other letters of the Latin block; odd, but letters.
+_LETTERS = frozenset(chr(o) for o in range(0xC0, 0x180) if o not in (0xD7, 0xF7))
+_EITHER = re.compile(f"[{_CYRILLIC}{_ARABIC}]")
 
 
 def _odd(text: str) -> int:
     """Characters that no text of these languages is made of."""
-    return sum(1 for c in text if (s := _script(c)) == "x" or s == "l" and c not in _LATIN)
+    return 0 if text.isascii() else len(_ODD.findall(text))
 
 
-def _plausible(before: str, after: str) -> bool:
+def _plausible(after: str) -> bool:
     """Whether the decoded form can be text of these languages, or one more garbled layer of it."""
-    return not any(ord(c) < 0x20 or 0x700 <= ord(c) < 0x1E00 or 0x2C00 <= ord(c) < 0xFB50 or 0xFE00 <= ord(c) < 0xFE70 or 0xFF00 <= ord(c) for c in after)
+    return not _NEVER.search(after)
 
 
 def _well(token: str) -> bool:
     return all(_shape(w) for w in words_of(token))
 
 
-def repair_multibyte(text: str) -> tuple[str, bool]:
-    """Decode the well-formed multibyte spans of each token under the encoding that explains most of the token."""
+def repair_multibyte(text: str, met: int | None = None) -> tuple[str, bool]:
+    """Decode the well-formed multibyte spans of each token under the encoding that explains most of the token.
+
+    ``met`` are the encodings that ``encodings_met`` leaves, all without it.
+    """
     best: tuple[float, str] | None = None
     if text.isascii():
         return text, False
-    for codec in LEGACY:
-        table = _to_byte(codec)
-        spans = multibyte_spans(text, codec)
+    met = (1 << len(LEGACY)) - 1 if met is None else int(met)
+    tokens = _tokens(text) if met else []
+    begins = [t[0] for t in tokens]
+    for k, codec in enumerate(LEGACY):
+        spans = multibyte_spans(text, codec) if met >> k & 1 else None
         if not spans:
             continue
+        of_token: dict[int, list[tuple[int, int, str]]] = {}
+        for s in spans:
+            of_token.setdefault(bisect_right(begins, s[0]) - 1, []).append(s)
         out, at, gain, count = [], 0, 0, 0
-        for token in _tokens(text):
-            t0, t1 = token
-            own = [s for s in spans if t0 <= s[0] < t1]
-            if not own:
+        for number, own in of_token.items():
+            t0, t1 = tokens[number]
+            if own[0][0] >= t1:
                 continue
             covered = sum(s[1] - s[0] for s in own)
-            high = sum(1 for c in text[t0:t1] if not c.isascii() and c != "�")
-            lost = "�" in text[t0:t1]
-            if covered < (0.5 if lost else 0.75) * high:
+            whole = text[t0:t1]
+            lost = "�" in whole
+            high = t1 - t0 - len(whole.encode("ascii", "ignore")) - whole.count("�")
+            if covered < (SHARE_LOST if lost else SHARE) * high:
                 continue
             decoded = "".join(s[2] for s in own)
-            if not _plausible(text[t0:t1], decoded):
+            if not _plausible(decoded):
                 continue
             whole, back = [], t0
             for s0, s1, piece in own:
@@ -212,11 +252,7 @@ def _swap_table(read_as: str, written_in: str) -> dict[int, str]:
 
 def _shape(word: str) -> bool:
     """Whether the word is built of the letters of one script, capitals only in front or throughout."""
-    kinds = {_script(c) for c in word if c not in "'’-"}
-    kinds.discard("p")
-    if "x" in kinds or len(kinds - {"a"}) > 1 or ("a" in kinds and kinds & {"c", "r"}):
-        return False
-    if any(_script(c) == "l" and c not in _LATIN for c in word):
+    if not _ONE_SCRIPT.fullmatch(word):
         return False
     rest = word[1:]
     return rest == rest.lower() or word == word.upper()
@@ -225,41 +261,55 @@ def _shape(word: str) -> bool:
 class Lexicon:
     """Frequent well-shaped words and letter pairs of the corpus, to judge a decoding by."""
 
-    def __init__(self, words: dict[str, int]):
-        self.words = words
-        pairs: dict[str, int] = {}
-        for w, n in words.items():
-            if w.isascii():
-                continue
-            for a, b in zip("^" + w, w + "$"):
-                pairs[a + b] = pairs.get(a + b, 0) + n
-        self.pairs = pairs
+    def __init__(self, words: Counts | dict[str, int], pairs: dict[str, int] | None = None, least: int = LEAST):
+        self.words = words if isinstance(words, Counts) else Counts.of(words)
+        self.pairs = letter_pairs(words.items()) if pairs is None else pairs
+        self.least = least
+        self.readings: dict[str, dict[int, tuple[float, str]]] = {}
+        self._scores: dict[str, float] = {}
 
     def score(self, word: str) -> float:
         """How well the word fits the corpus: 3 for a known word, else the share of known letter pairs."""
+        got = self._scores.get(word)
+        if got is None:
+            if len(self._scores) > 300_000:
+                self._scores.clear()
+            got = self._scores[word] = self._score(word)
+        return got
+
+    def _score(self, word: str) -> float:
         if not _shape(word):
             return 0.0
         n = self.words.get(word, 0)
         if not n:
             low = word.lower()
             n = max(self.words.get(low, 0), self.words.get(low[:1].upper() + low[1:], 0)) if low != word else 0
-        if n >= 3:
+        if n >= self.least:
             return 3.0
         if word.isascii():
             return 1.0
         steps = list(zip("^" + word, word + "$"))
-        good = sum(1 for a, b in steps if self.pairs.get(a + b, 0) >= 3)
+        good = sum(1 for a, b in steps if self.pairs.get(a + b, 0) >= LEAST)
         return good / len(steps)
 
 
-def without_misread(words: dict[str, int]) -> dict[str, int]:
-    """The counts without words of two letters or more that are a far more frequent word in a wrong encoding.
+def letter_pairs(counts) -> dict[str, int]:
+    """Pairs of neighbouring letters, word ends included, of (word, n) outside ASCII."""
+    pairs: dict[str, int] = {}
+    for w, n in counts:
+        if not w.isascii():
+            for a, b in zip("^" + w, w + "$"):
+                pairs[a + b] = pairs.get(a + b, 0) + n
+    return pairs
+
+
+def is_misread(word: str, n: int, words: Counts) -> bool:
+    """Whether a word of two letters or more is a far more frequent word in a wrong encoding.
 
     The share of garbled text stays as a corpus grows and its counts do not, so a ratio tells them at any size.
     Single letters and signs are kept: sound ones stand for frequent letters in other encodings, too.
     """
-    tables = [_swap_table(*swap) for swap in SWAPS]
-    return {w: n for w, n in words.items() if len(w) < 2 or w.isascii() or not any(words.get(w.translate(t), 0) > MISREAD * n for t in tables)}
+    return len(word) >= 2 and not word.isascii() and any(words.get(word.translate(_swap_table(*swap)), 0) > MISREAD * n for swap in SWAPS)
 
 
 _QUOTES = "‘’“”„‚«»‹›–—•…'\""
@@ -271,7 +321,40 @@ def _shouts(word: str) -> bool:
 
 
 def _weight(text: str, lexicon: Lexicon) -> float:
-    return sum(math.log1p(n) for w in words_of(text) if len(w) > 2 and not w.isascii() and (n := lexicon.words.get(w, 0)) >= 3)
+    return sum(math.log1p(n) for w in words_of(text) if len(w) > 2 and not w.isascii() and (n := lexicon.words.get(w, 0)) >= lexicon.least)
+
+
+def _reading(w: str, table: dict[int, str], lexicon: Lexicon) -> tuple[float, str] | None:
+    """(gain, word) where the word reads better with the characters of ``table`` exchanged."""
+    alt = w.translate(table)
+    if alt == w:
+        return None
+    parts = words_of(alt)
+    gain = 0.0
+    if parts != [alt]:
+        if len(w) > 2 and len(parts) == 1 and alt.strip(_QUOTES) == parts[0] and lexicon.words.get(parts[0], 0) >= lexicon.least > lexicon.words.get(w, 0):
+            gain = 2.0
+        if len(w) > 1:
+            return (gain, alt) if gain else None
+    other = bool(_EITHER.search(alt))
+    if len(w) < 2 and _ODD.match(w) and w not in _LETTERS or other and any(ord(c) not in table for c in _EITHER.findall(w)):
+        return None
+    if _shouts(w) and lexicon.words.get(alt, 0) > 4 * lexicon.words.get(w, 0) + 4:
+        return 3.0 * len(w), alt
+    was, now = lexicon.score(w), lexicon.score(alt)
+    if now >= 3 > was or other and len(w) >= 3 and now >= 0.85 and was < 0.6 or len(w) >= 4 and was == 0 and now >= 0.99:
+        return gain + (now - was) * len(w), alt
+    return None
+
+
+def _readings(w: str, lexicon: Lexicon) -> dict[int, tuple[float, str]]:
+    """What a word reads as in each exchange of encodings that makes it better, by the number of the exchange."""
+    got = lexicon.readings.get(w)
+    if got is None:
+        if len(lexicon.readings) > 100_000:
+            lexicon.readings.clear()
+        got = lexicon.readings[w] = {k: r for k, swap in enumerate(SWAPS) if (r := _reading(w, _swap_table(*swap), lexicon))}
+    return got
 
 
 def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
@@ -285,43 +368,27 @@ def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     suspects = [w for w in set(words_of(text)) if not w.isascii() and (lexicon.score(w) < 0.95 or _shouts(w))]
     if not suspects:
         return text, False
-    best: tuple[float, dict[str, str], dict[int, str]] | None = None
-    for read_as, written_in in SWAPS:
-        table = _swap_table(read_as, written_in)
-        gain, change = 0.0, {}
-        for w in suspects:
-            alt = w.translate(table)
-            if alt == w:
-                continue
-            parts = words_of(alt)
-            if parts != [alt]:
-                if len(w) > 2 and len(parts) == 1 and alt.strip(_QUOTES) == parts[0] and lexicon.words.get(parts[0], 0) >= 3 > lexicon.words.get(w, 0):
-                    gain += 2
-                    change[w] = alt
-                if len(w) > 1:
-                    continue
-            kind = {_script(c) for c in alt} & {"c", "r"}
-            if len(w) < 2 and _script(w) == "x" or kind and any((_script(c) in ("c", "r")) != (ord(c) in table) and _script(c) != "a" for c in w if _script(c) in ("c", "r")):
-                continue
-            if _shouts(w) and lexicon.words.get(alt, 0) > 4 * lexicon.words.get(w, 0) + 4:
-                gain += 3 * len(w)
-                change[w] = alt
-                continue
-            was, now = lexicon.score(w), lexicon.score(alt)
-            if now >= 3 > was or kind and len(w) >= 3 and now >= 0.85 and was < 0.6 or len(w) >= 4 and was == 0 and now >= 0.99:
-                gain += (now - was) * len(w)
-                change[w] = alt
-        if change and (best is None or gain > best[0]):
-            best = (gain, change, table)
+    gains: dict[int, float] = {}
+    for w in sorted(suspects):
+        for k, (gain, _) in _readings(w, lexicon).items():
+            gains[k] = gains.get(k, 0.0) + gain
+    best: tuple[dict[str, str], dict[int, str]] | None = None
+    if gains:
+        k = min(gains, key=lambda k: (-gains[k], k))
+        best = {w: r[k][1] for w in suspects if k in (r := _readings(w, lexicon))}, _swap_table(*SWAPS[k])
     if best is not None:
-        known = any(lexicon.score(x) >= 3 for alt in best[1].values() for x in words_of(alt))
-        foreign = any(_script(c) in ("c", "r") for alt in best[1].values() for c in alt)
-        if known or foreign and (len(best[1]) > 1 or sum(map(len, best[1])) >= 4):
-            for w in set(words_of(text)).difference(best[1]):  # known words, single letters mostly, that are rare beside what they stand for
-                alt = w.translate(best[2])
+        change, table = best
+        known = any(lexicon.score(x) >= 3 for alt in change.values() for x in words_of(alt))
+        foreign = any(_EITHER.search(alt) for alt in change.values())
+        if known or foreign and (len(change) > 1 or sum(map(len, change)) >= 4):
+            for w in set(words_of(text)).difference(change):  # known words, single letters mostly, that are rare beside what they stand for
+                alt = w.translate(table)
                 if words_of(alt) == [alt] and lexicon.words.get(alt, 0) > MISREAD * lexicon.words.get(w, 0) > 0:
-                    best[1][w] = alt
-            return _WORD.sub(lambda m: best[1].get(m[0], m[0]), text), True
+                    change[w] = alt
+            return _WORD.sub(lambda m: change.get(m[0], m[0]), text), True
+    letters = [(len(w), lexicon.score(w) >= 3) for w in words_of(text) if not w.isascii()]
+    if 2 * sum(n for n, known in letters if known) > sum(n for n, _ in letters):
+        return text, False  # a text in a wrong encoding is not made of known words
     was = _weight(text, lexicon)
     top: tuple[float, str] | None = None
     for read_as, written_in in SWAPS:
@@ -333,7 +400,7 @@ def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     return text, False
 
 
-def repair(text: str | None, lexicon: Lexicon | None = None) -> tuple[str | None, bool, bool]:
+def repair(text: str | None, lexicon: Lexicon | None = None, met: int | None = None) -> tuple[str | None, bool, bool]:
     """(restored text, affected, complete) of one text.
 
     Null and empty texts are not affected.  A replacement character marks a passage whose bytes are
@@ -343,8 +410,8 @@ def repair(text: str | None, lexicon: Lexicon | None = None) -> tuple[str | None
         return text, False, True
     out, affected = text, "�" in text
     for _ in range(ROUNDS):
-        out, a = repair_multibyte(out)
-        b = False
+        out, a = repair_multibyte(out, met)
+        met, b = None, False
         if not a and lexicon is not None:
             out, b = repair_swap(out, lexicon)
         if not (a or b):
@@ -356,32 +423,63 @@ def repair(text: str | None, lexicon: Lexicon | None = None) -> tuple[str | None
 # ---------------------------------------------------------------- operators
 
 
-def word_counts(spans: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all distinct texts, counted in each task before the shuffle; words of mixed shape are left out."""
+def distinct_spans(spans: DataFrame) -> DataFrame:
+    """Spans with an id, each once, in a stated number of partitions."""
+    return spans.select("span_id", "file_id", "page", "text").where(F.col("span_id").isNotNull()).repartition(lanes(spans.sparkSession), "span_id").distinct()
+
+
+def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) over all rows, counted in each task before the shuffle, and the rows themselves as the word ''.
+
+    Words of mixed shape and words of garbled rows are left out.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shaped: dict[str, bool] = {}
         for pdf in batches:
             n: dict[str, int] = {}
-            for t in pdf[text]:
-                if not t or "�" in t:
-                    continue
-                fixed, garbled = repair_multibyte(t)
-                for w in set(words_of(t)) if not garbled else ():
-                    if _shape(w):
+            texts = [t for t in pdf[text] if t and "�" not in t]
+            for t, met in zip(texts, encodings_met(texts)):
+                if not met or not repair_multibyte(t, met)[1]:
+                    for w in set(words_of(t)):
                         n[w] = n.get(w, 0) + 1
+            n = {w: k for w, k in n.items() if (shaped[w] if w in shaped else shaped.setdefault(w, _shape(w)))}
+            n[""] = len(pdf)
+            if len(shaped) > 300_000:
+                shaped.clear()
             yield pd.DataFrame({"word": list(n), "n": list(n.values())}).astype({"word": object, "n": "int64"})
 
-    return spans.select(text).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select(text).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_lexicon(spans: DataFrame, least: int = 3, words: int = 60_000) -> Lexicon:
-    """The words of all spans that occur at least ``least`` times, the ``words`` most frequent of them.
+def fit_lexicon(spans: DataFrame, least: int = LEAST, share: float = LEAST_SHARE) -> Lexicon:
+    """The words in at least ``least`` spans and at least ``share`` of all spans, and their letter pairs.
 
-    The lexicon is a model of bounded size (``words`` entries, about 2 MB); counts cover all rows.
-    Words that are frequent ones misread are left out.
+    Counts cover all spans, each once, and are written once.  ``share`` bounds what the workers get: at
+    most 1/share (a million) times the mean number of words of a span, twelve bytes each; under 1/share
+    spans times ``least`` it does not bind.  Letter pairs are those of four alphabets.  Words that are
+    frequent ones misread are left out.
     """
-    rows = word_counts(spans).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect()
-    return Lexicon(without_misread({r["word"]: r["n"] for r in rows}))
+    counts = cut(word_counts(distinct_spans(spans)).where((F.col("n") >= least) | (F.col("word") == "")))
+    rows = counts.where(F.col("word") == "").first()
+    enough = max(least, math.ceil(share * (rows["n"] if rows else 0)))
+    known = counts.where((F.col("word") != "") & (F.col("n") >= enough))
+    every = Counts.read(known)
+    shared = spans.sparkSession.sparkContext.broadcast(every)
+
+    def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        for pdf in batches:
+            yield pdf[[not is_misread(w, n, words) for w, n in zip(pdf["word"], pdf["n"])]]
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = letter_pairs(zip(pdf["word"], pdf["n"]))
+            yield pd.DataFrame({"pair": list(n), "n": list(n.values())}).astype({"pair": object, "n": "int64"})
+
+    right = cut(known.mapInPandas(sound, "word string, n long"))
+    steps = right.mapInPandas(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).collect()
+    return Lexicon(Counts.read(right), {r["pair"]: r["n"] for r in steps}, enough)
 
 
 SCHEMA = "span_id long, file_id string, page int, text string, restored string, affected boolean, complete boolean"
@@ -390,30 +488,22 @@ SCHEMA = "span_id long, file_id string, page int, text string, restored string,
 def restore(spans: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """All spans with restored text.  Rows delivered again count once; extra columns are ignored; null texts stay null."""
     lexicon = lexicon or fit_lexicon(spans)
-    words = lexicon.words
-    shared = spans.sparkSession.sparkContext.broadcast(words)
+    shared = spans.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.pairs, lexicon.least))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Lexicon(shared.value)
-        cache: dict[str, tuple] = {}
+        own = Lexicon(*shared.value)
         for pdf in batches:
-            got = []
-            for t in pdf["text"]:
-                if t is None or t.isascii():
-                    got.append((t, False, True))
-                    continue
-                if t not in cache:
-                    if len(cache) > 20_000:
-                        cache.clear()
-                    cache[t] = repair(t, own)
-                got.append(cache[t])
+            texts = pdf["text"].tolist()
+            got = [(t, False, True) for t in texts]
+            at = [i for i, t in enumerate(texts) if t is not None and not t.isascii()]
+            for i, met in zip(at, encodings_met([texts[i] for i in at])):
+                got[i] = repair(texts[i], own, met)
             pdf["restored"] = pd.Series([g[0] for g in got], dtype=object, index=pdf.index)
             pdf["affected"] = [g[1] for g in got]
             pdf["complete"] = [g[2] for g in got]
             yield pdf
 
-    base = spans.select("span_id", "file_id", "page", "text").where(F.col("span_id").isNotNull()).repartition(lanes(spans.sparkSession), "span_id").distinct()
-    return base.mapInPandas(fix, SCHEMA)
+    return distinct_spans(spans).mapInPandas(fix, SCHEMA)
 
 
 def found(spans: DataFrame) -> DataFrame:
@@ -440,6 +530,3 @@ def pages(restored: DataFrame, files: DataFrame) -> DataFrame:
         "file_id", "page", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("garbled", F.lit(0)).alias("garbled"),
         F.coalesce("restored_spans", F.lit(0)).alias("restored_spans"), F.coalesce("hinted", F.lit(False)).alias("hinted"),
     )
-
-
-__all__ = ["Lexicon", "SparkSession", "T", "fit_lexicon", "found", "pages", "repair", "repair_multibyte", "repair_swap", "restore"]

@@ -6,7 +6,11 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import regex
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*")
 PLAIN_WORD = re.compile(r"[^\W\d_]+")
@@ -95,3 +99,49 @@ _FUNCTION = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
 def category(ch: str) -> str:
     return unicodedata.category(ch)
+
+
+class Counts:
+    """Counts of words, held as two sorted arrays of 64-bit hashes and numbers: twelve bytes a word.
+
+    Two words share a hash with a chance of words / 2^64.  Words asked for are remembered, in bounds.
+    """
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = np.ascontiguousarray(hashes[order], dtype=np.int64), np.ascontiguousarray(numbers[order], dtype=np.int32)
+        self._seen: dict[str, int] = {}
+
+    def __reduce__(self):
+        return Counts, (self.hashes, self.numbers)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word) > 0
+
+    def __getitem__(self, word: str) -> int:
+        return self.get(word)
+
+    def get(self, word: str, default: int = 0) -> int:
+        n = self._seen.get(word)
+        if n is None:
+            if len(self._seen) > 300_000:
+                self._seen.clear()
+            h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
+            h -= (h >> 63) << 64
+            at = int(np.searchsorted(self.hashes, h))
+            n = self._seen[word] = int(self.numbers[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
+        return n or default
+
+    @classmethod
+    def of(cls, counts: dict[str, int]) -> Counts:
+        h = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in counts]
+        return cls(np.array(h, dtype=np.uint64).astype(np.int64), np.array(list(counts.values()), dtype=np.int64))
+
+    @classmethod
+    def read(cls, rows: DataFrame, word: str = "word", n: str = "n") -> Counts:
+        """From the rows of a table of distinct words; only hashes and numbers reach the driver."""
+        got = rows.select(F.xxhash64(word).alias("h"), F.least(n, F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
+        return cls(got["h"].to_numpy(), got["n"].to_numpy())
