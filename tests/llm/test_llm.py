@@ -356,17 +356,48 @@ def test_scanned(spark):
 
 def test_word_counts_do_not_depend_on_batches(spark):
     running = [(10 * f + p, f"f{f}", p, p, "body", "Nilana Report", None) for f in range(3) for p in range(1, 7)]
-    body = [(100 + k, "f0", k, 9, "body", "Rules of the harbour\nthe harbour keeps the ledger", None) for k in range(3)]
+    body = [(100 + k, "f0", k, 9, "body", "Rules of the harbour\nthe harbour keeps the ledger", None) for k in range(1, 4)]
     df = spark.createDataFrame([*running, *body, *running, *body], "block_id long, file_id string, page int, seq int, kind string, text string, cells array<string>")
     own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = []
     for rows, parts in ((10_000, 1), (2, 1), (2, 7)):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        words = scanned.learn_words(df.repartition(parts))
-        got.append((words[0].words, words[1]))
+        got.append({(r["kind"], r["key"]): r["n"] for r in scanned.facts(df.repartition(parts)).where("kind in ('w', 't')").collect()})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
     assert got[0] == got[1] == got[2]
-    assert got[0][0]["nilana"] == 3 and got[0][0]["harbour"] == 4 and got[0][0]["ledger"] == 3
+    assert got[0]["w", "nilana"] == 3 and got[0]["w", "harbour"] == 4 and got[0]["w", "ledger"] == 3
+
+
+def test_long_file_is_read_in_groups(spark):
+    rows, n = [], 0
+    for page in range(1, 201):
+        head = "Annual Ledger" if page <= 100 else "Second Volume"
+        words = f"The tenant of house {page * 7} keeps the insu-" if page % 64 == 0 else f"rance policy {page} of the tenant." if page % 64 == 1 else f"The tenant keeps insurance number {page * 3} here."
+        rows += [(n, "f", page, 0, None, f"{head}  {page}"), (n + 1, "f", page, 1, None, words), (n + 2, "f", page, 2, None, f"It ends on day {page * 5} of the insurance.")]
+        n += 3
+    df = spark.createDataFrame([(*r, None) for r in rows], "block_id long, file_id string, page int, seq int, kind string, text string, cells array<string>")
+    got = {(r["block_id"], r["defect"]) for r in scanned.found(df).collect()}
+    assert {b for b, d in got if d == "running_head"} == {r[0] for r in rows if r[3] == 0 and r[2] > 1}
+    hints = {r["chunk"]: r for r in scanned.running_lines(scanned.facts(df)).collect()}
+    assert len(hints) == 4 and all(len(r["templates"]) <= 16 for r in hints.values())
+
+
+def test_break_follows_from_the_label(spark):
+    lexicon = scanned.Lexicon(Counts.of({"insurance": 30, "policy": 50, "tenant": 90, "north": 40, "east": 40}), Counts.of({"north-east": 30}), Counts.of({}), {}, {}, 10_000)
+    page = [{"block": 1, "page": 2, "part": -1, "line": x, "kind": None, "context": False} for x in ("The tenant keeps the insu-", "rance policy of the north-", "east tenant.")]
+    lines = scanned.label([(2, page)], [], set(), scanned.first_model(), lexicon)
+    assert [x.state for x in lines] == ["break", "body", "body"] and lines[0].goes_on == 1
+
+
+def test_viterbi_of_lines_equals_brute_force():
+    import itertools
+
+    rng = random.Random(6)
+    model = scanned.first_model()
+    for _ in range(20):
+        rows = [[rng.randrange(k) for k in scanned.FEATURES] for _ in range(5)]
+        worth = lambda path: model._start[path[0]] + sum(model.score(x)[k] for x, k in zip(rows, path)) + sum(model._move[b][a] for a, b in zip(path, path[1:]))
+        assert abs(worth(model.decode(rows)) - max(map(worth, itertools.product(range(4), repeat=5)))) < 1e-9
 
 
 # ---------------------------------------------------------------- 2 and 3 bilingual

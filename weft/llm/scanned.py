@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.dedup import first_delivery
-from weft.session import lanes
+from weft.llm.words import Counts
+from weft.session import cut, lanes
 
 HYPHENS = "‐‑\u00ad¬⁃-"
 BREAK = re.compile(rf"([^\s]*[^\W\d_])[{HYPHENS}][ \t\xa0]*$")
@@ -31,10 +33,12 @@ LEAD_NUMBER = re.compile(rf"^\s*({MARKED})(?:\s*[|•·—–]\s*|\s{{1,}})", re
 DIGITS = re.compile(r"[\d٠-٩۰-۹]+")
 # Pairs of letters that a scan takes for one, and the one.
 PAIRS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ni", "m"), ("in", "m"), ("lc", "k"), ("il", "u"), ("nn", "m"), ("ln", "m"), ("ti", "n"), ("fi", "h"), ("ci", "a"), ("ij", "y"), ("ll", "u"), ("iu", "m"))
-#: Words the corpus has less often than this are not in the lexicon.
-LEAST = 2
-#: Most frequent words kept.
-LEXICON = 200_000
+#: Times, and least share of all words, that the corpus must hold a word for it to be in the lexicon.
+LEAST, LEAST_SHARE = 2, 1e-7
+#: Times, and least share of all words, for a word to be what another is misread from.
+FREQUENT, FREQUENT_SHARE = 20, 1e-5
+#: Pages of a group on which a line must stand at the top or foot to be a running line of that part of a long file.
+CHAPTER = 16
 #: Pages per group of a file that one task treats; a file of any length is cut into such groups.
 CHUNK = 64
 #: Files the line model is fitted on at most; it has four states and a few dozen figures.
@@ -88,6 +92,7 @@ def value(mark: str) -> int | None:
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "6": "b", "8": "b", "9": "g"})
 
 
+@lru_cache(maxsize=50_000)
 def key_of(line: str) -> str:
     """Comparable form of a line: no page number, one kind of space, letters a scan confuses made equal."""
     rest = without_number(line)[0]
@@ -111,26 +116,37 @@ def shape_of(token: str) -> str:
 
 @dataclass
 class Lexicon:
-    words: dict[str, int]
-    compounds: frozenset[str]
+    """Counts of words, of words with a capital and of compounds; the frequent words; shapes of tokens; how many tokens there are."""
+
+    words: Counts
+    compounds: Counts
+    capital: Counts
+    frequent: dict[str, int]
     shapes: dict[str, int]
-    capital: dict[str, int] = field(default_factory=dict)
+    total: int
     patterns: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self._known: dict[str, str | None] = {}
         self._judged: dict[str, str | None] = {}
-        for w, n in self.words.items():
-            if n >= 20 and 2 <= len(w) <= 24:
-                for i in range(len(w)):
-                    p = w[:i] + "*" + w[i + 1 :]
-                    have = self.patterns.get(p)
-                    if have is None or self.words[have] < n:
-                        self.patterns[p] = w
+        for w, n in self.frequent.items():
+            for i in range(len(w)):
+                p = w[:i] + "*" + w[i + 1 :]
+                have = self.patterns.get(p)
+                if have is None or self.frequent[have] < n:
+                    self.patterns[p] = w
+
+    def __reduce__(self):
+        return Lexicon, (self.words, self.compounds, self.capital, self.frequent, self.shapes, self.total)
+
+    def count(self, word: str) -> int:
+        return self.words.get(word) or self.compounds.get(word)
 
     def correction(self, word: str) -> str | None:
         """The frequent word that ``word`` is a misreading of, if there is one."""
         if word not in self._known:
+            if len(self._known) > 300_000:
+                self._known.clear()
             self._known[word] = self._correction(word)
         return self._known[word]
 
@@ -188,14 +204,17 @@ def split_token(token: str) -> list[str]:
     return [p for p in re.split(r"['’/\-‐‑.,:%٪]+", token) if p]
 
 
-def misread(token: str, lexicon: Lexicon, total: int) -> str | None:
+def misread(token: str, lexicon: Lexicon) -> str | None:
     """A reason why the token is a misreading: a mixed shape or a frequent word one confusion away."""
     if token not in lexicon._judged:
-        lexicon._judged[token] = _misread(token, lexicon, total)
+        if len(lexicon._judged) > 300_000:
+            lexicon._judged.clear()
+        lexicon._judged[token] = _misread(token, lexicon)
     return lexicon._judged[token]
 
 
-def _misread(token: str, lexicon: Lexicon, total: int) -> str | None:
+def _misread(token: str, lexicon: Lexicon) -> str | None:
+    total = lexicon.total
     has_digit = any(c.isdigit() for c in token)
     has_letter = any(c.isalpha() for c in token)
     if has_digit and has_letter:
@@ -232,8 +251,8 @@ def is_split(front: str, rest: str, lexicon: Lexicon) -> bool:
     last, first = re.split(r"[-'’/]", a)[-1].lower(), re.split(r"[-'’/]", b)[0].lower()
     joined = lexicon.words.get(last + first, 0)
     compound = (a + "-" + b).lower()
-    if compound in lexicon.compounds or f"{last}-{first}" in lexicon.compounds:
-        return joined > 20 * lexicon.words.get(f"{last}-{first}", 5)
+    if max(lexicon.compounds.get(compound), lexicon.compounds.get(f"{last}-{first}")) >= 5:
+        return joined > 20 * lexicon.compounds.get(f"{last}-{first}", 5)
     if joined >= LEAST:
         return True
     if lexicon.words.get(last, 0) >= 20 and lexicon.words.get(first, 0) >= 20 and len(last) >= 3 and len(first) >= 2:
@@ -241,94 +260,60 @@ def is_split(front: str, rest: str, lexicon: Lexicon) -> bool:
     return True
 
 
-def learn_words(blocks: DataFrame) -> tuple[Lexicon, int]:
-    """Word, compound and token-shape counts over all blocks, summed in each task; what is frequent comes to the driver.
+def opening(lines: list[tuple[int, str]]) -> bool:
+    return len(lines) == 1 or len(lines) > 1 and len(lines[0][1]) < 60  # a running line may open the block
 
-    Blocks delivered again count once.  A short line that opens a block, or is all of it, counts once a file
-    however often it comes there: else the names in running lines would be frequent words.
-    """
 
-    def opening(lines: list[tuple[int, str]]) -> bool:
-        return len(lines) == 1 or len(lines) > 1 and len(lines[0][1]) < 60  # a running line may open the block
+def count_words(lines: list[tuple[int, str]], n: dict[tuple[str, str], int]) -> None:
+    """Add the words (w), words with a capital (u), compounds (c), shapes of codes (s) and tokens (t) of a block to ``n``."""
 
-    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for block, file, text, cells in zip(pdf["block_id"], pdf["file_id"], pdf["text"], pdf["cells"]):
-                lines = lines_of(text, cells)
-                if opening(lines):
-                    rows.append((block, file, key_of(lines[0][1])))
-            yield pd.DataFrame(rows, columns=["block_id", "file_id", "key"]).astype({"block_id": "int64", "file_id": object, "key": object})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n: dict[tuple[str, str], int] = {}
-            for text, cells, first in zip(pdf["text"], pdf["cells"], pdf["first"]):
-                lines = lines_of(text, cells)
-                if not first and opening(lines):
-                    lines = lines[1:]
-                for t in plain_tokens(lines):
-                    digit = any(c.isdigit() for c in t)
-                    if digit and any(c.isalpha() for c in t):
-                        k = ("s", shape_of(t))
-                        n[k] = n.get(k, 0) + 1
-                    if digit:
-                        continue
-                    if "-" in t:
-                        k = ("c", t.lower())
-                        n[k] = n.get(k, 0) + 1
-                    for p in split_token(t):
-                        k = ("w", p.lower())
-                        n[k] = n.get(k, 0) + 1
-                        if p[0].isupper() and p[1:].islower():
-                            k = ("u", p.lower())
-                            n[k] = n.get(k, 0) + 1
-                    n[("t", "")] = n.get(("t", ""), 0) + 1
-            yield pd.DataFrame({"kind": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values())}).astype({"kind": object, "key": object, "n": "int64"})
-
-    known = F.col("block_id").isNotNull() & F.col("file_id").isNotNull()
-    base = first_delivery(blocks.where(known).select("block_id", "file_id", "text", "cells"), "block_id")
-    firsts = base.mapInPandas(openings, "block_id long, file_id string, key string").groupBy("file_id", "key").agg(F.min("block_id").alias("block_id")).select("block_id", F.lit(True).alias("first"))
-    rows = (
-        base.join(firsts, "block_id", "left").select("text", "cells", F.coalesce("first", F.lit(False)).alias("first")).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= LEAST) | (F.col("kind") == "t")).orderBy(F.desc("n"), "kind", "key").limit(LEXICON).collect()
-    )
-    words = {r["key"]: r["n"] for r in rows if r["kind"] == "w"}
-    compounds = frozenset(r["key"] for r in rows if r["kind"] == "c" and r["n"] >= 5)
-    words |= {r["key"]: r["n"] for r in rows if r["kind"] == "c"}
-    total = next((r["n"] for r in rows if r["kind"] == "t"), 1)
-    return Lexicon(words, compounds, {r["key"]: r["n"] for r in rows if r["kind"] == "s"}, {r["key"]: r["n"] for r in rows if r["kind"] == "u"}), total
+    def add(kind: str, key: str) -> None:
+        n[kind, key] = n.get((kind, key), 0) + 1
+
+    for t in plain_tokens(lines):
+        if any(map(str.isdigit, t)):
+            if any(map(str.isalpha, t)):
+                add("s", shape_of(t))
+            continue
+        if "-" in t:
+            add("c", t.lower())
+        for p in split_token(t):
+            low = p.lower()
+            add("w", low)
+            if p[0].isupper() and p[1:].islower():
+                add("u", low)
+        add("t", "")
 
 
 # ---------------------------------------------------------------- line model
 
 
-FEATURES = (4, 3, 4, 3, 4)  # place on the page, likeness to a running line, number, break, kind
+FEATURES = (4, 3, 4, 4, 4)  # place on the page, likeness to a running line, number, break, kind
+#: Values of the break feature: no hyphen at the line's end, a word cut in two, a hyphen without a sign of that, not judged yet.
+NO_HYPHEN, CUT, WHOLE, OPEN = range(4)
 
 
-def features(lines: list[dict], templates: list[str], offsets: set[int]) -> np.ndarray:
-    """Layout features of the lines of one page, in reading order."""
+def features(lines: list[dict], templates: list[str], offsets: set[int]) -> list[list[int]]:
+    """Layout features of the lines of one page, in reading order; hyphens are not judged."""
     n = len(lines)
-    out = np.zeros((n, len(FEATURES)), dtype=np.int8)
+    out = []
     for i, x in enumerate(lines):
         line = x["line"]
-        out[i, 0] = 2 if n == 1 else 0 if i == 0 else 1 if i == n - 1 else 3
         edge = i == 0 or i == n - 1
         close = i < 2 or i >= n - 2 or len(line) <= 14
         key = key_of(line) if close else ""
-        alike = 0
+        alike = number_is = 0
         if key and templates and x["part"] < 0:
             if key in templates:
                 alike = 2
             elif edge and any(near(key, t) for t in templates):
                 alike = 1
-        out[i, 1] = alike
         _, number, more = without_number(line) if close and x["part"] < 0 else ("", None, True)
         if number is not None:
             fits = number - x["page"] in offsets or not offsets
-            out[i, 2] = (3 if alike and fits else 0) if more else 1 if fits or edge and number < 1500 else 2
-        out[i, 3] = 0 if not BREAK.search(line) else 1
-        out[i, 4] = {"header": 1, "footer": 2, "heading": 3}.get(x["kind"], 0)
+            number_is = (3 if alike and fits else 0) if more else 1 if fits or edge and number < 1500 else 2
+        hyphen = OPEN if BREAK.search(line) or "-" in line and INLINE.search(line) else NO_HYPHEN
+        out.append([2 if n == 1 else 0 if i == 0 else 1 if i == n - 1 else 3, alike, number_is, hyphen, {"header": 1, "footer": 2, "heading": 3}.get(x["kind"], 0)])
     return out
 
 
@@ -340,22 +325,39 @@ class LineModel:
     move: np.ndarray
     emit: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        self._start, self._move = np.log(self.start).tolist(), np.log(self.move).T.tolist()
+        self._emit = [np.log(e).T.tolist() for e in self.emit]
+        self._seen: dict[tuple[int, ...], list[float]] = {}
+
+    def score(self, x: list[int]) -> list[float]:
+        """Log-likelihood of one line's features in each state."""
+        key = tuple(x)
+        got = self._seen.get(key)
+        if got is None:
+            got = self._seen[key] = [sum(v) for v in zip(*(e[k] for e, k in zip(self._emit, x)))]
+        return got
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return sum(np.log(e[:, x[:, k]]).T for k, e in enumerate(self.emit))
 
-    def decode(self, x: np.ndarray) -> list[int]:
+    def decode(self, rows: list[list[int]]) -> list[int]:
         """Most likely states, Viterbi."""
-        if not len(x):
+        if not rows:
             return []
-        s = self.scores(x)
-        best, back = np.log(self.start) + s[0], []
-        for row in s[1:]:
-            via = best[:, None] + np.log(self.move)
-            back.append(via.argmax(0))
-            best = via.max(0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
+        best, back = [a + b for a, b in zip(self._start, self.score(rows[0]))], []
+        for x in rows[1:]:
+            via, own = [], []
+            for into, here in zip(self._move, self.score(x)):
+                ways = [a + b for a, b in zip(best, into)]
+                top = max(ways)
+                via.append(ways.index(top))
+                own.append(top + here)
+            back.append(via)
+            best = own
+        path = [best.index(max(best))]
+        for via in reversed(back):
+            path.append(via[path[-1]])
         return path[::-1]
 
 
@@ -365,24 +367,24 @@ def first_model() -> LineModel:
         np.array([[0.2, 0.15, 0.05, 0.6], [0.8, 0.08, 0.1, 0.02], [0.03, 0.85, 0.1, 0.02], [0.15, 0.15, 0.05, 0.65]]),
         np.array([[0.988, 0.01, 0.002], [0.0005, 0.2, 0.7995], [0.97, 0.02, 0.01], [0.988, 0.01, 0.002]]),
         np.array([[0.985, 0.003, 0.01, 0.002], [0.66, 0.01, 0.01, 0.32], [0.0002, 0.93, 0.0598, 0.01], [0.985, 0.003, 0.01, 0.002]]),
-        np.array([[0.96, 0.03, 0.01], [0.97, 0.02, 0.01], [0.97, 0.02, 0.01], [0.02, 0.97, 0.01]]),
+        np.array([[0.95, 0.002, 0.03, 0.018], [0.97, 0.001, 0.009, 0.02], [0.97, 0.001, 0.009, 0.02], [0.004, 0.94, 0.006, 0.05]]),
         np.array([[0.85, 0.03, 0.03, 0.09], [0.3, 0.45, 0.05, 0.2], [0.3, 0.1, 0.5, 0.1], [0.85, 0.03, 0.03, 0.09]]),
     ]
     move = np.array([[0.8, 0.01, 0.06, 0.13], [0.84, 0.02, 0.02, 0.12], [0.6, 0.2, 0.1, 0.1], [0.9, 0.01, 0.02, 0.07]])
     return LineModel(np.array([0.45, 0.4, 0.05, 0.1]), move, emit)
 
 
-def fit(pages: list[np.ndarray], rounds: int = 4) -> LineModel:
-    """Expectation maximisation over the pages of a bounded sample, from ``first_model``; its figures stay as prior counts.
+#: Lines that the starting figures of each emission weigh; likeness, number and break say what a state is and weigh more.
+PRIOR = (40, 200_000, 200_000, 200_000, 40)
 
-    Likeness to a running line, number and break say what a state is and stay as given; the moves
-    between states, places on the page and the worth of the stated kinds are learned.
-    """
+
+def fit(pages: list[np.ndarray], rounds: int = 4) -> LineModel:
+    """Expectation maximisation over the pages of a bounded sample, from ``first_model``, whose figures stay as prior counts."""
     model = first_model()
     for _ in range(rounds if pages else 0):
         prior = first_model()
         start, move = prior.start * 20, prior.move * 40
-        emit = [e * 40 for e in prior.emit]
+        emit = [e * weight for e, weight in zip(prior.emit, PRIOR)]
         for x in pages:
             s = model.scores(x)
             p = np.exp(s - s.max(1, keepdims=True))
@@ -404,166 +406,293 @@ def fit(pages: list[np.ndarray], rounds: int = 4) -> LineModel:
                 z = a[t][:, None] * model.move * (p[t + 1] * b[t + 1])[None, :]
                 move += z / z.sum()
             for k, e in enumerate(emit):
-                for v in range(e.shape[1]):
-                    e[:, v] += g[x[:, k] == v].sum(0)
-        learned = [e / e.sum(1, keepdims=True) for e in emit]
-        fixed = prior.emit
-        model = LineModel(start / start.sum(), move / move.sum(1, keepdims=True), [learned[0], fixed[1], fixed[2], fixed[3], learned[4]])
+                np.add.at(e.T, x[:, k], g)
+        model = LineModel(start / start.sum(), move / move.sum(1, keepdims=True), [e / e.sum(1, keepdims=True) for e in emit])
     return model
 
 
-# ---------------------------------------------------------------- operators
-
-
-def running_lines(blocks: DataFrame) -> DataFrame:
-    """(file_id, pages, templates, offsets): lines that come back at the top or foot of a file's pages, and the
-    usual distances of printed numbers from page numbers.
-
-    Only the first and last line of a page are looked at; both come from one aggregate per page.
-    A line is a template where it stands on two pages or more and on a quarter of the pages.
+@dataclass
+class Line:
+    """A line in reading order, its state, and where the word it breaks off goes on."""
+
+    block: int
+    page: int
+    part: int
+    line: str
+    context: bool
+    rows: list[int]
+    state: str = ""
+    goes_on: int | None = None
+    ends_cut: bool = False
+
+
+def label(pages: list[tuple[int, list[dict]]], templates: list[str], offsets: set[int], model: LineModel, lexicon: Lexicon) -> list[Line]:
+    """The lines of a group of pages with their states.
+
+    The pages are decoded, hyphens at line ends are judged by the body lines that follow and by the
+    lexicon, and pages with hyphens are decoded again: whether a line breaks off in the middle of a
+    word is what its label says, from that judgement, its place and the lines around it.
     """
-
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            first, last, n1, n2 = [], [], [], []
-            for text, cells in zip(pdf["text"], pdf["cells"]):
-                own = lines_of(text, None)
-                a, b = (own[0][1], own[-1][1]) if own else ("", "")
-                first.append(key_of(a)), last.append(key_of(b))
-                n1.append(without_number(a)[1] if a else None), n2.append(without_number(b)[1] if b else None)
-            yield pd.DataFrame({"file_id": pdf["file_id"], "page": pdf["page"], "seq": pdf["seq"], "first": first, "last": last, "n1": pd.array(n1, dtype="Int64"), "n2": pd.array(n2, dtype="Int64")})
-
-    ends = blocks.select("file_id", "page", "seq", "text", "cells").mapInPandas(edges, "file_id string, page int, seq int, first string, last string, n1 long, n2 long")
-    c = F.col
-    page = ends.groupBy("file_id", "page").agg(F.min_by(F.struct("first", "n1"), "seq").alias("top"), F.max_by(F.struct("last", "n2"), "seq").alias("foot"))
-    keyed = page.select("file_id", "page", F.explode(F.array(c("top.first"), c("foot.last"))).alias("key")).where(c("key") != "").groupBy("file_id", "key").agg(F.count_distinct("page").alias("n"))
-    count = page.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages"))
-    kept = keyed.join(count, "file_id").where((c("n") >= 2) & (c("n") >= 0.25 * c("pages")))
-    templates = kept.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("t")).select("file_id", F.slice("t.key", 1, 4).alias("templates"))
-    shifts = page.select("file_id", F.explode(F.array(c("top.n1") - c("page"), c("foot.n2") - c("page"))).alias("d")).where(c("d").isNotNull()).groupBy("file_id", "d").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= 2)
-    offsets = shifts.groupBy("file_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "d")), asc=False), 1, 2).alias("o")).select("file_id", F.col("o.d").alias("offsets"))
-    return count.join(templates, "file_id", "left").join(offsets, "file_id", "left")
-
-
-def _pages(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
-    for page, rows in pdf.sort_values(["page", "seq", "block_id"]).groupby("page", sort=True):
-        out = []
-        for r in rows.itertuples(index=False):
-            for part, line in lines_of(r.text, r.cells):
-                out.append({"block": r.block_id, "page": int(page), "part": part, "line": line, "kind": r.kind, "context": bool(r.context)})
-        yield int(page), out
-
-
-def prepared(blocks: DataFrame) -> DataFrame:
-    """Distinct blocks with their file's running lines, cut into groups of CHUNK pages; the page after a group comes along as context."""
-    base = first_delivery(blocks.select("block_id", "file_id", "page", "seq", "kind", "text", "cells"), "block_id").where(F.col("block_id").isNotNull() & F.col("file_id").isNotNull() & F.col("page").isNotNull())
-    joined = base.join(running_lines(base), "file_id", "left")
-    own = joined.select("*", F.floor((F.col("page") - 1) / CHUNK).cast("int").alias("chunk"), F.lit(False).alias("context"))
-    next_page = own.where(F.pmod(F.col("page") - 1, F.lit(CHUNK)) == 0).withColumn("chunk", F.col("chunk") - 1).withColumn("context", F.lit(True))
-    return own.unionByName(next_page)
-
-
-def fit_lines(ready: DataFrame, sample_files: int = SAMPLE_FILES) -> LineModel:
-    """The line model, fitted on the first pages of at most ``sample_files`` files chosen by a hash of their ids."""
-    ids = ready.select("file_id").distinct().orderBy(F.xxhash64("file_id")).limit(sample_files)
-    sample = ready.where((F.col("chunk") == 0) & ~F.col("context")).join(ids, "file_id", "left_semi").toPandas()
-    pages = []
-    for _, own in sample.groupby("file_id", sort=True):
-        templates, offsets = _hints(own)
-        pages += [features(lines, templates, offsets) for _, lines in _pages(own) if lines]
-    return fit(pages[:6000])
-
-
-def _hints(own: pd.DataFrame) -> tuple[list[str], set[int]]:
-    t, o = own["templates"].iloc[0], own["offsets"].iloc[0]
-    return ([] if t is None or isinstance(t, float) else list(t)), (set() if o is None or isinstance(o, float) else set(o))
-
-
-def _labelled(pdf: pd.DataFrame, model: LineModel) -> list[tuple[dict, int, int]]:
-    """(line, state, number feature) of all lines of a group in reading order."""
-    templates, offsets = _hints(pdf)
-    out = []
-    for _, lines in _pages(pdf):
-        x = features(lines, templates, offsets)
-        out += list(zip(lines, model.decode(x), x[:, 2].tolist(), x[:, 0].tolist()))
+    out: list[Line] = []
+    spans = []
+    for page, lines in pages:
+        rows = features(lines, templates, offsets)
+        states = model.decode(rows)
+        spans.append((len(out), len(out) + len(lines)))
+        out += [Line(x["block"], page, x["part"], x["line"], x["context"], r, STATES[k]) for x, r, k in zip(lines, rows, states)]
+    judge_hyphens(out, lexicon)
+    for a, b in spans:
+        if any(x.rows[3] for x in out[a:b]):
+            for x, k in zip(out[a:b], model.decode([x.rows for x in out[a:b]])):
+                x.state = STATES[k]
     return out
 
 
-def _breaks(labelled: list, lexicon: Lexicon) -> dict[int, int | None]:
-    """Lines that end in a word cut in two, with the line the word goes on in where that is known.
+def judge_hyphens(lines: list[Line], lexicon: Lexicon) -> None:
+    """Set the break feature of body lines with hyphens, and the line the word goes on in where that is known.
 
     Within a block that is the next line; at the end of a block the first line of a later block on the
     same or the next page that completes a known word.
     """
-    out: dict[int, int | None] = {}
-    body = [i for i, (x, s, _, _) in enumerate(labelled) if STATES[s] in ("body", "break")]
+    body = [i for i, x in enumerate(lines) if x.state in ("body", "break")]
     for at, i in enumerate(body):
-        x = labelled[i][0]
-        m = BREAK.search(x["line"])
+        x = lines[i]
+        if x.rows[3] == NO_HYPHEN:
+            continue
+        inside = any(is_split(m[1], m[2], lexicon) and lexicon.count((m[1] + m[2]).lower()) >= LEAST for m in INLINE.finditer(x.line))
+        x.rows[3] = CUT if inside else WHOLE
+        m = BREAK.search(x.line)
         if not m:
             continue
         nxt = body[at + 1] if at + 1 < len(body) else None
-        if nxt is not None and labelled[nxt][0]["block"] == x["block"] and labelled[nxt][0]["part"] == x["part"]:
-            if is_split(m[1], labelled[nxt][0]["line"], lexicon):
-                out[i] = nxt
+        if nxt is not None and lines[nxt].block == x.block and lines[nxt].part == x.part:
+            if is_split(m[1], lines[nxt].line, lexicon):
+                x.rows[3], x.ends_cut, x.goes_on = CUT, True, nxt
             continue
-        if x["part"] >= 0:
+        if x.part >= 0:
             continue
         last = re.split(r"[\s«»“”„(\[\-'’/]", m[1])[-1].lower()
-        fresh = [j for a, j in zip([i, *body[at + 1 :]], body[at + 1 :]) if labelled[j][0]["part"] < 0 and labelled[j][0]["page"] <= x["page"] + 1 and labelled[j][0]["block"] != labelled[a][0]["block"]]
-        for j in fresh[:12]:
-            t = TOKEN.match(labelled[j][0]["line"].strip())
-            if t and lexicon.words.get(last + re.split(r"[-'’/]", t[0])[0].lower(), 0) >= LEAST and is_split(m[1], labelled[j][0]["line"], lexicon):
-                out[i] = j
+        first_of_later = None
+        before = i
+        for j in body[at + 1 :]:
+            if lines[j].page > x.page + 1:
+                break
+            fresh = lines[j].part < 0 and lines[j].block != lines[before].block
+            before = j
+            if not fresh:
+                continue
+            first_of_later = j if first_of_later is None else first_of_later
+            t = TOKEN.match(lines[j].line.strip())
+            if t and lexicon.count(last + re.split(r"[-'’/]", t[0])[0].lower()) >= LEAST and is_split(m[1], lines[j].line, lexicon):
+                x.rows[3], x.ends_cut, x.goes_on = CUT, True, j
                 break
         else:
-            if len(last) >= 2 and last.isalpha() and lexicon.words.get(last, 0) < 20 and not m[1].isupper():
-                out[i] = fresh[0] if fresh and labelled[fresh[0]][0]["line"].strip()[:1].islower() else None
-    return out
+            if len(last) >= 2 and last.isalpha() and lexicon.count(last) < 20 and not m[1].isupper():
+                x.rows[3], x.ends_cut = CUT, True
+                if first_of_later is not None and lines[first_of_later].line.strip()[:1].islower():
+                    x.goes_on = first_of_later
+
+
+# ---------------------------------------------------------------- operators
+
+
+COLUMNS = ("file_id", "chunk", "page", "seq", "block_id", "context", "kind", "text", "cells", "templates", "offsets")
+
+
+def groups(blocks: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """Rows of blocks by file and group of CHUNK pages, each group together and in reading order in one partition.
+
+    With ``hints`` the running lines of a group come as its first row, and the first page of the next
+    group comes along as context.  Blocks without id, file or page are left out.  This is the only
+    shuffle of the texts; rows delivered again meet in their group.
+    """
+    c = F.col
+    chunk = F.floor((c("page") - 1) / CHUNK).cast("int")
+    own = blocks.where(c("block_id").isNotNull() & c("file_id").isNotNull() & c("page").isNotNull()).select("file_id", chunk.alias("chunk"), "page", "seq", "block_id", "kind", "text", "cells")
+    none = [F.lit(None).cast("array<string>").alias("templates"), F.lit(None).cast("array<long>").alias("offsets")]
+    if hints is None:
+        rows = own.select("*", F.lit(False).alias("context"), *none)
+    else:
+        last = F.pmod(c("page") - 1, F.lit(CHUNK)) == 0
+        to = F.explode(F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        rows = own.select("*", to.alias("back"), *none).withColumn("chunk", c("chunk") - c("back")).withColumn("context", c("back") == 1).drop("back")
+        rows = rows.unionByName(hints, allowMissingColumns=True)
+    return rows.select(*COLUMNS).repartition(lanes(blocks.sparkSession), "file_id", "chunk").sortWithinPartitions("file_id", "chunk", c("page").asc_nulls_first(), c("seq").asc_nulls_last(), "block_id")
+
+
+def read_groups(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, list[str], set[int], list[tuple[int, list[dict]]]]]:
+    """(file, running lines, offsets, pages with their lines) of each group, also where it goes on over batches; a block counts once."""
+
+    def rows() -> Iterator[tuple]:
+        for pdf in batches:
+            yield from zip(*(pdf[c].tolist() for c in COLUMNS))
+
+    for (file, _), own in groupby(rows(), key=lambda r: r[:2]):
+        templates: list[str] = []
+        offsets: set[int] = set()
+        pages: list[tuple[int, list[dict]]] = []
+        seen = set()
+        for _, _, page, _, block, context, kind, text, cells, t, o in own:
+            if page is None or page != page:
+                templates, offsets = [] if t is None else list(t), set() if o is None else set(o)
+            elif block not in seen:
+                seen.add(block)
+                if not pages or pages[-1][0] != page:
+                    pages.append((int(page), []))
+                pages[-1][1].extend({"block": int(block), "page": int(page), "part": part, "line": line, "kind": kind, "context": bool(context)} for part, line in lines_of(text, cells))
+        yield file, templates, offsets, pages
+
+
+def facts(blocks: DataFrame) -> DataFrame:
+    """(kind, file_id, page, key, n): counts of words over all blocks, and the first and last line of every page.
+
+    Words are counted in each task before the shuffle.  A short line that opens a block, or is all of
+    it, counts once a file and group of pages however often it comes there: else the names in running
+    lines would be frequent words.  Kinds 'top' and 'foot' hold the comparable form of the line and in
+    n the number printed in it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[tuple[str, str], int] = {}
+        edges: list[tuple] = []
+
+        def frame() -> pd.DataFrame:
+            rows = [(kind, None, None, key, k) for (kind, key), k in n.items()] + edges
+            n.clear(), edges.clear()
+            out = pd.DataFrame(rows, columns=["kind", "file_id", "page", "key", "n"], dtype=object)
+            return out.astype({"page": "Int32", "n": "Int64"})
+
+        for file, _, _, pages in read_groups(batches):
+            met: set[str] = set()
+            for page, lines in pages:
+                texts = [x["line"] for x in lines if x["part"] < 0]
+                for kind, line in (("top", texts[0] if texts else ""), ("foot", texts[-1] if texts else "")):
+                    edges.append((kind, file, page, key_of(line), without_number(line)[1] if line else None))
+                for _, rows in groupby(lines, key=lambda x: x["block"]):
+                    own = [(x["part"], x["line"]) for x in rows]
+                    if opening(own):
+                        key = key_of(own[0][1])
+                        if key in met:
+                            own = own[1:]
+                        met.add(key)
+                    count_words(own, n)
+            if len(n) + len(edges) > 200_000:
+                yield frame()
+        yield frame()
+
+    return groups(blocks).mapInPandas(run, "kind string, file_id string, page int, key string, n long").groupBy("kind", "file_id", "page", "key").agg(F.sum("n").alias("n"))
+
+
+def learn_words(known: DataFrame, share: float = LEAST_SHARE, frequent_share: float = FREQUENT_SHARE) -> Lexicon:
+    """The lexicon of the counts of ``facts``.
+
+    Words in at least LEAST places and the share ``share`` of all are kept as hashes, so at most
+    1/share (ten million) of them; the words that others can be misread from, in at least FREQUENT
+    places and the share ``frequent_share``, at most 1/frequent_share, as texts; of the shapes those
+    that can be common.
+    """
+    c = F.col
+    total = (known.where(c("kind") == "t").agg(F.sum("n")).first()[0]) or 1
+    enough = known.where(c("n") >= max(LEAST, share * total))
+    of = lambda kind: Counts.read(enough.where(c("kind") == kind), "key")
+    often = known.where((c("kind") == "w") & (c("n") >= max(FREQUENT, frequent_share * total)) & F.length("key").between(2, 24))
+    shapes = known.where((c("kind") == "s") & (c("n") * 4000 >= total))
+    return Lexicon(of("w"), of("c"), of("u"), {r["key"]: r["n"] for r in often.orderBy("key").collect()}, {r["key"]: r["n"] for r in shapes.collect()}, total)
+
 
+def running_lines(known: DataFrame) -> DataFrame:
+    """(file_id, chunk, templates, offsets): lines that come back at the top or foot of pages, and the usual distances of
+    printed numbers from page numbers, for every group of pages.
 
-def defects(blocks: DataFrame, ready: DataFrame | None = None) -> DataFrame:
+    A line is a template where it stands on two pages or more and on a quarter of the file's pages, or
+    on CHAPTER pages of the group; so a group has at most 16.  A distance counts where it is met
+    twice and on a tenth of the pages of the file or the group.
+    """
+    c = F.col
+    edges = known.where(c("kind").isin("top", "foot")).select("file_id", "page", "key", "n", F.floor((c("page") - 1) / CHUNK).cast("int").alias("chunk"))
+    whole = edges.groupBy("file_id").agg(F.count_distinct("page").alias("pages"))
+    parts = edges.select("file_id", "chunk").distinct()
+
+    def usual(rows: DataFrame, what: str, share: float, least: int) -> DataFrame:
+        """(file_id, chunk, what): values met often enough in the file, or in the group."""
+        n = rows.groupBy("file_id", "chunk", what).agg(F.count_distinct("page").alias("n"))
+        per_file = n.groupBy("file_id", what).agg(F.sum("n").alias("n")).join(whole, "file_id").where((c("n") >= 2) & (c("n") >= share * c("pages"))).select("file_id", what)
+        return per_file.join(parts, "file_id").unionByName(n.where(c("n") >= least).select("file_id", what, "chunk")).groupBy("file_id", "chunk").agg(F.sort_array(F.collect_set(what)).alias(what))
+
+    templates = usual(edges.where(c("key") != ""), "key", 0.25, CHAPTER).withColumnRenamed("key", "templates")
+    offsets = usual(edges.where(c("n").isNotNull()).withColumn("offset", c("n") - c("page")), "offset", 0.1, -(-CHUNK // 10)).withColumnRenamed("offset", "offsets")
+    return parts.join(templates, ["file_id", "chunk"], "left").join(offsets, ["file_id", "chunk"], "left")
+
+
+def fit_lines(blocks: DataFrame, hints: DataFrame, lexicon: Lexicon, sample_files: int = SAMPLE_FILES) -> LineModel:
+    """The line model, fitted on the first CHUNK pages of at most ``sample_files`` files chosen by a hash of their ids."""
+    ids = [r["file_id"] for r in hints.where("chunk = 0").orderBy(F.xxhash64("file_id"), "file_id").limit(sample_files).select("file_id").collect()]
+    if not ids:
+        return first_model()
+    some = groups(blocks.where(F.col("file_id").isin(ids) & F.col("page").between(1, CHUNK)), hints.where((F.col("chunk") == 0) & F.col("file_id").isin(ids))).where(~F.coalesce("context", F.lit(False)))
+    sample = some.toPandas().sort_values(["file_id", "chunk", "page", "seq", "block_id"], na_position="first", kind="stable")
+    first, pages = first_model(), []
+    for _, templates, offsets, own in read_groups([sample.astype(object).where(sample.notna(), None)]):
+        for _, lines in groupby(label(own, templates, offsets, first, lexicon), key=lambda x: x.page):
+            pages.append(np.array([x.rows for x in lines], dtype=np.int8))
+    return fit(pages)
+
+
+def labelled(blocks: DataFrame, run: Callable[[str, list[Line], Lexicon], list[tuple]], schema: str, columns: dict[str, str]) -> DataFrame:
+    """The rows that ``run`` makes of the labelled lines of every group."""
+    known = cut(facts(blocks))
+    lexicon = learn_words(known)
+    hints = cut(running_lines(known))
+    shared = blocks.sparkSession.sparkContext.broadcast((lexicon, fit_lines(blocks, hints, lexicon)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, model = shared.value
+        rows: list[tuple] = []
+        frame = lambda: pd.DataFrame(rows, columns=list(columns), dtype=object).astype(columns)
+        for file, templates, offsets, pages in read_groups(batches):
+            rows += run(file, label(pages, templates, offsets, model, lexicon), lexicon)
+            if len(rows) > 20_000:
+                yield frame()
+                rows.clear()
+        yield frame()
+
+    return groups(blocks, hints).mapInPandas(work, schema)
+
+
+def defects(blocks: DataFrame) -> DataFrame:
     """(block_id, defect): split_word, misread, running_head, page_number, one row per kind and block.
 
     Blocks delivered again count once.  Null file ids or pages, blank texts and empty cells have no
     lines and so no defect; ties of (page, seq) are read in the order of block_id.
     """
-    ready = prepared(blocks) if ready is None else ready
-    lexicon, total = learn_words(blocks)
-    shared = blocks.sparkSession.sparkContext.broadcast((lexicon, total, fit_lines(ready)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lexicon, total, model = shared.value
-        labelled = _labelled(pdf, model)
-        cut = _breaks(labelled, lexicon)
+
+    def run(file: str, lines: list[Line], lexicon: Lexicon) -> list[tuple]:
         out: set[tuple[int, str]] = set()
-        begun = {j: i for i, j in cut.items() if j is not None}
-        for i, (x, state, number, place) in enumerate(labelled):
-            if x["context"]:
+        begun = {x.goes_on: x for x in lines if x.state == "break" and x.goes_on is not None}
+        for i, x in enumerate(lines):
+            if x.context:
                 continue
-            name = STATES[state]
-            if name == "head" and not (x["page"] == 1 and place in (0, 2)):
-                out.add((x["block"], "running_head"))
-            if name == "number" or name == "head" and number == 3:
-                out.add((x["block"], "page_number"))
-            if i in cut or any(is_split(m[1], m[2], lexicon) and lexicon.words.get((m[1] + m[2]).lower(), 0) >= LEAST for m in INLINE.finditer(x["line"])):
-                out.add((x["block"], "split_word"))
-            if name == "number":
+            if x.state == "head" and not (x.page == 1 and x.rows[0] in (0, 2)):
+                out.add((x.block, "running_head"))
+            if x.state == "number" or x.state == "head" and x.rows[2] == 3:
+                out.add((x.block, "page_number"))
+            if x.state == "break":
+                out.add((x.block, "split_word"))
+            if x.state == "number":
                 continue
-            tokens = tokens_of(without_number(x["line"])[0] if name == "head" else x["line"])
-            if i in begun and tokens:
-                front = labelled[begun[i]][0]
+            tokens = tokens_of(without_number(x.line)[0] if x.state == "head" else x.line)
+            front = begun.get(i)
+            if front is not None and tokens:
                 first = tokens.pop(0)
-                if front["block"] == x["block"]:
-                    before = tokens_of(front["line"])
-                    tokens += [before[-1] + first] if before else []
-            if i in cut and tokens:
-                tokens.pop() if i not in begun or len(tokens) > 1 else None
-            if any(misread(t, lexicon, total) for t in tokens):
-                out.add((x["block"], "misread"))
-        return pd.DataFrame(sorted(out), columns=["block_id", "defect"]).astype({"block_id": "int64", "defect": object})
+                if front.block == x.block and (before := tokens_of(front.line)):
+                    tokens.append(before[-1] + first)
+            if x.state == "break" and x.ends_cut and tokens and (front is None or len(tokens) > 1):
+                tokens.pop()
+            if any(misread(t, lexicon) for t in tokens):
+                out.add((x.block, "misread"))
+        return sorted(out)
 
-    return ready.repartition(lanes(blocks.sparkSession), "file_id", "chunk").groupBy("file_id", "chunk").applyInPandas(run, "block_id long, defect string").distinct()
+    return labelled(blocks, run, "block_id long, defect string", {"block_id": "int64", "defect": "object"})
 
 
 def found(blocks: DataFrame) -> DataFrame:
@@ -578,9 +707,6 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     that goes on over the page ends in its first block), misread words replaced where the word meant
     is known.  ``cell`` is null for text.
     """
-    ready = prepared(blocks)
-    lexicon, total = learn_words(blocks)
-    shared = blocks.sparkSession.sparkContext.broadcast((lexicon, total, fit_lines(ready)))
 
     def mend(m: re.Match, lexicon: Lexicon) -> str:
         word = m[0]
@@ -591,34 +717,25 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
             return word
         return fix[:1].upper() + fix[1:] if word[:1].isupper() else fix
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lexicon, _, model = shared.value
-        labelled = _labelled(pdf, model)
-        cut = _breaks(labelled, lexicon)
+    def run(file: str, lines: list[Line], lexicon: Lexicon) -> list[tuple]:
         texts: dict[tuple[int, int, int], str] = {}
         own: set[int] = set()
-        begun = {j: i for i, j in cut.items() if j is not None}
         home: dict[int, tuple[int, int, int]] = {}
-        for i, (x, state, _, _) in enumerate(labelled):
-            if STATES[state] in ("head", "number"):
+        begun = {x.goes_on: i for i, x in enumerate(lines) if x.state == "break" and x.goes_on is not None}
+        for i, x in enumerate(lines):
+            if x.state in ("head", "number"):
                 continue
-            key = home[i] = (x["page"], x["block"], x["part"])
-            line = " ".join(x["line"].split())
-            if not x["context"]:
-                own.add(x["block"])
-            if i in begun:
+            key = home[i] = (x.page, x.block, x.part)
+            line = " ".join(x.line.split())
+            if not x.context:
+                own.add(x.block)
+            if i in begun and begun[i] in home:
                 front = home[begun[i]]
                 first, _, line = line.partition(" ")
                 texts[front] = texts[front].rstrip().rstrip(HYPHENS) + first
                 if not line:
                     continue
             texts[key] = f"{texts[key]} {line}" if texts.get(key) else line
-        rows = []
-        for (page, block, part), t in texts.items():
-            if block in own:
-                rows.append((pdf["file_id"].iloc[0], page, block, None if part < 0 else part, TOKEN.sub(lambda m: mend(m, lexicon), t)))
-        out = pd.DataFrame(rows, columns=["file_id", "page", "block_id", "cell", "text"])
-        out["cell"] = out["cell"].astype("Int32")
-        return out.astype({"page": "int32", "block_id": "int64"})
-
-    return ready.repartition(lanes(blocks.sparkSession), "file_id", "chunk").groupBy("file_id", "chunk").applyInPandas(run, "file_id string, page int, block_id long, cell int, text string")
+        return [(file, page, block, None if part < 0 else part, TOKEN.sub(lambda m: mend(m, lexicon), t)) for (page, block, part), t in texts.items() if block in own]
+
+    return labelled(blocks, run, "file_id string, page int, block_id long, cell int, text string", {"file_id": "object", "page": "int32", "block_id": "int64", "cell": "Int32", "text": "object"})
