@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.words import language_of
+from weft.llm.words import language_of, script_of
 from weft.session import cut, lanes
 
 LINE = re.compile(r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
@@ -56,6 +56,13 @@ ARABIC = ("ar", "ur")
 
 def language(text: str, hint: str | None) -> str:
     """The hinted language where the script bears it out, else the detected one."""
+    scripts = {script_of(ch) for ch in set(text)} - {""}
+    if len(scripts) == 1:  # one script tells the language, or that the hint can be right
+        only = next(iter(scripts))
+        if only in ("ru", "zh", "th"):
+            return only
+        if hint in (LATIN if only == "la" else ARABIC):
+            return hint
     got = language_of(text)
     return hint if hint and any(hint in g and got in g for g in (LATIN, ARABIC)) else got
 
@@ -213,9 +220,14 @@ def learn(
 # ---------------------------------------------------------------- splitting
 
 
+QUOTES = re.compile(r"[“«„「『（(\[”\"]")
+
+
 def _open_quote(text: str, start: int, end: int) -> int | None:
     """Place of the last opening quote or bracket in text[start:end] that has not been closed."""
     stack: list[tuple[str, int]] = []
+    if not QUOTES.search(text, start, end):
+        return None
     for i in range(start, end):
         ch = text[i]
         if stack and ch in MATE.get(stack[-1][0], ""):

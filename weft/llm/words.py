@@ -55,6 +55,16 @@ def _script(ch: str) -> str:
     return "ar" if 0x600 <= o < 0x700 or 0xFB50 <= o < 0xFE00 or 0xFE70 <= o < 0xFF00 else ""
 
 
+class _Scripts(dict):
+    def __missing__(self, ch: str) -> str:
+        got = self[ch] = _script(ch)
+        return got
+
+
+#: Script of a character: ar, la, ru, th, zh, or '' for what is no letter.
+script_of = _Scripts().__getitem__
+
+
 def language_of(text: str | None, chars: Counter | None = None, words: Counter | None = None) -> str:
     """Language of a text by script and function words; 'und' without letters.
 
