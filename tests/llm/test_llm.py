@@ -464,6 +464,54 @@ def test_crf_decodes_like_brute_force():
         assert tuple(got[i, :n]) == best
 
 
+def alignment_lexicon():
+    rng = random.Random(3)
+    pairs_ = [("en", "fr", *bilingual(rng)) for _ in range(400)]
+    return bitext.fit(pairs_)
+
+
+def best_path_score(sources, targets, lexicon, path=None):
+    """Score of the best path over all states, or of the given spans, by the dense table of all moves."""
+    emissions = alignment.Emissions(sources, lexicon)
+    n, spans = len(sources), list(zip(emissions.starts.tolist(), (emissions.starts + emissions.longer).tolist()))
+    jump = lambda d: alignment.JUMP.get(d, alignment.FAR - 0.05 * min(abs(d), alignment.FARTHEST))
+    best = {("null", -1): 0.0}
+    for j, t in enumerate(targets):
+        emit, new = emissions.of(t), {}
+        for (kind, p), x in best.items():
+            for k, (a, b) in enumerate(spans):
+                if path is None or path[j] == (a, b):
+                    new[a, b] = max(new.get((a, b), -1e9), x + jump(a - p) + emit[k])
+            if path is None or path[j] == (-1, -1):
+                new["null", p] = max(new.get(("null", p), -1e9), x + alignment.NULL)
+        best = new
+    return max(best.values())
+
+
+def test_alignment_decoding_equals_the_dense_table():
+    rng = random.Random(7)
+    lexicon = alignment_lexicon()
+    for _ in range(6):
+        both = [[bitext.tokens(x) for x in bilingual(rng)] for _ in range(9)]
+        sources = [s for s, _ in both]
+        targets = [t for _, t in both if rng.random() > 0.2]
+        rng.shuffle(targets)
+        targets[1:3] = [targets[1] + targets[2]]
+        got = alignment.decode(sources, targets, lexicon)
+        assert abs(best_path_score(sources, targets, lexicon) - best_path_score(sources, targets, lexicon, got)) < 1e-6
+
+
+def test_long_documents_are_aligned_in_time():
+    import time
+
+    rng = random.Random(5)
+    both = [bilingual(rng) for _ in range(2000)]
+    began = time.time()
+    got = alignment.links([s for s, _ in both], [t for _, t in both], alignment_lexicon())
+    assert time.time() - began < 60
+    assert len(set(got) & {(i, i) for i in range(2000)}) > 1900
+
+
 def test_alignment(spark, tables):
     segments, results, memory, _ = tables
     rng = random.Random(9)

@@ -8,11 +8,12 @@ import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.lookalike import LOOKALIKES
 from weft.llm.words import TAG
+from weft.session import small_table
 
 #: Memory entries, and as many segments, the lexicon is fitted on at most per language pair; chosen by a hash of the id.
 SAMPLE = 1500
@@ -149,19 +150,24 @@ def some_segments(segments: DataFrame, results: DataFrame, rows: int) -> DataFra
 def sample(memory: DataFrame, segments: DataFrame | None = None, results: DataFrame | None = None, per_pair: int = SAMPLE) -> list[tuple[str, str, str, str]]:
     """(source language, target language, source, target): at most ``per_pair`` short texts of each language pair from the
     memory, and as many from the segments sent."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source_lang", "target_lang", "segment").orderBy(F.xxhash64("id"), "id")
+    c = F.col
+    pair = ["source_lang", "target_lang", "segment"]
     rows = memory.select("id", "source_lang", "target_lang", "source_text", "target_text", F.lit(False).alias("segment"))
     if segments is not None and results is not None:
         more = some_segments(segments, results, 16 * per_pair)
-        rows = rows.unionByName(more.select(F.col("segment_id").alias("id"), "source_lang", F.col("language").alias("target_lang"), "source_text", "target_text", F.lit(True).alias("segment")))
+        rows = rows.unionByName(more.select(c("segment_id").alias("id"), "source_lang", c("language").alias("target_lang"), "source_text", "target_text", F.lit(True).alias("segment")))
     rows = (
-        rows.where(F.col("source_text").isNotNull() & F.col("target_text").isNotNull() & F.col("source_lang").isNotNull() & F.col("target_lang").isNotNull())
+        rows.where(c("source_text").isNotNull() & c("target_text").isNotNull() & c("source_lang").isNotNull() & c("target_lang").isNotNull())
         .where((F.length("source_text") <= LONGEST) & (F.length("target_text").between(4, 2 * LONGEST)))
-        .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_pair)
     )
-    return [(r["source_lang"], r["target_lang"], r["source_text"], r["target_text"]) for r in rows.orderBy("source_lang", "target_lang", "segment", "n").collect()]
+    # the lowest hashes of each pair: twice the share wanted is let through where it is read, only that is sorted
+    sizes = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).collect()  # two rows for each pair of languages
+    lowest = [(r["source_lang"], r["target_lang"], r["segment"], int(-(2**63) + min(1.0, (2 * per_pair + 200) / r["n"]) * (2**64 - 4096))) for r in sizes]
+    limits = small_table(memory.sparkSession, lowest, "source_lang string, target_lang string, segment boolean, highest long")
+    w = Window.partitionBy(*pair).orderBy("hash", "id")
+    few = rows.withColumn("hash", F.xxhash64("id")).join(F.broadcast(limits), pair).where(c("hash") <= c("highest"))
+    few = few.withColumn("n", F.row_number().over(w)).where(c("n") <= per_pair)
+    return [(r["source_lang"], r["target_lang"], r["source_text"], r["target_text"]) for r in few.orderBy(*pair, "n").collect()]
 
 
 def fit(pairs: list[tuple[str, str, str, str]], rounds: int = 4, keep: float = 0.06) -> Lexicon:
