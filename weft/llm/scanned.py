@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -264,25 +265,19 @@ def opening(lines: list[tuple[int, str]]) -> bool:
     return len(lines) == 1 or len(lines) > 1 and len(lines[0][1]) < 60  # a running line may open the block
 
 
-def count_words(lines: list[tuple[int, str]], n: dict[tuple[str, str], int]) -> None:
-    """Add the words (w), words with a capital (u), compounds (c), shapes of codes (s) and tokens (t) of a block to ``n``."""
-
-    def add(kind: str, key: str) -> None:
-        n[kind, key] = n.get((kind, key), 0) + 1
-
-    for t in plain_tokens(lines):
-        if any(map(str.isdigit, t)):
-            if any(map(str.isalpha, t)):
-                add("s", shape_of(t))
-            continue
-        if "-" in t:
-            add("c", t.lower())
-        for p in split_token(t):
-            low = p.lower()
-            add("w", low)
-            if p[0].isupper() and p[1:].islower():
-                add("u", low)
-        add("t", "")
+def keys_of(token: str) -> list[tuple[str, str]]:
+    """What a token counts as: words (w), words with a capital (u), compounds (c), shapes of codes (s), tokens (t)."""
+    if any(map(str.isdigit, token)):
+        return [("s", shape_of(token))] if any(map(str.isalpha, token)) else []
+    out = [("t", "")]
+    if "-" in token:
+        out.append(("c", token.lower()))
+    for p in split_token(token):
+        low = p.lower()
+        out.append(("w", low))
+        if p[0].isupper() and p[1:].islower():
+            out.append(("u", low))
+    return out
 
 
 # ---------------------------------------------------------------- line model
@@ -553,12 +548,16 @@ def facts(blocks: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[tuple[str, str], int] = {}
+        tally: Counter[str] = Counter()
         edges: list[tuple] = []
 
         def frame() -> pd.DataFrame:
+            n: dict[tuple[str, str], int] = {}
+            for token, k in tally.items():
+                for key in keys_of(token):
+                    n[key] = n.get(key, 0) + k
             rows = [(kind, None, None, key, k) for (kind, key), k in n.items()] + edges
-            n.clear(), edges.clear()
+            tally.clear(), edges.clear()
             out = pd.DataFrame(rows, columns=["kind", "file_id", "page", "key", "n"], dtype=object)
             return out.astype({"page": "Int32", "n": "Int64"})
 
@@ -575,8 +574,8 @@ def facts(blocks: DataFrame) -> DataFrame:
                         if key in met:
                             own = own[1:]
                         met.add(key)
-                    count_words(own, n)
-            if len(n) + len(edges) > 200_000:
+                    tally.update(plain_tokens(own))
+            if len(tally) + len(edges) > 200_000:
                 yield frame()
         yield frame()
 
