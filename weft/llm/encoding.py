@@ -258,6 +258,19 @@ def _shape(word: str) -> bool:
     return rest == rest.lower() or word == word.upper()
 
 
+class _Suspects(dict):
+    """Whether a word may be misread: outside ASCII, unlike the words of the corpus, or with capitals inside."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = not word.isascii() and (self.lexicon.score(word) < 0.95 or _shouts(word))
+        return got
+
+
 class Lexicon:
     """Frequent well-shaped words and letter pairs of the corpus, to judge a decoding by."""
 
@@ -266,6 +279,7 @@ class Lexicon:
         self.pairs = letter_pairs(words.items()) if pairs is None else pairs
         self.least = least
         self.readings: dict[str, dict[int, tuple[float, str]]] = {}
+        self.suspect = _Suspects(self)
         self._scores: dict[str, float] = {}
 
     def score(self, word: str) -> float:
@@ -365,7 +379,7 @@ def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     """
     if text.isascii():
         return text, False
-    suspects = [w for w in set(words_of(text)) if not w.isascii() and (lexicon.score(w) < 0.95 or _shouts(w))]
+    suspects = [w for w in set(words_of(text)) if lexicon.suspect[w]]
     if not suspects:
         return text, False
     gains: dict[int, float] = {}
@@ -400,24 +414,32 @@ def repair_swap(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     return text, False
 
 
-def repair(text: str | None, lexicon: Lexicon | None = None, met: int | None = None) -> tuple[str | None, bool, bool]:
-    """(restored text, affected, complete) of one text.
+def repair_all(texts: list[str | None], lexicon: Lexicon | None = None) -> list[tuple[str | None, bool, bool]]:
+    """(restored text, affected, complete) of every text.
 
     Null and empty texts are not affected.  A replacement character marks a passage whose bytes are
-    lost: the text is affected, its other passages are restored, ``complete`` is false.
+    lost: the text is affected, its other passages are restored, ``complete`` is false.  All texts go
+    through a round together; those that it changed go through the next.
     """
-    if not text:
-        return text, False, True
-    out, affected = text, "�" in text
+    out = list(texts)
+    affected = [bool(t) and "�" in t for t in texts]
+    left = [i for i, t in enumerate(texts) if t and not t.isascii()]
     for _ in range(ROUNDS):
-        out, a = repair_multibyte(out, met)
-        met, b = None, False
-        if not a and lexicon is not None:
-            out, b = repair_swap(out, lexicon)
-        if not (a or b):
-            break
-        affected = True
-    return out, affected, "�" not in out
+        changed = []
+        for i, met in zip(left, encodings_met([out[i] for i in left]).tolist() if left else ()):
+            now, hit = repair_multibyte(out[i], met) if met else (out[i], False)
+            if not hit and lexicon is not None:
+                now, hit = repair_swap(now, lexicon)
+            if hit:
+                out[i], affected[i] = now, True
+                changed.append(i)
+        left = [i for i in changed if not out[i].isascii()]
+    return [(t, hit, not t or "�" not in t) for t, hit in zip(out, affected)]
+
+
+def repair(text: str | None, lexicon: Lexicon | None = None) -> tuple[str | None, bool, bool]:
+    """``repair_all`` of one text."""
+    return repair_all([text], lexicon)[0]
 
 
 # ---------------------------------------------------------------- operators
@@ -493,11 +515,7 @@ def restore(spans: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Lexicon(*shared.value)
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            got = [(t, False, True) for t in texts]
-            at = [i for i, t in enumerate(texts) if t is not None and not t.isascii()]
-            for i, met in zip(at, encodings_met([texts[i] for i in at])):
-                got[i] = repair(texts[i], own, met)
+            got = repair_all(pdf["text"].tolist(), own)
             pdf["restored"] = pd.Series([g[0] for g in got], dtype=object, index=pdf.index)
             pdf["affected"] = [g[1] for g in got]
             pdf["complete"] = [g[2] for g in got]
