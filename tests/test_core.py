@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import checks, segment
 from weft.functions import text as T
-from weft.operators import files, memory, protected, terms
+from weft.operators import files, memory, protected, terms, upkeep
 from weft.operators.dedup import first_delivery
 from weft.sources import office, plain, snapshots
 from weft.streaming import feeds
@@ -27,7 +27,10 @@ def test_split_loses_nothing(text):
     ("text", "n"),
     [
         ("A dog barks. Two cats.", 2), ("Abc. Two cats.", 1), ("Dr. Smith came. He left.", 2), ("It costs 3.5 crowns. Yes.", 2), ("Wait... what? Yes!", 2), ("1. First item", 1),
-        ("Article 5. The tenant pays.", 1), ("Line one\nLine two", 2), ("", 0), ("   ", 1), ("هل وصل؟ نعم.", 2), ("A weight of 3 kg. The next", 2), ("A weight of 3 kg. of it", 1),
+        ("Article 5. The tenant pays.", 1), ("Line one\nLine two", 2), ("", 0), ("   ", 1), ("هل وصل؟ نعم.", 2), ("Вес 3 кг. Дальше", 2), ("Вес 3 кг. и ещё", 1),
+        ("المادة 7. يدفع المستأجر الأجرة.", 1), ("انظر المادة 7. ثم عد.", 2), ("Стоит 20 руб. Налог отдельно.", 2), ("Стоит 20 руб. без налога.", 1), ("Пункт 4. Сторона платит.", 1), ("Офис: ул. Садовая, д. 5 открыт.", 1),
+        ("Elma, armut vb. meyveler gelir.", 1), ("Madde 3. Kiracı öder.", 1), ("Bkz. Ek 4 ve sonrası. Devam eder.", 2), ("Papers, files etc. are kept.", 1), ("Papers, files etc. The rest is not.", 2),
+        ("Подписано 5 мая 2030 г. Москва получила копию.", 1), ("البند (ب). يسري النص.", 1), ("انتهى... ثم عاد.", 1), ('He said "no." Then he left.', 2), ("The sum is 150.000 crowns. Paid.", 2),
     ],
 )
 def test_split_counts(text, n):
@@ -231,8 +234,17 @@ def test_protected(spark):
     assert protected.detect("وقال النبي كلاما طيبا للناس")[0]["confidence"] == "likely"
     assert protected.detect("نص ﴿ بسم الله ﴾ نص")[0]["end"] == 15
     assert protected.detect("السَّلَامُ عَلَيْكُمْ وَرَحْمَةُ اللَّهِ")[0]["kind"] == "verse"
-    df = spark.createDataFrame([(1, "رواه البخاري (١٢٣) ومسلم 45 والبخاري 123"), (2, None)], "k int, t string")
-    assert sorted((r["collection"], r["number"]) for r in protected.citations(df, "k", "t").collect()) == [("bukhari", "123"), ("muslim", "45")]
+    kinds = lambda t: [(x["kind"], x["confidence"]) for x in protected.detect(t)]
+    assert kinds("كلام \u06dd آخر") == kinds("\ufdfd كلام") == [("verse", "certain")]
+    assert kinds("كما ورد في (البقرة: 255) هنا") == [("verse", "certain")] and kinds("كما ورد في (الميناء: 255) هنا") == []
+    assert kinds("أخرجه البخاري (٧٩)، ومسلم (٢٢٨٢).") == [("saying", "likely")]
+    assert kinds("رواه البخاري أن المستأجر يدفع الأجرة كل شهر") == [("saying", "certain")]
+    assert kinds("قال النبي «الدين المعاملة» وانصرف") == [("saying", "certain")]
+    assert kinds("عن سالم رضي الله عنه أنه قال كلاما") == [("saying", "likely")] and kinds("عن سالم أنه قال كلاما") == []
+    assert kinds("عن سالم رضي الله عنه قال تعالى في الكتاب وقال رسول الله كلاما") == [("saying", "likely")]
+    assert kinds("المقال تعالى صوته") == [] and kinds("فقال تعالى كلاما") == [("verse", "likely")]
+    df = spark.createDataFrame([(1, "رواه البخاري (١٢٣) ومسلم [45] والبخاري (123) وسنن أبي داود (٩) ومسلم 77 والميناء (3)"), (2, None)], "k int, t string")
+    assert sorted((r["collection"], r["number"]) for r in protected.citations(df, "k", "t").collect()) == [("abudawud", "9"), ("bukhari", "123"), ("muslim", "45")]
     assert protected.normalized(spark.createDataFrame([("ﻋﻠﻢ  ـ‏x",), (None,)], "t string"), "t").collect()[0][0] == "علم x"
 
 
@@ -268,3 +280,51 @@ def test_snapshots(spark, tmp_path):
     (tmp_path / "t" / "v=3").mkdir()
     assert s.versions() == [1, 2] and s.read().count() == 5 and s.read(1).count() == 3
     assert snapshots.with_missing(spark.range(1), {"id": ("long", 0), "n": ("int", 7)}).first()["n"] == 7
+
+
+def test_numbers_and_repeats(spark):
+    rows = [("٣٠ و 40", "to, to"), ("150.000 and 3.14", "5 5"), ("1 200,50 or 7", "the plan the"), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(T.numbers("a"), T.ambiguous_numbers("a"), T.repeats_word("b")).collect()
+    assert [r[0] for r in got] == [["٣٠", "40"], ["150.000", "3.14"], ["1 200,50", "7"], None, []]
+    assert [r[1] for r in got] == [[], ["150.000"], [], None, []] and [r[2] for r in got] == [True, False, False, False, False]
+
+
+def test_upkeep(spark):
+    rows = [
+        ("a", "f", "h", "x", True, 2, "draft", None, False), ("b", "f", "h", "y", False, 1, "draft", "engine", False), ("c", "f", "h", "x", False, 1, "translated", "echo", False), ("d", "f", None, "y", False, 1, "reviewed", "engine", True),
+        ("e", "f", "h", "w", True, 1, "approved", None, False), ("g", "g", "h", " ", False, 1, "translated", None, None), ("i", "g", "h", "[EN] z", False, 1, "translated", None, None),
+    ]
+    s = spark.createDataFrame(rows, "id string, file_id string, source_hash string, target_text string, edited_by_human boolean, updated_at int, status string, origin string, is_locked boolean")
+    assert {tuple(r) for r in upkeep.sibling_proposals(s).collect()} == {("b", "x")}
+    proposals = spark.createDataFrame([("a", "new"), ("d", "new"), ("gone", "new"), ("b", "y"), ("c", None)], "id string, proposal string")
+    assert {tuple(r) for r in upkeep.apply_proposals(s, proposals).collect()} == {("a", "x", "new", "translated")}
+    assert {tuple(r) for r in upkeep.approved(s).collect()} == {("c", False), ("d", True), ("i", False)}
+    assert {r["id"] for r in upkeep.without(s, s.where("file_id = 'f'").select("file_id"), "file_id").collect()} == {"g", "i"}
+    assert [r["id"] for r in upkeep.polluted(s).collect()] == ["i"]
+    texts = spark.createDataFrame([("abcd1z",), ("a b c",), ("",), (None,), ("zyx",)], "t string")
+    assert [r[0] for r in texts.select(upkeep.longest_run(F.col("t"))).collect()] == [4, 3, 0, 0, 1]
+    n = spark.createDataFrame([(0,), (125,), (375,), (626,)], "n int")
+    assert [tuple(r) for r in n.select(upkeep.pages_from_words(F.col("n")), upkeep.encoded_bytes(F.col("n"))).collect()] == [(1, 0), (1, 168), (2, 500), (3, 836)]
+    m = spark.createDataFrame([("a", "<g1>four</g1>", 4), ("b", "four", 0), ("c", None, None)], "id string, source_text string, source_length int")
+    assert {tuple(r) for r in upkeep.reindexed(m).collect()} == {("b", 0, 4), ("c", None, 0)}
+    new = spark.createDataFrame([("a", "Some words", "h1"), ("b", "12.5", "h2"), ("c", "Other words", "h3")], "id string, source_text string, source_hash string")
+    got = {r["id"]: tuple(r)[1:] for r in upkeep.derived(new, spark.createDataFrame([("a", "Des mots")], "id string, memory_text string")).collect()}
+    assert got == {"a": ("translated", "Des mots", "tm_exact", False), "b": ("approved", "12.5", "source", True), "c": ("draft", None, None, False)}
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from weft import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("J", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake)

@@ -39,6 +39,7 @@ def flags(source: Column, target: Column, source_lang: Column, target_lang: Colu
         F.when(F.size(gone) > 0, F.concat(F.lit("tags_missing:"), F.array_join(gone, ","))),
         F.when(F.size(extra) > 0, F.concat(F.lit("tags_extra:"), F.array_join(extra, ","))),
         F.when(digits_s != digits_t, F.lit("numbers_mismatch")).when(raw_s != raw_t, F.lit("separator_changed")),
+        F.when(F.size(T.ambiguous_numbers(s)) > 0, F.concat(F.lit("ambiguous_separator:"), F.array_join(T.ambiguous_numbers(s), ","))),
         F.when(differs & (_share(t, source_lang) > UNTRANSLATED), F.lit("untranslated")).when(differs & (_share(t, target_lang) < WRONG_SCRIPT) & (F.length(t) > SHORT_TEXT), F.lit("wrong_script")),
         F.when(T.repeats_word(t) & ~T.repeats_word(s), F.lit("duplicated_word")),
         F.when(long_enough & (ratio < TOO_SHORT), F.lit("too_short")).when(long_enough & (ratio > TOO_LONG), F.lit("too_long")),

@@ -80,19 +80,45 @@ def script_share(c: Column | str, script: str) -> Column:
     return F.when(letters > 0, own / letters).otherwise(F.lit(0.0))
 
 
+#: A grouped number has up to three digits, then groups of three, each after one of these.
+GROUP_MARKS = ".,\u00a0\u202f "
+DIGIT = r"\p{Nd}"
+
+
+def _grouped() -> str:
+    """A number in groups of three, with its decimals; the marks are written by their code points."""
+    marks = "".join(f"\\x{{{ord(c):04X}}}" for c in GROUP_MARKS)
+    return f"{DIGIT}{{1,3}}(?:[{marks}]{DIGIT}{{3}})+(?:[.,]{DIGIT}+)?"
+
+
+#: The forms of a number in the order they are looked for: grouped, with decimals, plain; digits of every script.
+NUMBER = "|".join((_grouped(), f"{DIGIT}+[.,]{DIGIT}+", f"{DIGIT}+"))
+
+
 def numbers(c: Column | str) -> Column:
     """Numbers as written: grouped ones with their separators, decimals, plain ones."""
-    return F.regexp_extract_all(_col(c), F.lit(r"[0-9]{1,3}(?:[.,\x{00A0}\x{202F} ][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+[.,][0-9]+|[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(_col(c), F.lit(NUMBER), F.lit(0))
 
 
 def number_digits(c: Column | str) -> Column:
     """Sorted digits of the numbers, separators left out."""
-    return F.array_sort(F.transform(numbers(c), lambda n: F.regexp_replace(n, "[^0-9]", "")))
+    return F.array_sort(F.transform(numbers(c), lambda n: F.regexp_replace(n, f"[^{DIGIT}]", "")))
+
+
+def ambiguous_numbers(c: Column | str, most: int = 3) -> Column:
+    """The first numbers with three digits after a period, which are thousands in one language and decimals in another."""
+    three = F.regexp_extract_all(_col(c), F.lit(f"({DIGIT}+\\.{DIGIT}{{3}})(?:[^{DIGIT}]|$)"), F.lit(1))
+    return F.slice(three, 1, most)
+
+
+def letter_runs(c: Column | str) -> Column:
+    """Runs of letters and letter numbers, in lower case; digits, marks and underscores part them."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
 
 
 def repeats_word(c: Column | str) -> Column:
-    """Two equal neighbouring words of at most four characters, whatever their case."""
-    w = F.transform(words(F.lower(_col(c))), lambda x: x)
+    """Two equal neighbouring words of at most four characters, whatever their case and what stands between them."""
+    w = letter_runs(c)
     n = F.size(w)
     pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: (a == b) & (F.length(a) <= 4))
     return F.coalesce(F.when(n > 1, F.exists(pairs, lambda x: x)), F.lit(False))

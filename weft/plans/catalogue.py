@@ -236,7 +236,10 @@ def term_alternatives(spark, d):
     return terms.ranked(term_pairs(spark, d)).where("place > 1")
 
 
-@query()
+@query(
+    f"""SELECT s.id AS segment_id, source_term, target_term FROM (SELECT source_term, target_term FROM (SELECT *, row_number() OVER (PARTITION BY source_term ORDER BY frequency DESC, target_term) AS place
+FROM ({TERMS_SQL})) WHERE place = 1 AND frequency >= 2 AND source_term <> '') t JOIN {SEG} s ON contains({collapse('s.source_text')}, source_term) AND NOT contains(lower({collapse('s.target_text')}), lower(target_term))"""
+)
 def term_enforcement(spark, d):
     best = terms.ranked(term_pairs(spark, d)).where((F.col("place") == 1) & (F.col("frequency") >= 2)).select("source_term", "target_term")
     return terms.enforcement(seg(spark, d, "source_text", "target_text").withColumnRenamed("id", "segment_id"), best)
@@ -305,17 +308,48 @@ def exact_siblings(spark, d):
 # ---------------------------------------------------------------- checks
 
 
-@query()
-def qa_flags(spark, d):
-    s = with_languages(spark, d, "source_text", "target_text")
-    return s.select("id", F.array_join(checks.flags(F.col("source_text"), F.col("target_text"), F.col("source_lang"), F.col("target_lang")), "|").alias("flags")).where("flags <> ''")
+NUM = r"regexp_extract_all({}, '\p{{Nd}}{{1,3}}(?:[.,\x{{00A0}}\x{{202F}} ]\p{{Nd}}{{3}})+(?:[.,]\p{{Nd}}+)?|\p{{Nd}}+[.,]\p{{Nd}}+|\p{{Nd}}+')"
 
 
-NUM = r"regexp_extract_all({}, '[0-9]{{1,3}}(?:[.,\x{{00A0}}\x{{202F}} ][0-9]{{3}})+(?:[.,][0-9]+)?|[0-9]+[.,][0-9]+|[0-9]+')"
+def _digits(x: str) -> str:
+    return f"array_to_string(list_sort(list_transform({NUM.format(visible(x))}, lambda n: regexp_replace(n, '[^\\p{{Nd}}]', '', 'g'))), ' ')"
 
 
-def _digits(x: str) -> str:
-    return f"array_to_string(list_sort(list_transform({NUM.format(visible(x))}, lambda n: regexp_replace(n, '[^0-9]', '', 'g'))), ' ')"
+def _share(x: str, script: str) -> str:
+    letters = f"regexp_replace({x}, '[^\\p{{L}}]', '', 'g')"
+    own = " ".join(f"WHEN '{k}' THEN length(regexp_replace({letters}, '[^{v[1:]}', '', 'g'))" for k, v in T.SCRIPTS.items())
+    return f"coalesce(CASE {script} {own} ELSE 0 END / nullif(length({letters}), 0)::DOUBLE, 0)"
+
+
+def _script(language: str) -> str:
+    return f"CASE lower(split_part({language}, '-', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SCRIPT_OF.items()) + " END"
+
+
+RUNS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')"
+
+
+def _repeats(w: str) -> str:
+    return f"len(list_filter(range(1, len({w})), lambda i: {w}[i] = {w}[i + 1] AND length({w}[i]) <= 4)) > 0"
+
+
+QA_SQL = f"""WITH p AS (SELECT s.id, {visible("coalesce(source_text, '')")} AS s, {visible('target_text')} AS t, source_lang, target_lang,
+list_sort(list_distinct(regexp_extract_all(coalesce(source_text, ''), '</?g(\\p{{Nd}}+)>', 1))) AS a, list_sort(list_distinct(regexp_extract_all(coalesce(target_text, ''), '</?g(\\p{{Nd}}+)>', 1))) AS b
+FROM {SEG} s JOIN {FILES} f ON f.id = s.file_id),
+q AS (SELECT *, list_filter(a, lambda x: NOT list_contains(b, x)) AS gone, list_filter(b, lambda x: NOT list_contains(a, x)) AS extra, list_sort({NUM.format('s')}) AS rs, list_sort({NUM.format('t')}) AS rt,
+regexp_extract_all(s, '(\\p{{Nd}}+\\.\\p{{Nd}}{{3}})(?:[^\\p{{Nd}}]|$)', 1) AS amb, {_script('source_lang')} AS ss, {_script('target_lang')} AS st, {RUNS.format('s')} AS ws, {RUNS.format('t')} AS wt, length(t) / greatest(length(s), 1)::DOUBLE AS ratio FROM p),
+r AS (SELECT *, list_sort(list_transform(rs, lambda n: regexp_replace(n, '[^\\p{{Nd}}]', '', 'g'))) AS ds, list_sort(list_transform(rt, lambda n: regexp_replace(n, '[^\\p{{Nd}}]', '', 'g'))) AS dt FROM q)
+SELECT id, flags FROM (SELECT id, CASE WHEN coalesce(t, '') = '' THEN 'empty' ELSE array_to_string(list_filter([
+CASE WHEN len(gone) > 0 THEN 'tags_missing:' || array_to_string(gone, ',') END, CASE WHEN len(extra) > 0 THEN 'tags_extra:' || array_to_string(extra, ',') END,
+CASE WHEN ds <> dt THEN 'numbers_mismatch' WHEN rs <> rt THEN 'separator_changed' END, CASE WHEN len(amb) > 0 THEN 'ambiguous_separator:' || array_to_string(amb[1:3], ',') END,
+CASE WHEN ss <> st AND {_share('t', 'ss')} > 0.3 THEN 'untranslated' WHEN ss <> st AND {_share('t', 'st')} < 0.3 AND length(t) > 12 THEN 'wrong_script' END,
+CASE WHEN {_repeats('wt')} AND NOT {_repeats('ws')} THEN 'duplicated_word' END,
+CASE WHEN length(s) >= 25 AND ratio < 0.4 THEN 'too_short' WHEN length(s) >= 25 AND ratio > 3 THEN 'too_long' END], lambda x: x IS NOT NULL), '|') END AS flags FROM r) WHERE flags <> ''"""
+
+
+@query(QA_SQL)
+def qa_flags(spark, d):
+    s = with_languages(spark, d, "source_text", "target_text")
+    return s.select("id", F.array_join(checks.flags(F.col("source_text"), F.col("target_text"), F.col("source_lang"), F.col("target_lang")), "|").alias("flags")).where("flags <> ''")
 
 
 @query(f"SELECT id, {_digits('source_text')} AS source_numbers, {_digits('target_text')} AS target_numbers FROM {SEG} WHERE {_digits('source_text')} <> {_digits('target_text')}")
@@ -325,7 +359,7 @@ def number_multiset_check(spark, d):
     return s.where("source_numbers <> target_numbers")
 
 
-@query(f"SELECT id FROM (SELECT id, string_split(lower({collapse('target_text')}), ' ') AS w FROM {SEG} WHERE target_text IS NOT NULL) WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND length(w[i]) BETWEEN 1 AND 4)) > 0")
+@query(f"SELECT id FROM (SELECT id, regexp_extract_all(lower(target_text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS w FROM {SEG} WHERE target_text IS NOT NULL) WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND length(w[i]) BETWEEN 1 AND 4)) > 0")
 def adjacent_duplicate(spark, d):
     return seg(spark, d, "target_text").where(T.repeats_word("target_text")).select("id")
 
@@ -358,7 +392,13 @@ def unanswered_by_batch(spark, d):
     return r.join(s, "id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("sent"), F.count_if(F.coalesce(T.collapse("target_text"), F.lit("")) == "").alias("unanswered"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT id, file_id, coalesce(length(source_text), 0) AS n, row_number() OVER (PARTITION BY file_id ORDER BY order_index, id) AS k FROM {SEG} WHERE is_translatable AND NOT is_locked),
+f AS (SELECT file_id, id, k, 0 AS batch_no, n AS used, 1 AS held FROM o WHERE k = 1
+UNION ALL SELECT o.file_id, o.id, o.k, CASE WHEN f.used + o.n > 6000 OR f.held >= 40 THEN f.batch_no + 1 ELSE f.batch_no END,
+CASE WHEN f.used + o.n > 6000 OR f.held >= 40 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 6000 OR f.held >= 40 THEN 1 ELSE f.held + 1 END
+FROM f JOIN o ON o.file_id = f.file_id AND o.k = f.k + 1) SELECT file_id, id, batch_no FROM f"""
+)
 def greedy_batches(spark, d):
     s = seg(spark, d, "file_id", "order_index", "source_text", "is_translatable", "is_locked").where(F.col("is_translatable") & ~F.col("is_locked"))
     return files.greedy_batches(s)
