@@ -20,6 +20,14 @@ from weft.session import cut, lanes
 
 HYPHENS = "‐‑\u00ad¬⁃-"
 BREAK = re.compile(rf"([^\s]*[^\W\d_])[{HYPHENS}][ \t\xa0]*$")
+_BREAKS = tuple(HYPHENS)
+
+
+def hyphen_at_end(line: str) -> re.Match | None:
+    """The match of BREAK, looked for only where a line ends with a hyphen."""
+    return BREAK.search(line) if line.rstrip(" \t\xa0").endswith(_BREAKS) else None
+
+
 #: A break whose line end was lost.
 INLINE = re.compile(rf"([^\W\d_]{{2,}})[{HYPHENS}] +([^\W\d_]{{2,}})")
 TOKEN = re.compile(r"[^\W_](?:[^\s«»“”„()\[\]{}|•…<>=+*;!?؟،؛。，]*[^\W_])?")
@@ -191,7 +199,7 @@ def plain_tokens(lines: list[tuple[int, str]]) -> list[str]:
     after = False
     for _, line in lines:
         got = tokens_of(line)
-        cut = bool(BREAK.search(line))
+        cut = bool(hyphen_at_end(line))
         if after:
             got = got[1:]
         if cut:
@@ -307,7 +315,7 @@ def features(lines: list[dict], templates: list[str], offsets: set[int]) -> list
         if number is not None:
             fits = number - x["page"] in offsets or not offsets
             number_is = (3 if alike and fits else 0) if more else 1 if fits or edge and number < 1500 else 2
-        hyphen = OPEN if BREAK.search(line) or "-" in line and INLINE.search(line) else NO_HYPHEN
+        hyphen = OPEN if hyphen_at_end(line) or "-" in line and INLINE.search(line) else NO_HYPHEN
         out.append([2 if n == 1 else 0 if i == 0 else 1 if i == n - 1 else 3, alike, number_is, hyphen, {"header": 1, "footer": 2, "heading": 3}.get(x["kind"], 0)])
     return out
 
@@ -324,6 +332,7 @@ class LineModel:
         self._start, self._move = np.log(self.start).tolist(), np.log(self.move).T.tolist()
         self._emit = [np.log(e).T.tolist() for e in self.emit]
         self._seen: dict[tuple[int, ...], list[float]] = {}
+        self._pages: dict[tuple[tuple[int, ...], ...], list[int]] = {}
 
     def score(self, x: list[int]) -> list[float]:
         """Log-likelihood of one line's features in each state."""
@@ -337,9 +346,17 @@ class LineModel:
         return sum(np.log(e[:, x[:, k]]).T for k, e in enumerate(self.emit))
 
     def decode(self, rows: list[list[int]]) -> list[int]:
-        """Most likely states, Viterbi."""
+        """Most likely states; pages that look alike are decoded once."""
         if not rows:
             return []
+        key = tuple(map(tuple, rows))
+        if key not in self._pages:
+            if len(self._pages) > 50_000:
+                self._pages.clear()
+            self._pages[key] = self._viterbi(rows)
+        return self._pages[key]
+
+    def _viterbi(self, rows: list[list[int]]) -> list[int]:
         best, back = [a + b for a, b in zip(self._start, self.score(rows[0]))], []
         for x in rows[1:]:
             via, own = [], []
@@ -456,7 +473,7 @@ def judge_hyphens(lines: list[Line], lexicon: Lexicon) -> None:
             continue
         inside = any(is_split(m[1], m[2], lexicon) and lexicon.count((m[1] + m[2]).lower()) >= LEAST for m in INLINE.finditer(x.line))
         x.rows[3] = CUT if inside else WHOLE
-        m = BREAK.search(x.line)
+        m = hyphen_at_end(x.line)
         if not m:
             continue
         nxt = body[at + 1] if at + 1 < len(body) else None
