@@ -328,3 +328,19 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake)
+
+
+def test_snapshot_of_another_writer_stays(spark, tmp_path):
+    s = snapshots.Snapshots(spark, str(tmp_path / "t"))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "claim-1").write_text("")
+    assert s.write(spark.range(3).toDF("k")) == 2 and s.versions() == [2]
+    (tmp_path / "t" / "v=3").mkdir()  # begun and not finished
+    assert s.write(spark.range(4).toDF("k")) == 4 and s.read().count() == 4 and s.read(2).count() == 3
+
+
+def test_fuzzy_in_the_domain_of_the_query(spark):
+    q = spark.createDataFrame([("q1", "The tenant signs the report", "en", "fr", "a"), ("q2", "The tenant signs the report", "en", "fr", "b"), ("q3", "The tenant signs the report", "en", "fr", None)], "id string, text string, source_lang string, target_lang string, domain string")
+    m = spark.createDataFrame([(k, "The tenant signs the reports", "en", "fr", d) for k, d in (("m1", "a"), ("m2", "b"), ("m3", None))], "id string, text string, source_lang string, target_lang string, domain string")
+    assert {(r["segment_id"], r["memory_id"]) for r in memory.fuzzy(q, m).collect()} == {("q1", "m1"), ("q2", "m2")}
+    assert {(r["segment_id"], r["memory_id"]) for r in memory.band(q, m).collect()} == {("q1", "m1"), ("q2", "m2")}

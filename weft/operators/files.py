@@ -58,9 +58,11 @@ def context(segments: DataFrame, size: int = CONTEXT) -> DataFrame:
     """(id, before, after): the text around each segment in its file, cut to ``size`` characters."""
     w = Window.partitionBy("file_id").orderBy("order_index", "id")
     plain = F.coalesce(T.strip_tags("source_text"), F.lit(""))
-    near = F.concat_ws(" ", F.collect_list(plain).over(w.rowsBetween(-size - 1, -1)))
-    far = F.concat_ws(" ", F.collect_list(plain).over(w.rowsBetween(1, size + 1)))
-    return segments.select("id", F.right(near, F.lit(size)).alias("before"), F.left(far, F.lit(size)).alias("after"))
+    # no more than ``size`` characters of a neighbour can count, so no more are kept for the window
+    near = F.concat_ws(" ", F.collect_list("__end").over(w.rowsBetween(-size - 1, -1)))
+    far = F.concat_ws(" ", F.collect_list("__start").over(w.rowsBetween(1, size + 1)))
+    slim = segments.select("id", "file_id", "order_index", F.right(plain, F.lit(size)).alias("__end"), F.left(plain, F.lit(size)).alias("__start"))
+    return slim.select("id", F.right(near, F.lit(size)).alias("before"), F.left(far, F.lit(size)).alias("after"))
 
 
 def assembled(segments: DataFrame) -> DataFrame:

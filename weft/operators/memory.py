@@ -31,24 +31,25 @@ def exact(segments: DataFrame, memory: DataFrame, domain: str | None = None) ->
     return segments.join(best, key).select(F.col("id").alias("segment_id"), F.col("m.id").alias("memory_id"), (~F.col("m.other")).alias("same_domain"))
 
 
-def band(queries: DataFrame, memory: DataFrame, domain: str, threshold: int = 75, most: int = 800) -> DataFrame:
+def band(queries: DataFrame, memory: DataFrame, domain: str | None = None, threshold: int = 75, most: int = 800) -> DataFrame:
     """Candidates of a fuzzy lookup: (segment_id, memory_id, query, candidate, gap, place).
 
     ``queries`` has id, text and languages, ``memory`` id, text, languages and domain.  A candidate has
-    the languages and the domain and a length within the band the threshold leaves; the ``most`` nearest
+    the languages, the domain given or else the query's own, and a length within the band the threshold leaves; the ``most`` nearest
     in length are kept, ties by id.  The band becomes an equi-join on length buckets: each query row is
     repeated for the few buckets its band touches.  Queries under eight characters have no candidates.
     """
     r = threshold / 100
     size = F.length("query")
+    own_domain = F.lit(domain) if domain is not None else F.col("domain")
     q = (
-        queries.select(F.col("id").alias("segment_id"), T.visible("text").alias("query"), "source_lang", "target_lang").where(size >= 8)
+        queries.select(F.col("id").alias("segment_id"), T.visible("text").alias("query"), "source_lang", "target_lang", own_domain.alias("domain")).where(size >= 8)
         .withColumn("low", F.floor(size * r).cast("int")).withColumn("high", (F.floor(size / r) + 1).cast("int"))
         .withColumn("bucket", F.explode(F.sequence((F.col("low") / BUCKET).cast("int"), (F.col("high") / BUCKET).cast("int"))))
     )
-    m = memory.where(F.col("domain") == domain).select(F.col("id").alias("memory_id"), T.visible("text").alias("candidate"), "source_lang", "target_lang")
+    m = memory.select(F.col("id").alias("memory_id"), T.visible("text").alias("candidate"), "source_lang", "target_lang", "domain")
     m = m.withColumn("size", F.length("candidate")).withColumn("bucket", (F.col("size") / BUCKET).cast("int"))
-    pairs = q.join(m, ["source_lang", "target_lang", "bucket"]).where(F.col("size").between(F.col("low"), F.col("high")))
+    pairs = q.join(m, ["source_lang", "target_lang", "domain", "bucket"]).where(F.col("size").between(F.col("low"), F.col("high")))
     gap = F.abs(F.col("size") - size)
     w = Window.partitionBy("segment_id").orderBy(gap, "memory_id")
     return pairs.select("segment_id", "memory_id", "query", "candidate", gap.alias("gap"), F.row_number().over(w).alias("place")).where(F.col("place") <= most)
@@ -87,7 +88,7 @@ def common(query: np.ndarray, texts: np.ndarray, letters: int) -> np.ndarray:
     return 64 * words - np.bitwise_count(state).sum(0, dtype=np.int64)
 
 
-def fuzzy(queries: DataFrame, memory: DataFrame, domain: str, threshold: int = 75, limit: int = 5) -> DataFrame:
+def fuzzy(queries: DataFrame, memory: DataFrame, domain: str | None = None, threshold: int = 75, limit: int = 5) -> DataFrame:
     """(segment_id, memory_id, score, place): the ``limit`` most similar entries of every query.
 
     All entries in the length band of a query are compared, however many.  The longest common subsequence
@@ -96,13 +97,15 @@ def fuzzy(queries: DataFrame, memory: DataFrame, domain: str, threshold: int = 7
     so a hot bucket is many tasks and pairs are never shuffled.
     """
     r = threshold / 100
-    key, size = ["source_lang", "target_lang", "bucket"], F.length("query")
+    key, size = ["source_lang", "target_lang", "domain", "bucket"], F.length("query")
+    own_domain = F.lit(domain) if domain is not None else F.col("domain")
     q = cut(
-        queries.select(F.col("id").alias("segment_id"), T.visible("text").alias("query"), "source_lang", "target_lang").where(size >= 8)
+        queries.select(F.col("id").alias("segment_id"), T.visible("text").alias("query"), "source_lang", "target_lang", own_domain.alias("domain")).where(size >= 8)
         .withColumn("low", F.floor(size * r).cast("int")).withColumn("high", (F.floor(size / r) + 1).cast("int"))
         .withColumn("bucket", F.explode(F.sequence((F.col("low") / BUCKET).cast("int"), (F.col("high") / BUCKET).cast("int"))))
     )
-    m = memory.where(F.col("domain") == domain).select(F.col("id").alias("memory_id"), T.visible("text").alias("candidate"), "source_lang", "target_lang")
+    wanted = memory if domain is None else memory.where(F.col("domain") == domain)
+    m = wanted.select(F.col("id").alias("memory_id"), T.visible("text").alias("candidate"), "source_lang", "target_lang", "domain")
     m = cut(m.withColumn("size", F.length("candidate")).where(F.col("size") > 0).withColumn("bucket", (F.col("size") / BUCKET).cast("int")))
     blocks = m.groupBy(*key).agg(F.ceil(F.sum("size") / BLOCK_CHARS).cast("int").alias("parts")).join(q.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("lots")), key)
     own, each = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -153,8 +153,16 @@ def memory_coverage(spark, d):
 
 
 def fuzzy_queries(spark, d):
-    """The stated query set: segments whose id, its first eight hexadecimal digits as a number, is divisible by 50."""
+    """The stated query set: segments whose id, its first eight hexadecimal digits as a number, is divisible by 50.
+
+    A segment is looked up in the domain of its project, the one most of the project's own entries have;
+    without such entries in 'general'.
+    """
+    n = mem(spark, d, "origin_project_id", "domain").where("origin_project_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("origin_project_id").alias("project_id"), "domain").agg(F.count(F.lit(1)).alias("n"))
+    domains = n.groupBy("project_id").agg(F.min_by("domain", F.struct(-F.col("n"), "domain")).alias("domain"))
+    files_of = source_files(spark, d, "project_id").withColumnRenamed("id", "file_id").join(domains, "project_id").select("file_id", "domain")
     s = with_languages(spark, d, "source_text").withColumnRenamed("source_text", "text")
+    s = s.join(files_of, "file_id", "left").fillna("general", ["domain"])
     return s.where(F.conv(F.left("id", F.lit(8)), 16, 10).cast("long") % 50 == 0)
 
 
@@ -163,19 +171,21 @@ def fuzzy_memory(spark, d):
 
 
 @query(
-    f"""WITH q AS (SELECT id AS segment_id, {visible('source_text')} AS query, source_lang, target_lang FROM ({LANGS_SQL}) WHERE ('0x' || left(id, 8))::BIGINT % 50 = 0),
-m AS (SELECT id AS memory_id, {visible('source_text')} AS candidate, source_lang, target_lang FROM {MEM} WHERE domain = 'legal'),
-p AS (SELECT segment_id, memory_id, abs(length(candidate) - length(query))::INT AS gap FROM q JOIN m USING (source_lang, target_lang)
+    f"""WITH pd AS (SELECT project_id, arg_min(domain, (-n, domain)) AS domain FROM (SELECT origin_project_id AS project_id, domain, count(*) AS n FROM {MEM} WHERE origin_project_id IS NOT NULL AND domain IS NOT NULL GROUP BY ALL) GROUP BY 1),
+q AS (SELECT l.id AS segment_id, {visible('source_text')} AS query, l.source_lang, l.target_lang, coalesce(domain, 'general') AS domain FROM ({LANGS_SQL}) l JOIN {FILES} f ON f.id = l.file_id LEFT JOIN pd USING (project_id)
+WHERE ('0x' || left(l.id, 8))::BIGINT % 50 = 0),
+m AS (SELECT id AS memory_id, {visible('source_text')} AS candidate, source_lang, target_lang, domain FROM {MEM}),
+p AS (SELECT segment_id, memory_id, abs(length(candidate) - length(query))::INT AS gap FROM q JOIN m USING (source_lang, target_lang, domain)
 WHERE length(query) >= 8 AND length(candidate) BETWEEN floor(length(query) * 0.75)::INT AND floor(length(query) / 0.75)::INT + 1)
 SELECT segment_id, memory_id, gap, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY gap, memory_id) AS place FROM p) WHERE place <= 800"""
 )
 def fuzzy_candidates(spark, d):
-    return memory.band(fuzzy_queries(spark, d), fuzzy_memory(spark, d), "legal").select("segment_id", "memory_id", "gap", "place")
+    return memory.band(fuzzy_queries(spark, d), fuzzy_memory(spark, d)).select("segment_id", "memory_id", "gap", "place")
 
 
 @query()
 def fuzzy_topk(spark, d):
-    return memory.fuzzy(fuzzy_queries(spark, d), fuzzy_memory(spark, d), "legal")
+    return memory.fuzzy(fuzzy_queries(spark, d), fuzzy_memory(spark, d))
 
 
 @query(

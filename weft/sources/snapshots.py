@@ -29,12 +29,33 @@ class Snapshots:
         own = self.versions()
         return self.spark.read.parquet(f"{self.path}/v={own[-1] if version is None else version}")
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """Write the next version and return its number."""
-        number = (self.versions() or [0])[-1] + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={number}")
-        return number
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, attempts: int = 5) -> int:
+        """Write the next version and return its number.
+
+        A version that another writer has begun is never overwritten: the number after it is tried, up
+        to ``attempts`` times.  The folder is claimed by creating it, which one writer only can do where
+        the file system creates atomically.
+        """
+        for _ in range(attempts):
+            number = max(self._begun(), default=0) + 1
+            claim = self._path(f"{self.path}/claim-{number}")
+            self._fs.mkdirs(self._path(self.path))
+            if not self._fs.createNewFile(claim):
+                continue
+            try:
+                writer = df.write.mode("errorifexists")
+                (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={number}")
+            finally:
+                if self._fs.exists(self._path(f"{self.path}/v={number}")):
+                    self._fs.delete(claim, False)
+            return number
+        raise RuntimeError(f"no free version under {self.path} after {attempts} attempts")
+
+    def _begun(self) -> list[int]:
+        """Numbers of versions written, begun or claimed."""
+        root = self._path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return [int(n.split("=" if n.startswith("v=") else "-")[1]) for n in names if n.startswith(("v=", "claim-"))]
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
