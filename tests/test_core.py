@@ -344,3 +344,30 @@ def test_fuzzy_in_the_domain_of_the_query(spark):
     m = spark.createDataFrame([(k, "The tenant signs the reports", "en", "fr", d) for k, d in (("m1", "a"), ("m2", "b"), ("m3", None))], "id string, text string, source_lang string, target_lang string, domain string")
     assert {(r["segment_id"], r["memory_id"]) for r in memory.fuzzy(q, m).collect()} == {("q1", "m1"), ("q2", "m2")}
     assert {(r["segment_id"], r["memory_id"]) for r in memory.band(q, m).collect()} == {("q1", "m1"), ("q2", "m2")}
+
+
+def test_office_order_comments_and_failures(spark, monkeypatch):
+    rels = lambda rows: f'<Relationships xmlns="{office.RELATED}">' + "".join(f'<Relationship Id="{i}" Type="x/{k}" Target="{t}"/>' for i, k, t in rows) + "</Relationships>"
+    r = f'xmlns:r="{office.NS["r"]}"'
+    sheet = lambda ref, text: f'<worksheet {S}><sheetData><row><c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c></row></sheetData></worksheet>'
+    book = package({
+        "xl/workbook.xml": f'<workbook {S} {r}><sheets><sheet name="Second" r:id="b"/><sheet name="First" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": rels([("a", "worksheet", "worksheets/sheet1.xml"), ("b", "worksheet", "/xl/worksheets/sheet2.xml")]),
+        "xl/worksheets/sheet1.xml": sheet("A1", "one"), "xl/worksheets/sheet2.xml": sheet("B2", "two"),
+        "xl/worksheets/_rels/sheet2.xml.rels": rels([("c", "comments", "../comments1.xml")]),
+        "xl/comments1.xml": f'<comments {S}><commentList><comment ref="B2"><text><r><t>a </t></r><r><t>note</t></r></text></comment></commentList></comments>',
+    })
+    assert [(u[2], u[3], u[5]) for u in office.read("b", "xlsx", book)] == [("cell", "Second!B2", "two"), ("comment", "Second!B2", "a note"), ("cell", "First!A1", "one")]
+    slide = lambda text: f'<p:sld xmlns:p="{office.NS["p"]}" xmlns:a="{office.NS["a"]}"><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:sld>'
+    deck = package({
+        "ppt/presentation.xml": f'<p:presentation xmlns:p="{office.NS["p"]}" {r}><p:sldIdLst><p:sldId r:id="y"/><p:sldId r:id="x"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels([("x", "slide", "slides/slide1.xml"), ("y", "slide", "slides/slide2.xml")]),
+        "ppt/slides/slide1.xml": slide("one"), "ppt/slides/slide2.xml": slide("two"), "ppt/slides/_rels/slide2.xml.rels": rels([("n", "notesSlide", "../notesSlides/notesSlide7.xml")]), "ppt/notesSlides/notesSlide7.xml": slide("spoken"),
+    })
+    assert [(u[2], u[5]) for u in office.read("d", "pptx", deck)] == [("paragraph", "two"), ("notes", "spoken"), ("paragraph", "one")]
+    rows = [("b.xlsx", "xlsx", bytearray(book)), ("bad.docx", "docx", bytearray(b"no zip")), ("cut.docx", "docx", bytearray(package({"word/document.xml": "<w"}))), ("old.doc", None, bytearray(b"x"))]
+    df = spark.createDataFrame(rows, "path string, fmt string, content binary")
+    assert {tuple(x) for x in office.failures(df).collect()} == {("bad.docx", "no package"), ("cut.docx", "broken part"), ("old.doc", "unsupported format")}
+    monkeypatch.setattr(office, "MOST_BYTES", 10)
+    with pytest.raises(ValueError):
+        office.read("b", "xlsx", book)

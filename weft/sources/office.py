@@ -23,6 +23,9 @@ NS = {
     "p": "http://schemas.openxmlformats.org/presentationml/2006/main",
     "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
 }
+RELATED = "http://schemas.openxmlformats.org/package/2006/relationships"
+#: Bytes that the parts of a package may hold unpacked; one that holds more is not read.
+MOST_BYTES = 1 << 30
 SCHEMA = "path string, unit_key string, kind string, location string, order_index int, text string"
 for _prefix, _uri in NS.items():
     ET.register_namespace(_prefix, _uri)
@@ -101,15 +104,70 @@ def _shared(z: zipfile.ZipFile) -> list[str]:
     return [tagged(_groups([("" if r is si else ET.tostring(x).decode() if (x := r.find(_q("s:rPr"))) is not None else "", "".join(t.text or "" for t in r.iter(_q("s:t")))) for r in (si.findall(_q("s:r")) or [si])])) for si in root.findall(_q("s:si"))]
 
 
+def related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """id -> (kind, part) of what a part refers to inside the package; the kind is the last word of its type."""
+    folder, _, name = part.rpartition("/")
+    listing = f"{folder}/_rels/{name}.rels" if folder else f"_rels/{name}.rels"
+    if listing not in z.namelist():
+        return {}
+    out = {}
+    for x in ET.fromstring(z.read(listing)).iter(f"{{{RELATED}}}Relationship"):
+        if x.get("TargetMode") != "External":
+            target = x.get("Target", "")
+            steps: list[str] = [] if target.startswith("/") else folder.split("/") if folder else []
+            for step in target.strip("/").split("/"):
+                steps = steps[:-1] if step == ".." else steps if step == "." else [*steps, step]
+            out[x.get("Id", "")] = (x.get("Type", "").rpartition("/")[2], "/".join(steps))
+    return out
+
+
+def _listed(z: zipfile.ZipFile, main: str, item: str) -> list[tuple[str, str]]:
+    """(part, name) of the sheets or slides that a main part lists, in its order; none without it."""
+    if main not in z.namelist():
+        return []
+    links = related(z, main)
+    rows = [(links.get(x.get(_q("r:id"), ""), ("", ""))[1], x.get("name", "")) for x in ET.fromstring(z.read(main)).iter(_q(item))]
+    return [(part, name or part) for part, name in rows if part in z.namelist()]
+
+
+def _numbered(names: list[str], pattern: str) -> list[tuple[str, str]]:
+    """Parts of a pattern by their numbers, for packages whose main part lists none."""
+    return [(n, n) for n in sorted((n for n in names if re.fullmatch(pattern, n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))]
+
+
+def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    return _listed(z, "xl/workbook.xml", "s:sheet") or _numbered(z.namelist(), r"xl/worksheets/sheet\d+\.xml")
+
+
+def slides(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(part, kind) of the slides in the order of the presentation, each followed by its notes."""
+    out = []
+    for part, _ in _listed(z, "ppt/presentation.xml", "p:sldId") or _numbered(z.namelist(), r"ppt/slides/slide\d+\.xml"):
+        notes = [to for kind, to in related(z, part).values() if kind == "notesSlide"]
+        if not notes and (same := part.replace("slides/slide", "notesSlides/notesSlide")) in z.namelist():
+            notes = [same]
+        out += [(part, "paragraph"), *((n, "notes") for n in notes if n in z.namelist())]
+    return out
+
+
 def read(path: str, fmt: str, content: bytes) -> list[tuple[str, str, str, str, int, str]]:
-    """Units (path, unit_key, kind, location, order_index, text) of one package; blank paragraphs, formulas and numbers are none."""
+    """Units (path, unit_key, kind, location, order_index, text) of one package; blank paragraphs, formulas and numbers are none.
+
+    Sheets and slides come in the order that the workbook or the presentation lists them; a cell's
+    location names its sheet; comments follow the cells of their sheet, notes their slide.
+    """
     out: list[tuple[str, str, str, str, int, str]] = []
 
     def add(key: str, kind: str, place: str, text: str) -> None:
         if text.strip():
             out.append((path, key, kind, place, len(out), text))
 
+    def whole(x: ET.Element) -> str:
+        return "".join(t.text or "" for t in x.iter(_q("s:t")))
+
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
+            raise ValueError("the package is too large unpacked")
         names = z.namelist()
         if fmt == "docx":
             for part, kind in _word_parts(names):
@@ -119,7 +177,7 @@ def read(path: str, fmt: str, content: bytes) -> list[tuple[str, str, str, str,
                     add(f"docx:{part}:p:{k:05d}", "cell" if id(p) in cells else "paragraph" if kind == "body" else kind, kind, tagged(_groups([(a, b) for _, a, b in _word_paragraph(p)])))
         elif fmt == "xlsx":
             strings, used = _shared(z), set()
-            for part in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1])):
+            for part, name in sheets(z):
                 for c in ET.fromstring(z.read(part)).iter(_q("s:c")):
                     if c.find(_q("s:f")) is not None:
                         continue
@@ -128,22 +186,30 @@ def read(path: str, fmt: str, content: bytes) -> list[tuple[str, str, str, str,
                         i = int(v.text)
                         if i not in used and i < len(strings):
                             used.add(i)
-                            add(f"xlsx:sst:{i:06d}", "cell", f"{part}!{c.get('r')}", strings[i])
+                            add(f"xlsx:sst:{i:06d}", "cell", f"{name}!{c.get('r')}", strings[i])
                     elif c.get("t") == "inlineStr":
-                        add(f"xlsx:{part}:{c.get('r')}", "cell", f"{part}!{c.get('r')}", "".join(t.text or "" for t in c.iter(_q("s:t"))))
+                        add(f"xlsx:{part}:{c.get('r')}", "cell", f"{name}!{c.get('r')}", whole(c))
+                for kind, to in related(z, part).values():
+                    if kind == "comments" and to in names:
+                        for c in ET.fromstring(z.read(to)).iter(_q("s:comment")):
+                            add(f"xlsx:{to}:{c.get('ref')}", "comment", f"{name}!{c.get('ref')}", whole(c))
             for i, text in enumerate(strings):
                 if i not in used:
                     add(f"xlsx:sst:{i:06d}", "unreferenced", "", text)
         elif fmt == "pptx":
-            for part in sorted((n for n in names if re.fullmatch(r"ppt/(?:slides/slide|notesSlides/notesSlide)\d+\.xml", n)), key=lambda n: (int(re.findall(r"\d+", n)[-1]), "notes" in n)):
+            for part, kind in slides(z):
                 for k, p in enumerate(ET.fromstring(z.read(part)).iter(_q("a:p"))):
                     if p.find(_q("a:fld")) is None:
-                        add(f"pptx:{part}:p:{k:05d}", "notes" if "notes" in part else "paragraph", part, tagged(_groups([(a, b) for _, a, b in _slide_paragraph(p)])))
+                        add(f"pptx:{part}:p:{k:05d}", kind, part, tagged(_groups([(a, b) for _, a, b in _slide_paragraph(p)])))
     return out
 
 
+#: What keeps a package from being read, by the error it raises.
+REASONS = {zipfile.BadZipFile: "no package", ET.ParseError: "broken part", KeyError: "missing part", ValueError: "too large or broken"}
+
+
 def units(files: DataFrame) -> DataFrame:
-    """Text units of all office files of ``files(path, fmt, content)``.  Packages that cannot be opened give none."""
+    """Text units of all office files of ``files(path, fmt, content)``.  Packages that cannot be read give none; ``failures`` names them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,13 +217,30 @@ def units(files: DataFrame) -> DataFrame:
             for path, fmt, content in zip(pdf["path"], pdf["fmt"], pdf["content"]):
                 try:
                     rows += read(path, fmt, content)
-                except (zipfile.BadZipFile, ET.ParseError, KeyError):
+                except tuple(REASONS):
                     continue
             yield pd.DataFrame(rows, columns=["path", "unit_key", "kind", "location", "order_index", "text"]).astype({"order_index": "int32"})
 
     return files.where("fmt IN ('docx', 'xlsx', 'pptx')").select("path", "fmt", "content").mapInPandas(run, SCHEMA)
 
 
+def failures(files: DataFrame) -> DataFrame:
+    """(path, reason) of the files that give no units: of a format not supported, or a package that cannot be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, fmt, content in zip(pdf["path"], pdf["fmt"], pdf["content"]):
+                try:
+                    read(path, fmt, content)
+                except tuple(REASONS) as e:
+                    rows.append((path, next(v for k, v in REASONS.items() if isinstance(e, k))))
+            yield pd.DataFrame(rows, columns=["path", "reason"]).astype(object)
+
+    unknown = files.where("fmt IS NULL").selectExpr("path", "'unsupported format' AS reason")
+    return unknown.unionByName(files.where("fmt IN ('docx', 'xlsx', 'pptx')").select("path", "fmt", "content").mapInPandas(run, "path string, reason string"))
+
+
 TAGGED = re.compile(r"<g(\d+)>(.*?)</g\1>", re.S)
 
 
