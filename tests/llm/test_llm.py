@@ -448,6 +448,30 @@ def test_pairs_empty(tables):
     assert pairs.found(segments, results.limit(0), memory).count() == 0
 
 
+def test_crf_counts_equal_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    k, sizes = len(pairs.LABELS), [4, 3, 3, 1]
+    w, m = rng.normal(size=(pairs.FEATURES, k)), rng.normal(size=(k, k))
+    data = [rng.normal(size=(n, pairs.FEATURES)) for n in sizes]
+    of_w, of_m = pairs.gradient([np.array([x[t] for x in data if len(x) > t]) for t in range(4)], w, m)
+    want_w, want_m = np.zeros_like(w), np.zeros_like(m)
+    for x in data:
+        paths = list(itertools.product(range(k), repeat=len(x)))
+        score = np.array([sum((x @ w)[t, y] for t, y in enumerate(p)) + sum(m[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        share = np.exp(score - score.max())
+        share /= share.sum()
+        for p, q in zip(paths, share):
+            for t, y in enumerate(p):
+                want_w[:, y] += q * x[t]
+            for a, b in zip(p, p[1:]):
+                want_m[a, b] += q
+    assert np.allclose(of_w, want_w) and np.allclose(of_m, want_m)
+
+
 def test_crf_decodes_like_brute_force():
     import itertools
 
