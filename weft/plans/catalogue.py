@@ -509,7 +509,14 @@ def protected_spans(spark, d):
     return protected.spans(seg(spark, d, "source_text"), "id", "source_text")
 
 
-@query()
+def _verse_letters(x: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({x}, '{T.DIACRITICS}', '', 'g'), '[ء-اىوية]', '', 'g'), '[^ب-ي]', '', 'g')"
+
+
+@query(
+    f"""SELECT DISTINCT s.id, v.verse_key FROM (SELECT id, {_verse_letters('source_text')} AS l FROM {SEG} WHERE regexp_matches(source_text, '[ء-غف-ي]')) s
+JOIN (SELECT verse_key, {_verse_letters('arabic')} AS l FROM verse_catalogue) v ON length(v.l) >= 12 AND contains(s.l, v.l)"""
+)
 def verses_in_segments(spark, d):
     return protected.verses_in(seg(spark, d, "source_text"), "id", "source_text", table(spark, d, "verse_catalogue"))
 
