@@ -448,6 +448,67 @@ def test_pairs_empty(tables):
     assert pairs.found(segments, results.limit(0), memory).count() == 0
 
 
+def test_pairs_are_fitted_on_all_rows(spark):
+    rng = random.Random(5)
+    many = [(f"m{i}", "en", "fr", *bilingual(rng)) for i in range(bitext.SAMPLE + 900)]
+    many += [(f"n{i}", "fr", "en", "Le chat dort.", "The cat sleeps.") for i in range(5)] + [("twice", "en", "fr", *bilingual(rng))] * 3
+    odd = [(None, None, "fr", "The plan", "Le plan"), ("o1", "en", None, "The plan", "Le plan"), ("o2", "en", "fr", None, "Le plan"), ("o3", "en", "fr", "The plan", None), ("o4", "zh Hant", "fr", "計畫", "Le plan")]
+    memory = spark.createDataFrame(many + odd, "id string, source_lang string, target_lang string, source_text string, target_text string")
+    rows = [(f"s{i}", *bilingual(rng)) for i in range(60)]
+    segments = spark.createDataFrame(rows, "id string, source_text string, target_text string")
+    results = spark.createDataFrame([(1, "en", "fr", [r[0] for r in rows], None)], "batch_id long, source_lang string, target_lang string, segment_ids array<string>, missing array<string>")
+    known, got, _ = pairs.prepare(segments, results, memory)
+    want = bitext.fit([m[1:] for m in many[:-2] + odd[-1:]] + [("en", "fr", *r[1:]) for r in rows])
+    assert got.weight.keys() == want.weight.keys() and got.speaks == want.speaks
+    assert all(abs(got.weight[w] - want.weight[w]) < 1e-9 for w in want.weight)
+    assert {w: set(x) for w, x in got.likely.items() if x} == {w: set(x) for w, x in want.likely.items() if x}
+    assert all(abs(p - want.likely[w][v]) < 1e-9 for w, x in got.likely.items() for v, p in x.items())
+    # every pair is an example as it stands, at the least
+    assert len(many) - 2 + len(rows) < known.where("segment_id is null").agg(F.sum("n")).first()[0] < 3 * (len(many) + len(rows))
+
+
+def test_expected_translations_by_table_and_by_keys(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n_x, n_y = rng.integers(1, 6, 50), rng.integers(1, 6, 50)
+    block = rng.integers(0, 7, n_x.sum()), n_x, rng.integers(0, 9, n_y.sum()), n_y
+    keys = np.flatnonzero(rng.random(63) < 0.6)
+    values = rng.random(len(keys))
+    p = np.zeros(63)
+    p[keys] = values
+    want, at_x, at_y = np.zeros(63), np.cumsum(n_x) - n_x, np.cumsum(n_y) - n_y
+    for i in range(50):
+        for y in block[2][at_y[i] : at_y[i] + n_y[i]]:
+            cells = block[0][at_x[i] : at_x[i] + n_x[i]] * 9 + y
+            np.add.at(want, cells, p[cells] / (p[cells].sum() + 1e-9))
+    for full, chunk in ((63, 50_000), (0, 50_000), (63, 1)):
+        monkeypatch.setattr(bitext, "FULL", full)
+        monkeypatch.setattr(bitext, "CHUNK", chunk)
+        sums = bitext._Sums(63)
+        bitext._expect(bitext._Table(63, keys, values), sums, 9, block)
+        got = np.zeros(63)
+        got[sums.items()[0]] = sums.items()[1]
+        assert np.allclose(got, want)
+
+
+def test_field_by_tasks_equals_field_by_driver(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(bytes(rng.integers(0, 5, n).tolist()), rng.normal(size=(n, pairs.FEATURES)).astype(np.float32).tobytes(), int(rng.integers(1, 4))) for n in rng.integers(1, 4, 40).tolist()]
+    examples = spark.createDataFrame(rows, "labels binary, rows binary, n long")
+    one = pairs.fit_crf(examples)
+    monkeypatch.setattr(pairs, "LOCAL", 0)
+    two = pairs.fit_crf(examples)
+    assert np.allclose(one.weights, two.weights, atol=1e-3) and np.allclose(one.moves, two.moves, atol=1e-3)
+    # where the likelihood is greatest, what is expected is what is there but for the penalty
+    blocks = [(len(y), x, y, np.array([n]).tobytes()) for y, x, n in rows]
+    truth, got = pairs.sums(blocks, None, None), pairs.sums(blocks, one.weights, one.moves)
+    flat = np.concatenate([one.weights.ravel(), one.moves.ravel()])
+    assert np.abs((truth[1:] - got[1:]) / truth[0] - 2e-3 * flat).max() < 1e-4
+
+
 def test_crf_counts_equal_brute_force():
     import itertools
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -14,12 +16,15 @@ from pyspark.sql import functions as F
 
 from weft.llm import bitext
 from weft.llm.words import fold, language_of, strip_tags
+from weft.session import cut
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-#: Segments that training pairs are made from at most.
-SAMPLE = 2500
-#: Clauses of a training answer at most.
-LONGEST = 6
+#: Different training examples up to which the driver takes the sums of the field's fit itself.
+LOCAL = 20_000
+#: Different training examples that a task holds before it hands them on.
+HELD = 50_000
+#: Marks of an answer: repeats the whole source, source without a known word, breaks off, without letters or digits.
+COPIED, NAMED, BREAKS_OFF, EMPTY = 1, 2, 4, 8
 #: Rows whose scores are computed together.
 BLOCK = 512
 BETWEEN = re.compile(r"(?<=[.!?؟。！？۔])[\"'”»)\]]*\s+|\n+|(?<=[。！？])(?=[^\W\d_])|(?<=[^\W\d_][.!?])(?=[^\W\d_]{3})")
@@ -67,84 +72,146 @@ def ended(text: str) -> bool:
     return bool(s) and s[-1] in STOP
 
 
+class Source:
+    """What the features of all answers to one source share; clauses and words of answers are remembered."""
+
+    __slots__ = ("_clauses", "_shares", "flat", "ended", "lexicon", "look", "named", "parts", "split", "text", "told", "whole", "words")
+
+    def __init__(self, text: str, lexicon: bitext.Lexicon):
+        self.text = strip_tags(text) if "<" in text else text
+        self.parts = clauses(self.text) or [self.text]
+        self.split = [bitext.tokens(c) for c in self.parts]
+        self.words = [w for ws in self.split for w in ws]
+        self.lexicon = lexicon
+        told = lexicon.told
+        self.told = [[told[w] for w in ws] for ws in self.split]
+        self.look = frozenset(self.words), {x[3] for xs in self.told for x in xs if x[3]}
+        self.named = not any(x[4] for xs in self.told for x in xs)
+        self.whole = [sum(x[0] for x in xs) for xs in self.told]
+        self.flat = flat(self.text)
+        self.ended = ended(self.text)
+        self._clauses: dict[str, tuple] = {}
+        self._shares: dict[tuple[str, ...], tuple[list[float], float]] = {}
+
+    def clause(self, c: str) -> tuple:
+        """Of a clause of an answer: words, weight found in the source, whole weight, words of refusals, words that are no
+        numbers, known words by language, those of them that the source holds, written forms of names, language by script."""
+        key = c.rstrip(".!?؟ ")
+        got = self._clauses.get(key)
+        if got is None:
+            words = bitext.tokens(c)
+            have, names = self.look
+            told = self.lexicon.told
+            found = total = 0.0
+            cue = 0
+            tongues: dict[str, int] = {}
+            same: dict[str, int] = {}
+            forms = set()
+            for w in words:
+                x, likely, as_hit, as_look, tongue = told[w]
+                total += x
+                held = w in have
+                if held or (not likely.isdisjoint(have) if likely is not None else as_hit and as_hit in names):
+                    found += x
+                if tongue:
+                    tongues[tongue] = tongues.get(tongue, 0) + 1
+                    if held:
+                        same[tongue] = same.get(tongue, 0) + 1
+                elif as_look:
+                    forms.add(as_look)
+                cue += w in _ALL_CUES
+            plain = sum(1 for w in words if not w[0].isdigit())
+            guess = None
+            if plain and not c.isascii() and max(tongues.values(), default=0) < 0.4 * plain:
+                guess = language_of(c)
+            got = self._clauses[key] = words, found, total, cue, plain, tongues, same, forms, guess
+        return got
+
+    def shares(self, every: list[str], forms: set[str]) -> tuple[list[float], float]:
+        """The share of each of its clauses that an answer of these words covers, and the weight that is found of all."""
+        key = tuple(every)
+        got = self._shares.get(key)
+        if got is None:
+            have = frozenset(every)
+            out, of_source = [], 0.0
+            for c, ws, xs, whole in zip(self.parts, self.split, self.told, self.whole):
+                hits = [w in have or (not x[1].isdisjoint(have) if x[1] is not None else x[2] != "" and x[2] in forms) for w, x in zip(ws, xs)]
+                if all(hits):
+                    of_source += whole
+                    out.append(1.0)
+                    continue
+                weights = [x[0] for x in xs]
+                of_source += sum(compress(weights, hits))
+                # a first phrase may be left out: up to a comma, or up to three words before the first that is there
+                front = re.split(r"[,،，]", c[:60], maxsplit=1)
+                lead = len(bitext.tokens(front[0])) if len(front) > 1 and len(front[0]) < 45 and not any(map(str.isdigit, front[0])) else 0
+                known = self.lexicon.weight
+                if not lead or sum(x * h for w, x, h in zip(ws[:lead], weights, hits) if w in known) >= 0.5 * sum(x for w, x in zip(ws[:lead], weights) if w in known):
+                    lead = next((k for k, (w, x, h) in enumerate(zip(ws, weights, hits)) if h and x >= 0.5 or w[0].isdigit()), 0)
+                    lead = lead if lead <= 3 < len(ws) - lead else 0
+                total = sum(weights[lead:])
+                out.append(sum(compress(weights[lead:], hits[lead:])) / total if total else 1.0)
+            got = self._shares[key] = out, of_source
+        return got
+
+
 class Pair:
     """One source and answer with what the features need."""
 
-    __slots__ = ("breaks_off", "clauses", "copied", "named", "rows")
+    __slots__ = ("breaks_off", "clauses", "copied", "named", "rows", "sound")
 
-    def __init__(self, source: str, target: str, language: str | None, lexicon: bitext.Lexicon, hide: str | None = None):
-        source, target = strip_tags(source) if "<" in source else source, strip_tags(target) if "<" in target else target
+    def __init__(self, source: Source, target: str, language: str | None, lexicon: bitext.Lexicon, hide: str | None = None):
+        target = strip_tags(target) if "<" in target else target
         self.clauses = clauses(target)
-        sources = clauses(source) or [source]
-        split = [bitext.tokens(c) for c in sources]
-        parts = [bitext.tokens(c) for c in self.clauses]
-        words = [w for ws in split for w in ws]
-        every = [w for p in parts for w in p]
-        speaks, weigh = lexicon.speaks, lexicon.weigh
-        from_source, from_target = lexicon.look(words), lexicon.look(every)
-        self.named = not any(w in speaks for w in words)
-        shared = sum(w in from_source[0] for w in every)
+        sources, words, in_source = source.parts, source.words, source.look[0]
+        self.named = source.named
+        parts = [source.clause(c) for c in self.clauses]
+        every = [w for p in parts for w in p[0]]
         self.copied = False
-        if not self.named and shared >= 0.5 * len(words):
-            whole = flat(source)
-            self.copied = bool(whole) and whole in flat(target)
-        shares = []
-        for c, ws in zip(sources, split):
-            hits = lexicon.hits(ws, from_target)
-            if not all(hits):
-                # a first phrase may be left out: up to a comma, or up to three words before the first that is there
-                front = re.split(r"[,،，]", c[:60], maxsplit=1)
-                lead = len(bitext.tokens(front[0])) if len(front) > 1 and len(front[0]) < 45 and not any(map(str.isdigit, front[0])) else 0
-                known = lexicon.weight
-                if not lead or sum(weigh(w) * h for w, h in zip(ws[:lead], hits) if w in known) >= 0.5 * sum(weigh(w) for w in ws[:lead] if w in known):
-                    lead = next((k for k, (w, h) in enumerate(zip(ws, hits)) if h and weigh(w) >= 0.5 or w[0].isdigit()), 0)
-                    lead = lead if lead <= 3 < len(ws) - lead else 0
-                ws, hits = ws[lead:], hits[lead:]
-                total = sum(map(weigh, ws))
-                shares.append(sum(weigh(w) for w, h in zip(ws, hits) if h) / total if total else 1.0)
-            else:
-                shares.append(1.0)
+        if not self.named and sum(w in in_source for w in every) >= 0.5 * len(words):
+            self.copied = bool(source.flat) and source.flat in flat(target)
+        shares, of_source = source.shares(every, set().union(*[p[7] for p in parts]))
         last, worst, mean = shares[-1], min(shares), sum(shares) / len(shares)
         n_s, n_t = len(sources), len(self.clauses)
-        stop_s, stop_t = ended(source), ended(target)
-        cut = bool(CUT.search(target[-12:].rstrip())) and not CUT.search(source[-12:].rstrip())
+        stop_s, stop_t = source.ended, ended(target)
+        broken = bool(CUT.search(target[-12:].rstrip())) and not CUT.search(source.text[-12:].rstrip())
         short = min(2.0, len(every) / max(1, len(words)))
         # what an exact check asks of an answer called unfinished
-        self.breaks_off = cut or (stop_s and not stop_t and 1 - last > 0.13) or (n_t < n_s and 1 - worst > 0.3) or 1 - worst > (0.6 if stop_t else 0.3)
+        self.breaks_off = broken or (stop_s and not stop_t and 1 - last > 0.13) or (n_t < n_s and 1 - worst > 0.3) or 1 - worst > (0.6 if stop_t else 0.3)
         self.rows = []
-        for k, (c, p) in enumerate(zip(self.clauses, parts)):
+        of_target = whole_target = 0.0
+        spoken_in: dict[str, int] = {}
+        for k, (c, (p, got, total, cue, plain, tongues, held, _, guess)) in enumerate(zip(self.clauses, parts)):
             final = k == n_t - 1
-            got = total = known = same = spoke = cue = 0.0
-            tongues: dict[str, int] = {}
-            for w, h in zip(p, lexicon.hits(p, from_source)):
-                x = weigh(w)
-                total += x
-                got += x * h
-                cue += w in _ALL_CUES
-                tongue = speaks.get(w)
-                if tongue and tongue != hide:
-                    known += 1
-                    same += w in from_source[0]
-                    spoke += tongue == language
-                    tongues[tongue] = tongues.get(tongue, 0) + 1
+            of_target += got
+            whole_target += total
+            if hide in tongues:
+                tongues = {x: n for x, n in tongues.items() if x != hide}
+            known = sum(tongues.values())
+            spoke = tongues.get(language, 0)
             mine = got / total if total else 1.0
-            same = same / known if known else 0.0
-            plain = sum(1 for w in p if not w[0].isdigit())
-            spoken = max(tongues, key=lambda q: tongues[q]) if tongues else None
-            if plain and hide is None and not c.isascii() and (spoken is None or tongues[spoken] < 0.4 * plain):
-                guess = language_of(c)
+            same = sum(n for x, n in held.items() if x != hide) / known if known else 0.0
+            for x, n in tongues.items():
+                spoken_in[x] = spoken_in.get(x, 0) + n
+            spoken = max(tongues, key=tongues.__getitem__) if tongues else None
+            if hide is None and guess is not None:
                 spoken = guess if guess not in ("en", "fr", "tr", "und") else spoken
             other = float(bool(language) and spoken is not None and spoken != language)
             cues = min(1.0, 3 * cue / max(1, len(p)))
-            inside = float(not self.named and same > 0.6 and flat(c) in flat(source))
+            inside = float(not self.named and same > 0.6 and flat(c) in source.flat)
             away = 1 - mine
             vocabulary = spoke / plain if plain else 1.0
             self.rows.append((
                 1.0, 0.0 if other else mine, 0.0 if other else away, other * (1 - same), same, inside, float(self.copied), cues, cues * away,
-                float(final), final * (1 - last), final * (1 - worst), final * (1 - mean), final * float(cut), final * float(stop_s and not stop_t),
+                float(final), final * (1 - last), final * (1 - worst), final * (1 - mean), final * float(broken), final * float(stop_s and not stop_t),
                 final * float(n_t < n_s), final * (1 - min(1.0, short)), float(self.named), (1 - vocabulary) * away, final * float(worst < 0.5), final * (worst < 0.78),
                 away * (1 - vocabulary) * (cue == 0) * (plain >= 2), final * (worst < 0.9),
             ))
+        # an answer that covers its source and is in its language
+        self.sound = (
+            not self.copied and n_s == n_t and of_source > 0.85 * sum(source.whole) and of_target > 0.8 * whole_target
+            and max(spoken_in, key=lambda k: (spoken_in[k], k), default=None) == language and source.flat not in flat(target)
+        )
 
 
 # ---------------------------------------------------------------- conditional random field
@@ -187,13 +254,15 @@ def _log_product(x: np.ndarray, e: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top) @ e)
 
 
-def gradient(xs: list[np.ndarray], w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected counts of (feature, label) and (label, next label) of all sequences, by forward and backward sums.
+def expected(xs: list[np.ndarray], w: np.ndarray, m: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logarithm of the sums over all labellings, and the expected counts of (feature, label) and (label, next label), of
+    all sequences, by forward and backward sums; each sequence counts as often as ``counts`` says.
 
     ``xs[t]`` holds the features of clause t of the sequences that have one; the longest come first, so
     those are the first rows of ``xs[t - 1]``.
     """
     e, n = np.exp(m), [len(x) for x in xs] + [0]
+    c = np.ones((n[0], 1)) if counts is None else counts[:, None]
     s = [x @ w for x in xs]
     a = [s[0]]
     for t in range(1, len(xs)):
@@ -204,34 +273,115 @@ def gradient(xs: list[np.ndarray], w: np.ndarray, m: np.ndarray) -> tuple[np.nda
         b[t][: n[t + 1]] = _log_product(s[t + 1] + b[t + 1], e.T)
     of_w, of_m = np.zeros_like(w), np.zeros_like(m)
     for t, x in enumerate(xs):
-        of_w += x.T @ np.exp(a[t] + b[t] - whole[: n[t], None])
+        of_w += x.T @ (c[: n[t]] * np.exp(a[t] + b[t] - whole[: n[t], None]))
         if t:
             before = a[t - 1][: n[t]]
             top = before.max(1, keepdims=True)
-            of_m += e * (np.exp(before - top).T @ np.exp(s[t] + b[t] + top - whole[: n[t], None]))
-    return of_w, of_m
-
-
-def fit_crf(data: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.12, penalty: float = 2e-3) -> Crf:
-    """Maximum conditional likelihood by gradient steps with momentum over the whole bounded sample."""
-    data = sorted(data, key=lambda d: -len(d[1]))
-    n, k = len(data), len(LABELS)
-    xs = [np.array([a[t] for a, b in data if len(b) > t], dtype=float) for t in range(len(data[0][1]))]
-    truth_w, truth_m = np.zeros((FEATURES, k)), np.zeros((k, k))
-    for a, b in data:
-        np.add.at(truth_w.T, b, a)
-        np.add.at(truth_m, (b[:-1], b[1:]), 1)
-    w, m = np.zeros((FEATURES, k)), np.zeros((k, k))
-    first = [np.zeros_like(w), np.zeros_like(m)]
-    second = [np.zeros_like(w), np.zeros_like(m)]
-    for step in range(1, rounds + 1):
-        of_w, of_m = gradient(xs, w, m)
-        grads = (truth_w - of_w) / n - penalty * w, (truth_m - of_m) / n - penalty * m
-        for j, (value, grad) in enumerate(zip((w, m), grads)):
-            first[j] = 0.9 * first[j] + 0.1 * grad
-            second[j] = 0.99 * second[j] + 0.01 * grad**2
-            value += rate * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.99**step)) + 1e-8)
-    return Crf(w, m)
+            of_m += e * (np.exp(before - top).T @ (c[: n[t]] * np.exp(s[t] + b[t] + top - whole[: n[t], None])))
+    return float(whole @ c[:, 0]), of_w, of_m
+
+
+def gradient(xs: list[np.ndarray], w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of (feature, label) and (label, next label) of all sequences."""
+    return expected(xs, w, m)[1:]
+
+
+def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 100, close: float = 5e-5) -> np.ndarray:
+    """The place of the least value of a convex function, by its values and gradients (limited-memory BFGS); wherever it
+    starts, the place is the same."""
+    at, steps = start, []
+    f, g = value(at)
+    for _ in range(rounds):
+        if np.abs(g).max() < close:
+            break
+        q, used = g.copy(), []
+        for ds, dg in reversed(steps):
+            used.append((ds @ q) / (ds @ dg))
+            q -= used[-1] * dg
+        q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1.0
+        for (ds, dg), u in zip(steps, reversed(used)):
+            q += (u - (dg @ q) / (ds @ dg)) * ds
+        far = 1.0
+        while True:
+            new_f, new_g = value(at - far * q)
+            if new_f <= f - 1e-4 * far * (g @ q) or far < 1e-6:
+                break
+            far /= 2
+        if far < 1e-6:
+            break
+        step = (-far * q, new_g - g)
+        at, f, g = at + step[0], new_f, new_g
+        if step[0] @ step[1] > 1e-12:
+            steps = [*steps, step][-12:]
+    return at
+
+
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Examples of one length together: their features, labels and how often each is met."""
+    for pdf in batches:
+        for length, part in pdf.groupby(pdf["labels"].map(len)):
+            yield pd.DataFrame({"length": np.array([length], np.int32), "examples": [len(part)], "rows": [b"".join(part["rows"])], "labels": [b"".join(part["labels"])], "n": [part["n"].to_numpy(np.int64).tobytes()]})
+
+
+def sums(parts: Iterable[tuple[int, bytes, bytes, bytes]], w: np.ndarray | None, m: np.ndarray | None) -> np.ndarray:
+    """Over blocks: without weights the counts in the labels as given, with them what ``expected`` gives, in one row of figures."""
+    k = len(LABELS)
+    out = np.zeros(1 + FEATURES * k + k * k)
+    for length, rows, labels, n in parts:
+        c = np.frombuffer(n, np.int64).astype(float)
+        x = np.frombuffer(rows, np.float32).reshape(len(c), length, FEATURES).astype(float)
+        if w is None:
+            y = np.frombuffer(labels, np.int8).reshape(len(c), length)
+            of_w, of_m = np.zeros((FEATURES, k)), np.zeros((k, k))
+            for t in range(length):
+                np.add.at(of_w.T, y[:, t], c[:, None] * x[:, t])
+                if t:
+                    np.add.at(of_m, (y[:, t - 1], y[:, t]), c)
+            out += np.concatenate([[c.sum()], of_w.ravel(), of_m.ravel()])
+        else:
+            z, of_w, of_m = expected([x[:, t] for t in range(length)], w, m, c)
+            out += np.concatenate([[z], of_w.ravel(), of_m.ravel()])
+    return out
+
+
+def fit_crf(examples: DataFrame, penalty: float = 2e-3) -> Crf:
+    """Maximum conditional likelihood over all examples (labels, rows, n).
+
+    Up to LOCAL different examples the sums are taken by the driver, beyond that by tasks, one small
+    row of figures from each.
+    """
+    k = len(LABELS)
+    packed = cut(examples.groupBy("labels", "rows").agg(F.sum("n").alias("n")).mapInPandas(blocks, "length int, examples long, rows binary, labels binary, n binary"))
+    different = packed.agg(F.coalesce(F.sum("examples"), F.lit(0))).first()[0]
+    columns = ("length", "rows", "labels", "n")
+
+    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[: FEATURES * k].reshape(FEATURES, k), x[FEATURES * k :].reshape(k, k)
+
+    def best(over: Callable[..., np.ndarray], start: np.ndarray) -> np.ndarray:
+        truth = over(None, None)
+
+        def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+            got = over(*split(x))
+            return (got[0] - truth[1:] @ x) / truth[0] + 0.5 * penalty * (x @ x), (got[1:] - truth[1:]) / truth[0] + penalty * x
+
+        return ascend(value, start)
+
+    def by_tasks(w: np.ndarray | None, m: np.ndarray | None) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = (row for pdf in batches for row in zip(*(pdf[c] for c in columns)))
+            yield pd.DataFrame({"figures": [sums(parts, w, m).tobytes()]})
+
+        return sum(np.frombuffer(r["figures"]) for r in packed.mapInPandas(run, "figures binary").collect())
+
+    # the driver's fit on the first blocks is where the tasks' fit on all of them starts
+    all_here = different <= LOCAL
+    blocks_here = packed.select("examples", *columns).orderBy("length", "rows").collect() if all_here else packed.select("examples", *columns).limit(4).collect()
+    place = np.zeros(FEATURES * k + k * k)
+    if different:
+        own = [tuple(r[c] for c in columns) for r in blocks_here]
+        place = best(lambda w, m: sums(own, w, m), place)
+    return Crf(*split(place if all_here else best(by_tasks, place)))
 
 
 def _without_end(text: str, rng: random.Random) -> str | None:
@@ -247,93 +397,72 @@ def _without_end(text: str, rng: random.Random) -> str | None:
     return " ".join([*parts[:-1], " ".join(words[:keep]).rstrip(",;:")]) + end
 
 
-def training(rows: list[tuple[str, str, str]], lexicon: bitext.Lexicon, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Labelled answers made from sound pairs (source, answer, language of the answer) with a fixed seed."""
-    rng = random.Random(seed)
-    by: dict[str, list[str]] = {}
-    for _, t, lang in rows:
-        by.setdefault(lang, []).append(t)
-    out = []
-
-    def add(source: str, target: str, lang: str, label: str | list[str], hide: str | None = None) -> None:
-        p = Pair(source, target, lang, lexicon, hide)
-        if p.rows and len(p.rows) <= LONGEST:
-            names = label if isinstance(label, list) else [label] * len(p.rows)
-            if label == "unfinished":
-                names = ["answer"] * (len(p.rows) - 1) + ["unfinished"]
-            if len(names) == len(p.rows):
-                out.append((np.array(p.rows), np.array([LABELS.index(x) for x in names])))
-
-    for s, t, lang in rows:
-        draw = rng.random()
-        add(s, t, lang, "answer")
-        if draw < 0.12:
-            add(s, rng.choice((s, s.upper(), s.lower(), f"«{s}»", f"{s} {s}", s.rstrip("."), f"{lang.upper()}: {s}", s.replace(",", ""))), lang, "echo")
-        elif draw < 0.3:
-            tongue = lang if rng.random() < 0.65 else rng.choice(sorted(REFUSALS))
-            if tongue in REFUSALS:
-                a, b, c = REFUSALS[tongue]
-                text = f"{rng.choice(a)}{rng.choice(b)}{rng.choice(c)}." if rng.random() > 0.12 else rng.choice(SHORT)
-                if rng.random() < 0.25:
-                    text = " ".join(t.split()[: rng.randint(2, 5)]) + "... " + text
-                add(s, text, lang, ["answer", "refusal"] if ("... " in text and len(clauses(text)) == 2) else "refusal")
-        elif draw < 0.42:
-            others = [k for k in by if k != lang]
-            if others:
-                k = rng.choice(others)
-                add(s, t, k, "foreign")  # a true translation, asked for in another language
-                add(s, rng.choice(by[k]), lang, "foreign", k if rng.random() < 0.4 else None)
-        elif draw < 0.72:
-            cut = _without_end(t, rng)
-            if cut:
-                add(s, cut, lang, "unfinished")
-        else:
-            add(s, t.rstrip(".!?؟ "), lang, "answer")
-    return out
+def examples(key: str, source: Source, target: str, lang: str, clean: Pair, before: dict[str, str], lexicon: bitext.Lexicon) -> Iterator[tuple[bytes, bytes]]:
+    """(labels, features) of a sound answer and of answers made from it, drawn by the key.
 
-
-def declines(text: str) -> bool:
+    ``before`` holds, by language, the last sound answer met before this one.
+    """
+    rng = random.Random(f"{key}")
+    s, t = source.text, target
+
+    def example(target: str, lang: str, label: str | list[str], hide: str | None = None, p: Pair | None = None) -> Iterator[tuple[bytes, bytes]]:
+        p = p or Pair(source, target, lang, lexicon, hide)
+        names = label if isinstance(label, list) else [label] * len(p.rows)
+        if label == "unfinished":
+            names = ["answer"] * (len(p.rows) - 1) + ["unfinished"]
+        if p.rows and len(names) == len(p.rows):
+            yield bytes(LABELS.index(x) for x in names), np.array(p.rows, np.float32).tobytes()
+
+    draw = rng.random()
+    yield from example(t, lang, "answer", p=clean)
+    if draw < 0.12:
+        yield from example(rng.choice((s, s.upper(), s.lower(), f"«{s}»", f"{s} {s}", s.rstrip("."), f"{lang.upper()}: {s}", s.replace(",", ""))), lang, "echo")
+    elif draw < 0.3:
+        tongue = lang if rng.random() < 0.65 else rng.choice(sorted(REFUSALS))
+        if tongue in REFUSALS:
+            a, b, c = REFUSALS[tongue]
+            text = f"{rng.choice(a)}{rng.choice(b)}{rng.choice(c)}." if rng.random() > 0.12 else rng.choice(SHORT)
+            if rng.random() < 0.25:
+                text = " ".join(t.split()[: rng.randint(2, 5)]) + "... " + text
+            yield from example(text, lang, ["answer", "refusal"] if ("... " in text and len(clauses(text)) == 2) else "refusal")
+    elif draw < 0.42:
+        others = sorted(k for k in before if k != lang)
+        if others:
+            k = rng.choice(others)
+            yield from example(t, k, "foreign")  # a true translation, asked for in another language
+            yield from example(before[k], lang, "foreign", k if rng.random() < 0.4 else None)
+    elif draw < 0.72:
+        cut_off = _without_end(t, rng)
+        if cut_off:
+            yield from example(cut_off, lang, "unfinished")
+    else:
+        yield from example(t.rstrip(".!?؟ "), lang, "answer")
+
+
+def declines(words: list[str]) -> bool:
     """Whether a third of the words are those of a refusal; such answers are kept out of the lexicon."""
-    words = bitext.tokens(text)
     return bool(words) and sum(w in _ALL_CUES for w in words) >= max(2, 0.34 * len(words))
 
 
-def sound(rows: list[tuple[str, str, str]], lexicon: bitext.Lexicon) -> list[tuple[str, str, str]]:
-    """Pairs whose answer covers its source and is in its language."""
-    out = []
-    for s, t, lang in rows:
-        a, b = bitext.tokens(s), bitext.tokens(t)
-        if not a or not b or flat(s) in flat(t):
-            continue
-        x, n, _ = lexicon.covered(a, b)
-        y, m, _ = lexicon.covered(b, a)
-        if n and m and x / n > 0.85 and y / m > 0.8 and lexicon.language(b) == lang and len(clauses(s)) == len(clauses(t)):
-            out.append((s, t, lang))
-    return out
-
-
 # ---------------------------------------------------------------- operators
 
 
-def judge(pairs: list[Pair | None], model: Crf) -> list[str | None]:
-    """The defect of every pair, None for a sound one; a missing pair has an answer without letters or digits."""
-    out: list[str | None] = [None] * len(pairs)
-    order = sorted((i for i, p in enumerate(pairs) if p is not None), key=lambda i: len(pairs[i].rows))
+def judge(answers: list[tuple[int, np.ndarray, np.ndarray]], model: Crf) -> list[str | None]:
+    """The defect of every answer (marks, characters of its clauses, features of its clauses), None for a sound one."""
+    out: list[str | None] = ["empty" if a[0] & EMPTY else None for a in answers]
+    order = sorted((i for i, a in enumerate(answers) if not a[0] & EMPTY), key=lambda i: len(answers[i][1]))
     for a in range(0, len(order), BLOCK):
         part = order[a : a + BLOCK]
-        lengths = np.array([len(pairs[i].rows) for i in part])
+        lengths = np.array([len(answers[i][1]) for i in part])
         x = np.zeros((len(part), lengths.max(), FEATURES))
         for k, i in enumerate(part):
-            x[k, : lengths[k]] = pairs[i].rows
+            x[k, : lengths[k]] = answers[i][2].reshape(-1, FEATURES)
         for i, n, labels in zip(part, lengths, model.decode(x, lengths)):
-            out[i] = defect(pairs[i], [LABELS[y] for y in labels[:n]])
-    for i, p in enumerate(pairs):
-        if p is None:
-            out[i] = "empty"
+            out[i] = defect(answers[i][0], answers[i][1], [LABELS[y] for y in labels[:n]])
     return out
 
 
-def defect(pair: Pair, labels: list[str]) -> str | None:
+def defect(marks: int, sizes: np.ndarray, labels: list[str]) -> str | None:
     """One defect of an answer from the labels of its clauses.
 
     Two exact checks follow the labels: a repetition of the whole source is an echo, and an answer called
@@ -341,30 +470,66 @@ def defect(pair: Pair, labels: list[str]) -> str | None:
     """
     if "refusal" in labels:
         return "refusal"
-    if pair.copied:
+    if marks & COPIED:
         return "copied"
-    if pair.named:
+    if marks & NAMED:
         return None
-    size = {x: sum(len(c) for c, y in zip(pair.clauses, labels) if y == x) for x in set(labels)}
+    size = {x: sum(int(c) for c, y in zip(sizes, labels) if y == x) for x in set(labels)}
     whole = sum(size.values())
     if size.get("echo", 0) > 0.5 * whole:
         return "copied"
     if size.get("foreign", 0) > 0.5 * whole:
         return "other_language"
-    return "truncated" if "unfinished" in labels and pair.breaks_off else None
+    return "truncated" if "unfinished" in labels and marks & BREAKS_OFF else None
+
 
+def features(words: DataFrame, lexicon: bitext.Lexicon) -> DataFrame:
+    """Of every segment sent its answer's marks, clause sizes and features (segment_id set), and of every sound pair, of the
+    memory too, the examples for training (segment_id null), equal ones of a task counted together."""
+    shared = words.sparkSession.sparkContext.broadcast((lexicon.likely, lexicon.weight, lexicon.speaks))
+    names = ["segment_id", "marks", "sizes", "labels", "rows", "n"]
 
-def fit(segments: DataFrame, memory: DataFrame, results: DataFrame) -> tuple[bitext.Lexicon, Crf]:
-    """Lexicon and field, from the bounded samples of bitext.sample and SAMPLE segments more, chosen by hashes of their ids."""
-    entries = [e for e in bitext.sample(memory, segments, results) if not declines(e[3])]
-    lexicon = bitext.fit(entries)
-    rows = bitext.some_segments(segments, results, 2 * SAMPLE).where(F.length("source_text") < 900).orderBy(F.xxhash64("segment_id"), "segment_id").limit(SAMPLE).collect()
-    pairs = [(r["source_text"], r["target_text"], r["language"]) for r in rows if r["language"]]
-    pairs += [(s, t, b) for _, b, s, t in entries[:: max(1, len(entries) // SAMPLE)]]
-    data = training(sound(pairs, lexicon), lexicon)
-    if not data:
-        return lexicon, Crf(np.zeros((FEATURES, len(LABELS))), np.zeros((len(LABELS),) * 2))
-    return lexicon, fit_crf(data)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = bitext.Lexicon(*shared.value)
+        held: Counter[tuple[bytes, bytes]] = Counter()
+        before: dict[str, str] = {}
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=names, dtype=object).astype({"marks": "int32", "n": "int64"})
+
+        for pdf in batches:
+            rows = []
+            for key, sent, lang, s, t, left in zip(pdf["id"], pdf["sent"], pdf["target_lang"], pdf["source_text"], pdf["target_text"], pdf["declines"]):
+                t = strip_tags(t) if t else ""
+                if not any(map(str.isalnum, t)):
+                    if sent:
+                        rows.append((key, EMPTY, b"", None, b"", 1))
+                    continue
+                source = Source(s or "", own)
+                p = Pair(source, t, lang, own)
+                if sent:
+                    marks = COPIED * p.copied + NAMED * p.named + BREAKS_OFF * p.breaks_off
+                    rows.append((key, marks, np.array([len(c) for c in p.clauses], np.int32).tobytes(), None, np.array(p.rows, np.float32).tobytes(), 1))
+                if p.sound and lang and s and (sent or not left):
+                    held.update(examples(key, source, t, lang, p, before, own))
+                    before[lang] = t
+            if len(held) > HELD:
+                rows += [(None, 0, b"", labels, x, n) for (labels, x), n in held.items()]
+                held.clear()
+            yield frame(rows)
+        yield frame([(None, 0, b"", labels, x, n) for (labels, x), n in held.items()])
+
+    return cut(words.mapInPandas(run, "segment_id string, marks int, sizes binary, labels binary, rows binary, n long"))
+
+
+def prepare(segments: DataFrame, results: DataFrame, memory: DataFrame) -> tuple[DataFrame, bitext.Lexicon, Crf]:
+    """Features of all answers, and the lexicon and the field fitted on all segments sent and all memory entries."""
+    texts = segments.select("id", "source_text", "target_text", F.lit(True).alias("sent"))
+    pairs = texts.join(bitext.sent(results).select(F.col("segment_id").alias("id"), "source_lang", F.col("language").alias("target_lang")), "id")
+    words = bitext.tokenized(pairs.unionByName(memory.select("id", "source_text", "target_text", F.lit(False).alias("sent"), "source_lang", "target_lang")), declines, segments.count() + memory.count())
+    lexicon = bitext.fit_all(words)
+    known = features(words, lexicon)
+    return known, lexicon, fit_crf(known.where(F.col("segment_id").isNull()).select("labels", "rows", "n"))
 
 
 def found(segments: DataFrame, results: DataFrame, memory: DataFrame) -> DataFrame:
@@ -373,23 +538,17 @@ def found(segments: DataFrame, results: DataFrame, memory: DataFrame) -> DataFra
     Segments delivered again or sent twice count once.  A null answer is empty; a null source is taken
     as an empty text, which nothing repeats; a null language rules out nothing.
     """
-    lexicon, model = fit(segments, memory, results)
-    shared = segments.sparkSession.sparkContext.broadcast((lexicon.likely, lexicon.weight, lexicon.speaks, model.weights, model.moves))
+    known, _, model = prepare(segments, results, memory)
+    shared = segments.sparkSession.sparkContext.broadcast((model.weights, model.moves))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        likely, weight, speaks, w, m = shared.value
-        own, crf = bitext.Lexicon(likely, weight, speaks), Crf(w, m)
+        crf = Crf(*shared.value)
         for pdf in batches:
-            pairs: list[Pair | None] = []
-            for s, t, lang in zip(pdf["source_text"], pdf["target_text"], pdf["language"]):
-                t = strip_tags(t) if t else ""
-                pairs.append(Pair(s or "", t, lang, own) if any(map(str.isalnum, t)) else None)
-            got = judge(pairs, crf)
+            got = judge([(a, np.frombuffer(c, np.int32), np.frombuffer(x, np.float32)) for a, c, x in zip(pdf["marks"], pdf["sizes"], pdf["rows"])], crf)
             yield pd.DataFrame({"segment_id": pdf["segment_id"], "defect": pd.Series(got, dtype=object, index=pdf.index)}).dropna()
 
-    texts = segments.select(F.col("id").alias("segment_id"), "source_text", "target_text")
-    joined = texts.join(bitext.sent(results).drop("source_lang"), "segment_id").select("segment_id", "source_text", "target_text", "language")
-    return joined.mapInPandas(run, "segment_id string, defect string").distinct()
+    answers = known.where(F.col("segment_id").isNotNull()).select("segment_id", "marks", "sizes", "rows")
+    return answers.mapInPandas(run, "segment_id string, defect string").distinct()
 
 
 def missing(results: DataFrame, defects: DataFrame) -> DataFrame:
