@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,6 +510,43 @@ def test_field_by_tasks_equals_field_by_driver(spark, monkeypatch):
     assert np.abs((truth[1:] - got[1:]) / truth[0] - 2e-3 * flat).max() < 1e-4
 
 
+def test_field_is_fitted_in_few_steps(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    truth = rng.normal(size=(pairs.FEATURES, len(pairs.LABELS)))
+    rows = []
+    for n in [*rng.integers(1, 4, 3000).tolist(), *range(4, 40)]:
+        x = rng.normal(size=(n, pairs.FEATURES)).astype(np.float32)
+        rows.append(((x @ truth + rng.gumbel(size=(n, len(pairs.LABELS)))).argmax(1).astype(np.int8).tobytes(), x.tobytes(), 1))
+    examples = spark.createDataFrame(rows, "labels binary, rows binary, n long")
+    one = pairs.fit_crf(examples)
+    passes, ascend = [], pairs.ascend
+    monkeypatch.setattr(pairs, "LOCAL", 0)
+    monkeypatch.setattr(pairs, "TOGETHER", 1500)
+    monkeypatch.setattr(pairs, "ascend", lambda value, *a, **k: ascend(lambda x: (passes.append(len(passes)), value(x))[1] if k else value(x), *a, **k))
+    two = pairs.fit_crf(examples)
+    assert np.allclose(one.weights, two.weights, atol=5e-3) and np.allclose(one.moves, two.moves, atol=5e-3)
+    assert 0 < len(passes) <= 10
+    # examples of all lengths make one block
+    block = next(pairs.blocks(iter([pd.DataFrame({"labels": [r[0] for r in rows[-40:]], "rows": [r[1] for r in rows[-40:]], "n": [1] * 40})])))
+    assert block["examples"].tolist() == [40] and block["longest"].tolist() == [39]
+    each = [(len(y), x, y, np.array([n]).tobytes()) for y, x, n in rows[-40:]]
+    mine = [tuple(block[c].iloc[0] for c in ("lengths", "rows", "labels", "n"))]
+    for w, m in ((None, None), (one.weights, one.moves)):
+        assert np.allclose(pairs.sums(each, w, m), pairs.sums(mine, w, m))
+
+
+def test_clauses_part_as_by_lookbehind():
+    import re
+
+    between = re.compile(r"(?<=[.!?؟。！？۔])[\"'”»)\]]*\s+|\n+|(?<=[。！？])(?=[^\W\d_])|(?<=[^\W\d_][.!?])(?=[^\W\d_]{3})")
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("ab1 \n.!?؟。！۔\"')» Ж字_") for _ in range(rng.randint(0, 14)))
+        assert pairs.clauses(text) == [c for c in between.split(text) if c and not pairs.ALNUM.fullmatch(c)]
+
+
 def test_crf_counts_equal_brute_force():
     import itertools
 

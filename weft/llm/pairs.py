@@ -5,34 +5,45 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import bitext
 from weft.llm.words import fold, language_of, strip_tags
-from weft.session import cut
+from weft.session import cut, lanes
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Different training examples up to which the driver takes the sums of the field's fit itself.
 LOCAL = 20_000
 #: Different training examples that a task holds before it hands them on.
 HELD = 50_000
+#: Clauses of training examples that make a block.
+TOGETHER = 20_000
+#: Different training examples that the driver starts from, at least, where tasks take the sums.
+START = 10_000
+#: Clauses of a training example above which it is long.
+LONG = 12
 #: Marks of an answer: repeats the whole source, source without a known word, breaks off, without letters or digits.
 COPIED, NAMED, BREAKS_OFF, EMPTY = 1, 2, 4, 8
 #: Rows whose scores are computed together.
 BLOCK = 512
-BETWEEN = re.compile(r"(?<=[.!?؟。！？۔])[\"'”»)\]]*\s+|\n+|(?<=[。！？])(?=[^\W\d_])|(?<=[^\W\d_][.!?])(?=[^\W\d_]{3})")
+# a mark and what parts it from the next clause, or line ends; it begins with a set of characters, which is looked for fast
+BETWEEN = re.compile(r"[.!?؟。！？۔\n](?:(?<=\n)\n*|(?<!\n)[\"'”»)\]]*\s+|(?<=[。！？])(?=[^\W\d_])|(?<=[^\W\d_][.!?])(?=[^\W\d_]{3}))")
 STOP = frozenset(".!?؟。！？۔")
 CLOSERS = "\"'”»’）)]“ \t\n\xa0 "
 ALNUM = re.compile(r"[\W_]+")
 #: Marks an answer breaks off with.
-CUT = re.compile(r"(?:\.\.\.|…|[-–—,;:،؛(/])\s*[\"'”»]?\s*$")
+CUT = ("...", "…", *"-–—,;:،؛(/")
+#: Letters that stay no ASCII whatever is made equal.
+FAR = re.compile("[\u0400-\u047f\u0621-\u063a]")
 # Words of answers that decline, by language; they only serve to make training clauses and one feature.
 CUES = {
     "en": "sorry unfortunately apologies apologise afraid cannot can't unable decline declined declining refuse refusing assistant won't provide render offered able must request passage content processed process policy policies safety translate translating translation segment text language model comply assist help personal private sensitive blocked refused removed denied redacted censored filtered withheld beyond protected details my me",
@@ -60,11 +71,17 @@ def flat(text: str) -> str:
     """Letters and digits only, one case, compatible forms made equal."""
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
-    return ALNUM.sub("", fold(text))
+    return "".join(bitext.WORD.findall(fold(text)))
 
 
 def clauses(text: str) -> list[str]:
-    return [c for c in BETWEEN.split(text) if c and not ALNUM.fullmatch(c)]
+    """The text parted after marks that end a sentence and at line ends, parts without letter or digit left out."""
+    out, at = [], 0
+    for m in BETWEEN.finditer(text):
+        out.append(text[at : m.start() + (m[0][0] != "\n")])
+        at = m.end()
+    out.append(text[at:])
+    return [c for c in out if c and not ALNUM.fullmatch(c)]
 
 
 def ended(text: str) -> bool:
@@ -72,10 +89,20 @@ def ended(text: str) -> bool:
     return bool(s) and s[-1] in STOP
 
 
+def packed(rows: list[tuple[float, ...]]) -> bytes:
+    return array("f", chain.from_iterable(rows)).tobytes()
+
+
+def breaks(text: str) -> bool:
+    """Whether a text ends in a mark that it breaks off with, a closing quote aside."""
+    end = text[-12:].rstrip()
+    return (end[:-1].rstrip() if end[-1:] in ("\"", "'", "”", "»") else end).endswith(CUT)
+
+
 class Source:
     """What the features of all answers to one source share; clauses and words of answers are remembered."""
 
-    __slots__ = ("_clauses", "_shares", "flat", "ended", "lexicon", "look", "named", "parts", "split", "text", "told", "whole", "words")
+    __slots__ = ("_clauses", "_flat", "_shares", "breaks", "ended", "far", "lexicon", "look", "named", "parts", "split", "text", "told", "weight", "whole", "words")
 
     def __init__(self, text: str, lexicon: bitext.Lexicon):
         self.text = strip_tags(text) if "<" in text else text
@@ -84,15 +111,23 @@ class Source:
         self.words = [w for ws in self.split for w in ws]
         self.lexicon = lexicon
         told = lexicon.told
-        self.told = [[told[w] for w in ws] for ws in self.split]
-        self.look = frozenset(self.words), {x[3] for xs in self.told for x in xs if x[3]}
+        self.told = [list(map(told.__getitem__, ws)) for ws in self.split]
+        self.look = frozenset(self.words), {x[3] for xs in self.told for x in xs} - {""}
         self.named = not any(x[4] for xs in self.told for x in xs)
         self.whole = [sum(x[0] for x in xs) for xs in self.told]
-        self.flat = flat(self.text)
-        self.ended = ended(self.text)
+        self.weight = sum(self.whole)
+        self.ended, self.breaks = ended(self.text), breaks(self.text)
+        self.far = FAR.search(self.text) is not None
+        self._flat: str | None = None
         self._clauses: dict[str, tuple] = {}
         self._shares: dict[tuple[str, ...], tuple[list[float], float]] = {}
 
+    @property
+    def flat(self) -> str:
+        if self._flat is None:
+            self._flat = flat(self.text)
+        return self._flat
+
     def clause(self, c: str) -> tuple:
         """Of a clause of an answer: words, weight found in the source, whole weight, words of refusals, words that are no
         numbers, known words by language, those of them that the source holds, written forms of names, language by script."""
@@ -103,13 +138,14 @@ class Source:
             have, names = self.look
             told = self.lexicon.told
             found = total = 0.0
-            cue = 0
+            plain = 0
             tongues: dict[str, int] = {}
             same: dict[str, int] = {}
             forms = set()
             for w in words:
-                x, likely, as_hit, as_look, tongue = told[w]
+                x, likely, as_hit, as_look, tongue, letters = told[w]
                 total += x
+                plain += letters
                 held = w in have
                 if held or (not likely.isdisjoint(have) if likely is not None else as_hit and as_hit in names):
                     found += x
@@ -119,8 +155,7 @@ class Source:
                         same[tongue] = same.get(tongue, 0) + 1
                 elif as_look:
                     forms.add(as_look)
-                cue += w in _ALL_CUES
-            plain = sum(1 for w in words if not w[0].isdigit())
+            cue = sum(map(_ALL_CUES.__contains__, words))
             guess = None
             if plain and not c.isascii() and max(tongues.values(), default=0) < 0.4 * plain:
                 guess = language_of(c)
@@ -158,7 +193,7 @@ class Source:
 class Pair:
     """One source and answer with what the features need."""
 
-    __slots__ = ("breaks_off", "clauses", "copied", "named", "rows", "sound")
+    __slots__ = ("_sound", "breaks_off", "clauses", "copied", "named", "rows")
 
     def __init__(self, source: Source, target: str, language: str | None, lexicon: bitext.Lexicon, hide: str | None = None):
         target = strip_tags(target) if "<" in target else target
@@ -168,17 +203,18 @@ class Pair:
         parts = [source.clause(c) for c in self.clauses]
         every = [w for p in parts for w in p[0]]
         self.copied = False
-        if not self.named and sum(w in in_source for w in every) >= 0.5 * len(words):
+        if not self.named and sum(map(in_source.__contains__, every)) >= 0.5 * len(words):
             self.copied = bool(source.flat) and source.flat in flat(target)
         shares, of_source = source.shares(every, set().union(*[p[7] for p in parts]))
         last, worst, mean = shares[-1], min(shares), sum(shares) / len(shares)
         n_s, n_t = len(sources), len(self.clauses)
         stop_s, stop_t = source.ended, ended(target)
-        broken = bool(CUT.search(target[-12:].rstrip())) and not CUT.search(source.text[-12:].rstrip())
+        broken = breaks(target) and not source.breaks
         short = min(2.0, len(every) / max(1, len(words)))
         # what an exact check asks of an answer called unfinished
         self.breaks_off = broken or (stop_s and not stop_t and 1 - last > 0.13) or (n_t < n_s and 1 - worst > 0.3) or 1 - worst > (0.6 if stop_t else 0.3)
         self.rows = []
+        copied, named = float(self.copied), float(self.named)
         of_target = whole_target = 0.0
         spoken_in: dict[str, int] = {}
         for k, (c, (p, got, total, cue, plain, tongues, held, _, guess)) in enumerate(zip(self.clauses, parts)):
@@ -201,16 +237,24 @@ class Pair:
             inside = float(not self.named and same > 0.6 and flat(c) in source.flat)
             away = 1 - mine
             vocabulary = spoke / plain if plain else 1.0
-            self.rows.append((
-                1.0, 0.0 if other else mine, 0.0 if other else away, other * (1 - same), same, inside, float(self.copied), cues, cues * away,
-                float(final), final * (1 - last), final * (1 - worst), final * (1 - mean), final * float(broken), final * float(stop_s and not stop_t),
-                final * float(n_t < n_s), final * (1 - min(1.0, short)), float(self.named), (1 - vocabulary) * away, final * float(worst < 0.5), final * (worst < 0.78),
-                away * (1 - vocabulary) * (cue == 0) * (plain >= 2), final * (worst < 0.9),
-            ))
-        # an answer that covers its source and is in its language
-        self.sound = (
-            not self.copied and n_s == n_t and of_source > 0.85 * sum(source.whole) and of_target > 0.8 * whole_target
-            and max(spoken_in, key=lambda k: (spoken_in[k], k), default=None) == language and source.flat not in flat(target)
+            front = 1.0, 0.0 if other else mine, 0.0 if other else away, other * (1 - same), same, inside, copied, cues, cues * away
+            odd = away * (1 - vocabulary) * (cue == 0) * (plain >= 2)
+            if final:
+                self.rows.append((
+                    *front, 1.0, 1 - last, 1 - worst, 1 - mean, float(broken), float(stop_s and not stop_t),
+                    float(n_t < n_s), 1 - min(1.0, short), named, (1 - vocabulary) * away, float(worst < 0.5), float(worst < 0.78), odd, float(worst < 0.9),
+                ))
+            else:
+                self.rows.append((*front, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, named, (1 - vocabulary) * away, 0.0, 0.0, odd, 0.0))
+        self._sound = source, target, language, n_s == n_t, of_source, of_target, whole_target, spoken_in
+
+    @property
+    def sound(self) -> bool:
+        """Whether the answer covers its source and is in its language."""
+        source, target, language, same, of_source, of_target, whole_target, spoken_in = self._sound
+        return (
+            not self.copied and same and of_source > 0.85 * source.weight and of_target > 0.8 * whole_target
+            and max(spoken_in, key=lambda k: (spoken_in[k], k), default=None) == language and (source.far and target.isascii() or source.flat not in flat(target))
         )
 
 
@@ -286,9 +330,9 @@ def gradient(xs: list[np.ndarray], w: np.ndarray, m: np.ndarray) -> tuple[np.nda
     return expected(xs, w, m)[1:]
 
 
-def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 100, close: float = 5e-5) -> np.ndarray:
+def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 100, close: float = 5e-5, metric: np.ndarray | None = None) -> np.ndarray:
     """The place of the least value of a convex function, by its values and gradients (limited-memory BFGS); wherever it
-    starts, the place is the same."""
+    starts, the place is the same.  ``metric``, about the inverse of the curvature, saves rounds."""
     at, steps = start, []
     f, g = value(at)
     for _ in range(rounds):
@@ -298,7 +342,10 @@ def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nd
         for ds, dg in reversed(steps):
             used.append((ds @ q) / (ds @ dg))
             q -= used[-1] * dg
-        q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1.0
+        if metric is not None:
+            q = metric @ q
+        else:
+            q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1.0
         for (ds, dg), u in zip(steps, reversed(used)):
             q += (u - (dg @ q) / (ds @ dg)) * ds
         far = 1.0
@@ -316,30 +363,65 @@ def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nd
     return at
 
 
+def curved(value: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, h: float = 1e-4) -> np.ndarray:
+    """The inverse of the curvature of a convex function at a place, by differences of its gradients."""
+    g = value(at)[1]
+    second = np.array([(value(at + h * e)[1] - g) / h for e in np.eye(len(at))])
+    return np.linalg.inv((second + second.T) / 2)
+
+
+def block(labels: list[bytes], rows: list[bytes], n: list[int]) -> tuple[int, int, int, bytes, bytes, bytes, bytes]:
+    """Examples of all lengths as one block: a name, how many, clauses of the longest, their lengths, features, labels and how often each is met.
+
+    The longest come first; features and labels lie clause by clause, the first clauses of all examples before the second.
+    """
+    order = sorted(range(len(labels)), key=lambda i: -len(labels[i]))
+    lengths = np.array([len(labels[i]) for i in order], np.int32)
+    at = np.argsort(np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths), kind="stable")
+    x = np.frombuffer(b"".join(rows[i] for i in order), np.float32).reshape(-1, FEATURES)[at]
+    y = np.frombuffer(b"".join(labels[i] for i in order), np.int8)[at]
+    return xxhash.xxh64_intdigest(x.tobytes()) >> 1, len(order), int(lengths[0]), lengths.tobytes(), x.tobytes(), y.tobytes(), np.array([n[i] for i in order], np.int64).tobytes()
+
+
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Examples of one length together: their features, labels and how often each is met."""
+    """Examples in blocks of at least TOGETHER clauses, the last of a task aside."""
+    names = ["id", "examples", "longest", "lengths", "rows", "labels", "n"]
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
     for pdf in batches:
-        for length, part in pdf.groupby(pdf["labels"].map(len)):
-            yield pd.DataFrame({"length": np.array([length], np.int32), "examples": [len(part)], "rows": [b"".join(part["rows"])], "labels": [b"".join(part["labels"])], "n": [part["n"].to_numpy(np.int64).tobytes()]})
+        for labels, rows, n in zip(pdf["labels"], pdf["rows"], pdf["n"]):
+            for column, x in zip(held, (bytes(labels), bytes(rows), n)):
+                column.append(x)
+            size += len(labels)
+            if size >= TOGETHER:
+                yield pd.DataFrame([block(*held)], columns=names)
+                held, size = ([], [], []), 0
+    if size:
+        yield pd.DataFrame([block(*held)], columns=names)
 
 
-def sums(parts: Iterable[tuple[int, bytes, bytes, bytes]], w: np.ndarray | None, m: np.ndarray | None) -> np.ndarray:
-    """Over blocks: without weights the counts in the labels as given, with them what ``expected`` gives, in one row of figures."""
+def sums(parts: Iterable[tuple[int | bytes, bytes, bytes, bytes]], w: np.ndarray | None, m: np.ndarray | None) -> np.ndarray:
+    """Over blocks: without weights the counts in the labels as given, with them what ``expected`` gives, in one row of figures.
+
+    A block is (lengths, or the one length of all its examples; features; labels; how often), as ``block`` lays them.
+    """
     k = len(LABELS)
     out = np.zeros(1 + FEATURES * k + k * k)
-    for length, rows, labels, n in parts:
+    for lengths, rows, labels, n in parts:
         c = np.frombuffer(n, np.int64).astype(float)
-        x = np.frombuffer(rows, np.float32).reshape(len(c), length, FEATURES).astype(float)
+        each = np.full(len(c), lengths) if isinstance(lengths, int) else np.frombuffer(lengths, np.int32)
+        x = np.frombuffer(rows, np.float32).reshape(-1, FEATURES).astype(float)
+        live = len(c) - np.cumsum(np.bincount(each))[:-1]  # examples that have a clause t
+        first = np.cumsum(live) - live
         if w is None:
-            y = np.frombuffer(labels, np.int8).reshape(len(c), length)
-            of_w, of_m = np.zeros((FEATURES, k)), np.zeros((k, k))
-            for t in range(length):
-                np.add.at(of_w.T, y[:, t], c[:, None] * x[:, t])
-                if t:
-                    np.add.at(of_m, (y[:, t - 1], y[:, t]), c)
+            y = np.frombuffer(labels, np.int8)
+            of = np.arange(len(y)) - np.repeat(first, live)  # example of each clause
+            of_w, of_m = x.T @ (np.eye(k)[y] * c[of][:, None]), np.zeros((k, k))
+            later = np.arange(live[0], len(y))
+            np.add.at(of_m, (y[later - np.repeat(live[:-1], live[1:])], y[later]), c[of[later]])
             out += np.concatenate([[c.sum()], of_w.ravel(), of_m.ravel()])
         else:
-            z, of_w, of_m = expected([x[:, t] for t in range(length)], w, m, c)
+            z, of_w, of_m = expected(np.split(x, first[1:]), w, m, c)
             out += np.concatenate([[z], of_w.ravel(), of_m.ravel()])
     return out
 
@@ -348,24 +430,29 @@ def fit_crf(examples: DataFrame, penalty: float = 2e-3) -> Crf:
     """Maximum conditional likelihood over all examples (labels, rows, n).
 
     Up to LOCAL different examples the sums are taken by the driver, beyond that by tasks, one small
-    row of figures from each.
+    row of figures from each.  Long examples meet in few tasks: a block takes as many steps as its
+    longest example has clauses.
     """
     k = len(LABELS)
-    packed = cut(examples.groupBy("labels", "rows").agg(F.sum("n").alias("n")).mapInPandas(blocks, "length int, examples long, rows binary, labels binary, n binary"))
+    columns = ("lengths", "rows", "labels", "n")
+    n = lanes(examples.sparkSession)
+    own = F.xxhash64("labels", "rows")
+    place = F.when(F.length("labels") <= LONG, own).otherwise(F.pmod(own, F.lit(1 + n // 16)))
+    once = examples.withColumn("place", place).repartition(n, "place").groupBy("place", "labels", "rows").agg(F.sum("n").alias("n"))
+    packed = cut(once.mapInPandas(blocks, "id long, examples long, longest int, lengths binary, rows binary, labels binary, n binary"))
     different = packed.agg(F.coalesce(F.sum("examples"), F.lit(0))).first()[0]
-    columns = ("length", "rows", "labels", "n")
 
     def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[: FEATURES * k].reshape(FEATURES, k), x[FEATURES * k :].reshape(k, k)
 
-    def best(over: Callable[..., np.ndarray], start: np.ndarray) -> np.ndarray:
+    def loss(over: Callable[..., np.ndarray]) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
         truth = over(None, None)
 
         def value(x: np.ndarray) -> tuple[float, np.ndarray]:
             got = over(*split(x))
             return (got[0] - truth[1:] @ x) / truth[0] + 0.5 * penalty * (x @ x), (got[1:] - truth[1:]) / truth[0] + penalty * x
 
-        return ascend(value, start)
+        return value
 
     def by_tasks(w: np.ndarray | None, m: np.ndarray | None) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,14 +461,20 @@ def fit_crf(examples: DataFrame, penalty: float = 2e-3) -> Crf:
 
         return sum(np.frombuffer(r["figures"]) for r in packed.mapInPandas(run, "figures binary").collect())
 
-    # the driver's fit on the first blocks is where the tasks' fit on all of them starts
-    all_here = different <= LOCAL
-    blocks_here = packed.select("examples", *columns).orderBy("length", "rows").collect() if all_here else packed.select("examples", *columns).limit(4).collect()
+    # the driver's fit on blocks of few steps is where the tasks' fit on all of them starts, with the curvature there
     place = np.zeros(FEATURES * k + k * k)
-    if different:
-        own = [tuple(r[c] for c in columns) for r in blocks_here]
-        place = best(lambda w, m: sums(own, w, m), place)
-    return Crf(*split(place if all_here else best(by_tasks, place)))
+    if not different:
+        return Crf(*split(place))
+    all_here = different <= LOCAL
+    first = packed.orderBy("id")
+    if not all_here:  # only figures of the blocks are ordered, so no others reach the driver
+        few = packed.select("id", "examples", (F.col("longest") / F.col("examples")).alias("steps")).orderBy("steps", "id").limit(2000).collect()
+        before = np.cumsum([0, *(r["examples"] for r in few)])
+        first = packed.where(F.col("id").isin([r["id"] for r, b in zip(few, before) if b < START]))
+    here = [tuple(bytes(r[c]) for c in columns) for r in first.collect()]
+    near = loss(lambda w, m: sums(here, w, m))
+    place = ascend(near, place)
+    return Crf(*split(place if all_here else ascend(loss(by_tasks), place, metric=curved(near, place))))
 
 
 def _without_end(text: str, rng: random.Random) -> str | None:
@@ -411,7 +504,7 @@ def examples(key: str, source: Source, target: str, lang: str, clean: Pair, befo
         if label == "unfinished":
             names = ["answer"] * (len(p.rows) - 1) + ["unfinished"]
         if p.rows and len(names) == len(p.rows):
-            yield bytes(LABELS.index(x) for x in names), np.array(p.rows, np.float32).tobytes()
+            yield bytes(LABELS.index(x) for x in names), packed(p.rows)
 
     draw = rng.random()
     yield from example(t, lang, "answer", p=clean)
@@ -441,7 +534,7 @@ def examples(key: str, source: Source, target: str, lang: str, clean: Pair, befo
 
 def declines(words: list[str]) -> bool:
     """Whether a third of the words are those of a refusal; such answers are kept out of the lexicon."""
-    return bool(words) and sum(w in _ALL_CUES for w in words) >= max(2, 0.34 * len(words))
+    return bool(words) and sum(map(_ALL_CUES.__contains__, words)) >= max(2, 0.34 * len(words))
 
 
 # ---------------------------------------------------------------- operators
@@ -509,7 +602,7 @@ def features(words: DataFrame, lexicon: bitext.Lexicon) -> DataFrame:
                 p = Pair(source, t, lang, own)
                 if sent:
                     marks = COPIED * p.copied + NAMED * p.named + BREAKS_OFF * p.breaks_off
-                    rows.append((key, marks, np.array([len(c) for c in p.clauses], np.int32).tobytes(), None, np.array(p.rows, np.float32).tobytes(), 1))
+                    rows.append((key, marks, np.array([len(c) for c in p.clauses], np.int32).tobytes(), None, packed(p.rows), 1))
                 if p.sound and lang and s and (sent or not left):
                     held.update(examples(key, source, t, lang, p, before, own))
                     before[lang] = t
